@@ -27,6 +27,13 @@ def op2_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import decontaminate
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.contaminated(docs, _table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import suffix
 
@@ -41,9 +48,30 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+OP4_SQL = """
+with item_words as (
+  select item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from benchmark where item_id is not null
+), item_shingles as (
+  select distinct item_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i+4], ' '))) as s
+  from item_words where len(w) > 0
+), sizes as (
+  select item_id, count(*) as n from item_shingles group by item_id
+), doc_words as (
+  select distinct doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from documents where doc_id is not null
+), doc_shingles as (
+  select distinct doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i+4], ' '))) as s
+  from doc_words where len(w) > 0
+), shared as (
+  select doc_id, item_id, count(*) as k from doc_shingles join item_shingles using (s) group by doc_id, item_id
+)
+select doc_id, item_id, n as n_item_shingles, k as n_shared, k / n as containment
+from shared join sizes using (item_id) where k >= 0.8 * n - 1e-9
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_benchmark_decontamination": OP4_SQL}
