@@ -59,3 +59,8 @@ def held_out_column(doc_id: str = "doc_id"):
 
 def learnable_column(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 != 2, F.lit(False))
+
+
+def hash_bound(share: float):
+    """The largest value of the least `share` of all 64-bit hashes."""
+    return F.lit(min(2**63 - 1, -(2**63) + int(max(0.0, min(1.0, share)) * 2**64))).cast("bigint")
