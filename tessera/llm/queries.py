@@ -12,6 +12,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import quality
+    from tessera.llm._common import held_out_column
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality.classify(docs, _table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return out.select("doc_id", held_out_column().alias("held_out"), "score", "predicted")
+
+
 def op2_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -41,6 +50,15 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import language
+    from tessera.llm._common import held_out_column
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = language.predict(docs.select("doc_id", "text"), language.fit(docs))
+    return out.select("doc_id", held_out_column().alias("held_out"), "lang_pred", "score")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import simhash
 
