@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -426,3 +427,38 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
         f"_id {kind}, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<first:bigint,last:bigint>>",
     )
     return out.withColumnRenamed("_id", id)
+
+
+def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars", length: int = LENGTH) -> DataFrame:
+    """docs with their columns, texts without repeated strings; rows all of whose text repeats go.
+
+    Bytes of a character that a span cuts go with it. n_chars, if docs has it, is counted again. Null
+    texts stay null, empty ones empty.
+    """
+    spans = repeated_spans(docs, id, text, length).groupBy("id", "mark").agg(F.collect_set(F.struct("first", "last")).alias("_found"))
+    data = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    key = F.coalesce(F.col(id).cast("bigint"), F.lit(-(2**63)).cast("bigint"))
+    named = docs.withColumns({"_id": key, "_mark": F.xxhash64(data)})
+    joined = named.join(spans, (named["_id"] == spans["id"]) & (named["_mark"] == spans["mark"]), "left").select(*[named[c] for c in docs.columns], "_found")
+    bounded_batches(docs.sparkSession)
+
+    @F.pandas_udf("string")
+    def rest(texts: pd.Series, found: pd.Series) -> pd.Series:
+        out = []
+        for value, spans in zip(texts, found, strict=True):
+            if spans is None or not len(spans):
+                out.append(value)
+                continue
+            raw = value.encode()
+            keep = np.ones(len(raw), bool)
+            for s in spans:
+                keep[s["first"] : s["last"]] = False
+            out.append(np.frombuffer(raw, np.uint8)[keep].tobytes().decode("utf-8", "ignore"))
+        return pd.Series(out, dtype=object)
+
+    cut = joined.withColumn("_text", rest(F.col(text), F.col("_found")))
+    cut = cut.where(F.col("_found").isNull() | (F.length("_text") > 0))
+    columns = {text: F.col("_text")}
+    if n_chars and n_chars in docs.columns:
+        columns[n_chars] = F.when(F.col("_found").isNull(), F.col(n_chars)).otherwise(F.length("_text")).cast(docs.schema[n_chars].dataType)
+    return cut.withColumns(columns).select(*docs.columns)
