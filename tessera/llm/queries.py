@@ -59,6 +59,13 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out_column().alias("held_out"), "lang_pred", "score")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import warc
+
+    out = warc.round_trip(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), with_payload=False)
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import simhash
 
@@ -87,9 +94,24 @@ from shared join sizes using (item_id) where k >= 0.8 * n - 1e-9
 """
 
 
+OP9_SQL = """
+with digests as (
+  select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as hex from pages
+), firsts as (
+  select hex, min(page_id) as first_id from digests group by hex
+)
+select page_id, cast(payload_bytes as bigint) as payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((cast('0x' || substr(hex, cast(i // 4 * 5 + 1 as int), 5) as bigint) >> cast(15 - i % 4 * 5 as int)) & 31) + 1, 1)), '') as payload_digest,
+  case when page_id = first_id then 'response' else 'revisit' end as record_type,
+  case when page_id = first_id then null else first_id end as refers_to
+from digests join firsts using (hex)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_benchmark_decontamination": OP4_SQL}
+    return {"op4_benchmark_decontamination": OP4_SQL, "op9_warc": OP9_SQL}
