@@ -36,6 +36,12 @@ def op2_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import html
+
+    return html.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import decontaminate
 
@@ -73,6 +79,20 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: For pages that mark their article, as the given ones do, with the character references that they hold.
+OP3_SQL = """
+with articles as (
+  select page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) as a from pages
+), parts as (
+  select page_id, url, list_transform(string_split_regex(a, '</?(?:p|h1|br)>'), lambda x:
+    trim(regexp_replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'),
+      '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g'))) as blocks from articles
+), joined as (
+  select page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10)) as text from parts
+)
+select page_id, url, text, cast(length(text) as bigint) as n_chars from joined
+"""
+
 OP4_SQL = """
 with item_words as (
   select item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from benchmark where item_id is not null
@@ -114,4 +134,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_benchmark_decontamination": OP4_SQL, "op9_warc": OP9_SQL}
+    return {"op3_html_extraction": OP3_SQL, "op4_benchmark_decontamination": OP4_SQL, "op9_warc": OP9_SQL}

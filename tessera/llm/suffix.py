@@ -198,8 +198,11 @@ def suffix_array(text: bytes, depth: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def repeated_windows(text: bytes, valid: np.ndarray, length: int) -> np.ndarray:
-    """Which of the places marked valid start `length` bytes that another valid place starts too."""
+def repeated_windows(text: bytes, valid: np.ndarray, length: int, owner: np.ndarray | None = None) -> np.ndarray:
+    """Which of the places marked valid start `length` bytes that another valid place starts too.
+
+    With owner, a number for each place, only a place of another owner counts.
+    """
     order = suffix_array(text, length)
     order = order[valid[order]]
     again = np.zeros(len(text), bool)
@@ -213,26 +216,38 @@ def repeated_windows(text: bytes, valid: np.ndarray, length: int) -> np.ndarray:
         pairs = pairs[words[order[pairs] + at] == words[order[pairs + 1] + at]]
         if not len(pairs):
             return again
-    again[order[pairs]] = True
-    again[order[pairs + 1]] = True
+    if owner is None:
+        again[order[pairs]] = True
+        again[order[pairs + 1]] = True
+        return again
+    new = np.ones(len(order), bool)
+    new[pairs + 1] = False
+    begin = np.flatnonzero(new)
+    of = owner[order]
+    mixed = np.minimum.reduceat(of, begin) != np.maximum.reduceat(of, begin)
+    again[order[np.repeat(mixed, np.diff(np.append(begin, len(order))))]] = True
     return again
 
 
 SPANS = "id bigint, mark bigint, first bigint, last bigint"
 
 
-def _search_groups(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _search_groups(batches: Iterator[pa.RecordBatch], length: int, across: bool = False) -> Iterator[pa.RecordBatch]:
     """Rows sorted by group (group, id, mark, start, windows, lead, n, bytes) to spans of repeated windows."""
 
     def search(rows: list[tuple]) -> pa.RecordBatch | None:
         text = b"".join(r[7] for r in rows)
         valid = np.zeros(len(text), bool)
+        owner = np.zeros(len(text), np.int64) if across else None
+        owners: dict[tuple, int] = {}
         begins, at = [], 0
         for r in rows:
             begins.append(at)
             valid[at : at + r[4]] = True
+            if across:
+                owner[at : at + r[4]] = owners.setdefault((r[1], r[2]), len(owners)) if r[6] == 1 else -1 - len(begins)
             at += len(r[7])
-        again = repeated_windows(text, valid, length)
+        again = repeated_windows(text, valid, length, owner)
         out = []
         for begin, r in zip(begins, rows, strict=True):
             if r[6] > 1:  # stands for others: all of it is known to repeat
@@ -314,18 +329,21 @@ def _blocks(pieces: DataFrame, length: int, gram: int, size: int) -> DataFrame:
 
 def keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
     """(id, mark, bytes): the bytes of each text; mark tells texts of one id apart. A null id gets the least number."""
-    data = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    data = F.coalesce(F.col(text).cast("binary"), F.lit("").cast("binary"))
     return docs.select(F.coalesce(F.col(id).cast("bigint"), F.lit(-(2**63)).cast("bigint")).alias("id"), data.alias("bytes")).select(
         "id", F.xxhash64("bytes").alias("mark"), "bytes"
     )
 
 
-def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+def repeated_spans(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, group: int = GROUP, across: bool = False
+) -> DataFrame:
     """(id, mark, first, last): bytes [first, last) of texts that hold only repeated strings of `length` bytes.
 
     A string repeats if it starts at any other place, in the same text or another; places are judged
     on the input. Spans of a text may overlap and repeat. Equal rows count as copies of each other.
     (id, mark) is the key that keyed() gives. Null texts are empty; texts below `length` give nothing.
+    With across, only repeats in rows of another key count; text may be binary.
     """
     if length <= gram or length < 8:
         raise ValueError("length must be over gram and at least 8")
@@ -337,8 +355,10 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
     anchors = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min(tag).alias("a"), F.max(tag).alias("b")).where("n > 1")
     shared = found.join(anchors.select("anchor", (F.col("a") != F.col("b")).alias("mixed")), "anchor")
     shared = stored(shared, "shared")
+    place = F.struct("id", "mark")
+    copies_of = F.when(F.min(place) != F.max(place), 2).otherwise(1).cast("bigint") if across else F.count("*")
     kinds = shared.groupBy("anchor", "kind").agg(
-        F.count("*").alias("n"), F.max("mixed").alias("mixed"), F.min(F.struct("id", "mark", "start", "windows", "lead")).alias("one")
+        copies_of.alias("n"), F.max("mixed").alias("mixed"), F.min(F.struct("id", "mark", "start", "windows", "lead")).alias("one")
     )
     kinds = stored(kinds, "kinds")
     copies = shared.join(kinds.where("n > 1").select("anchor", "kind"), ["anchor", "kind"], "left_semi")
@@ -360,13 +380,14 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
         small = pieces.join(large, "group", "left_anti") if again else pieces
         bounded_batches(spark)
         dealt = small.repartition(partitions(spark), "group").sortWithinPartitions("group")
-        spans = spans.unionByName(stored(dealt.mapInArrow(lambda b: _search_groups(b, length), SPANS), "spans"))
+        spans = spans.unionByName(stored(dealt.mapInArrow(lambda b: _search_groups(b, length, across), SPANS), "spans"))
         if not again:
             return spans
         size = max(1, size // 2)
         marked = _blocks(pieces.join(large, "group", "left_semi"), length, gram, size)
         marked = stored(marked.withColumn("kind", F.sha2("bytes", 256)), "blocks")
-        kinds = marked.groupBy("group", "kind").agg(F.sum("n").alias("n"), F.min(F.struct("id", "mark", "start", "windows")).alias("one"))
+        copies_of = F.when((F.min(place) != F.max(place)) | (F.max("n") > 1), 2).otherwise(1).cast("bigint") if across else F.sum("n")
+        kinds = marked.groupBy("group", "kind").agg(copies_of.alias("n"), F.min(F.struct("id", "mark", "start", "windows")).alias("one"))
         kinds = stored(kinds, "kinds")
         repeats = marked.where("n = 1").join(kinds.where("n > 1").select("group", "kind"), ["group", "kind"], "left_semi")
         spans = spans.unionByName(
