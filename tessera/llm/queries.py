@@ -65,6 +65,13 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out_column().alias("held_out"), "lang_pred", "score")
 
 
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import chat
+
+    out = chat.format_conversations(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return out.withColumn("errors", F.concat_ws(",", "errors"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import warc
 
@@ -114,6 +121,26 @@ from shared join sizes using (item_id) where k >= 0.8 * n - 1e-9
 """
 
 
+OP8_SQL = """
+with calls as (
+  select conv_id, turn, min(text) as text from conversations where role = 'user' and conv_id is not null and turn is not null group by conv_id, turn
+), results as (
+  select conv_id, turn - 1 as turn, min(text) as content from conversations
+  where role = 'assistant' and conv_id is not null and turn is not null group by conv_id, turn
+)
+select conv_id, 'call-' || coalesce(c.turn, r.turn) as call_id, c.turn as call_turn, r.turn + 1 as result_turn,
+  case when c.turn is null then 'orphan_result' when r.turn is null then 'unanswered' else 'linked' end as status,
+  case when c.turn is null then null else 0 end as level,
+  c.turn is not null and c.text is not null as valid,
+  case when c.turn is not null and c.text is null then 'missing:text' else '' end as errors,
+  '{"call":' || case when c.turn is null then 'null' else
+    '{"arguments":{' || case when c.text is null then '' else '"text":' || cast(to_json(c.text) as varchar) || ',' end || '"turn":' || c.turn
+      || '},"id":"call-' || c.turn || '","name":"reply"}' end
+  || ',"result":' || case when r.turn is null then 'null' else
+    '{"content":' || coalesce(cast(to_json(r.content) as varchar), 'null') || ',"id":"call-' || r.turn || '"}' end || '}' as message
+from calls c full join results r using (conv_id, turn)
+"""
+
 OP9_SQL = """
 with digests as (
   select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as hex from pages
@@ -134,4 +161,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_html_extraction": OP3_SQL, "op4_benchmark_decontamination": OP4_SQL, "op9_warc": OP9_SQL}
+    return {"op3_html_extraction": OP3_SQL, "op4_benchmark_decontamination": OP4_SQL, "op8_chat_formatting": OP8_SQL, "op9_warc": OP9_SQL}
