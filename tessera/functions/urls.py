@@ -121,7 +121,8 @@ def resolved(link: Column, base: Column) -> Column:
     origin = F.concat(scheme(base), F.lit("://"), authority(base))
     folder = F.regexp_replace(path(base), "[^/]*$", "")
     folder = F.when(folder == "", "/").otherwise(folder)
-    joined = F.when(F.startswith(link, F.lit("/")), path(link)).when(path(link) == "", path(base)).otherwise(F.concat(folder, path(link)))
+    joined = F.when(F.startswith(link, F.lit("/")), path(link)).otherwise(F.concat(folder, path(link)))
+    whole = F.when(path(link) == "", path(base)).otherwise(without_dots(joined))
     tail = F.concat(
         F.when(F.contains(link, F.lit("?")), F.concat(F.lit("?"), query(link))).when((path(link) == "") & (query(base) != ""), F.concat(F.lit("?"), query(base))).otherwise(""),
         F.when(F.contains(link, F.lit("#")), F.concat(F.lit("#"), fragment(link))).otherwise(""),
@@ -129,7 +130,7 @@ def resolved(link: Column, base: Column) -> Column:
     return (
         F.when(link.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), link)
         .when(F.startswith(link, F.lit("//")), F.concat(scheme(base), F.lit(":"), link))
-        .otherwise(F.concat(origin, without_dots(joined), tail))
+        .otherwise(F.concat(origin, whole, tail))
     )
 
 

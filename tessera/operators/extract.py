@@ -147,7 +147,7 @@ def feed_endpoints(texts: DataFrame, text: str = "text", order: str = "seq", syn
 
 def _walk(value: Column, levels: int) -> Column:
     """Strings inside a variant, of objects and arrays down to `levels`, as one array."""
-    text = F.array(F.try_variant_get(value, "$", "string"))
+    text = F.array(F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string")))
     if not levels:
         return text
     members = F.map_values(F.coalesce(F.try_variant_get(value, "$", "map<string,variant>"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<variant>"))))
@@ -220,11 +220,11 @@ def script_endpoints(scripts: DataFrame, text: str = "body", base: str = "script
 
 def playlist_variants(playlists: DataFrame, url: str = "url", body: str = "body") -> DataFrame:
     """(url, n, variant): for each stream entry of a master playlist the next line that is no tag, absolute, distinct in order."""
-    lines = F.filter(F.transform(F.split(F.coalesce(F.col(body), F.lit("")), r"\r?\n"), F.trim), lambda s: s != "")
+    lines = F.filter(F.transform(F.split(F.coalesce(F.col(body), F.lit("")), r"\r?\n"), lambda s: F.trim(s)), lambda s: s != "")
     marked = F.filter(lines, lambda s: F.startswith(s, F.lit("#EXT-X-STREAM-INF")) | ~F.startswith(s, F.lit("#")))
     follow = F.filter(F.zip_with(marked, F.slice(marked, 2, 1 << 20), lambda a, b: F.when(F.startswith(a, F.lit("#EXT-X-STREAM-INF")) & ~F.startswith(b, F.lit("#")), b)), lambda s: s.isNotNull())
     found = F.array_distinct(F.transform(follow, lambda s: U.resolved(s, F.col(url))))
-    return playlists.select(F.col(url).alias("url"), F.posexplode(found).alias("n", "variant"))
+    return playlists.withColumn("_found", found).select(F.col(url).alias("url"), F.posexplode("_found").alias("n", "variant"))
 
 
 #: Words of URLs that name no place (fixed values).

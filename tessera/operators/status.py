@@ -140,7 +140,7 @@ def frame_verdicts(frames: DataFrame) -> DataFrame:
 
 def playlist_fields(body: Column) -> Column:
     """STRUCT<sequence, segments, ended, vod> of a media playlist."""
-    lines = F.transform(F.split(body, r"\r?\n"), F.trim)
+    lines = F.transform(F.split(body, r"\r?\n"), lambda s: F.trim(s))
     return F.struct(
         F.nullif(F.regexp_extract(body, r"#EXT-X-MEDIA-SEQUENCE:\s*(\d+)", 1), F.lit("")).cast("bigint").alias("sequence"),
         F.filter(lines, lambda s: (s != "") & ~F.startswith(s, F.lit("#"))).alias("segments"),
@@ -173,9 +173,16 @@ def visual_verdicts(frames: DataFrame, playlists: DataFrame) -> DataFrame:
     s = frame_summary(frames.where(F.size("pixels") > 0)).join(playlists.groupBy("url").agg(F.bool_or("changed").alias("growing")), "url", "left")
     likeness = 1 - F.coalesce("mean_diff", F.lit(0.0)) / 255.0
     loop = (F.coalesce("still_share", F.lit(1.0)) > 0.95) & F.coalesce("growing", F.lit(False))
-    made = F.when(loop, F.struct(F.lit("unknown").alias("status"), F.lit("active_prerecorded_loop_short").alias("substatus"), F.lit(0.6).alias("confidence"))).when(
-        F.col("near_black_share") > 0.98, F.struct(F.lit("unknown"), F.lit("decode_failed"), F.lit(0.4))
-    ).when(likeness > 0.995, F.struct(F.lit("live"), F.lit("active_live_static_view"), F.lit(0.65))).otherwise(F.struct(F.lit("live"), F.lit("active_live_dynamic"), F.lit(0.7)))
+
+    def verdict(status_: str, substatus: str, confidence: float) -> Column:
+        return F.struct(F.lit(status_).alias("status"), F.lit(substatus).alias("substatus"), F.lit(confidence).alias("confidence"))
+
+    made = (
+        F.when(loop, verdict("unknown", "active_prerecorded_loop_short", 0.6))
+        .when(F.col("near_black_share") > 0.98, verdict("unknown", "decode_failed", 0.4))
+        .when(likeness > 0.995, verdict("live", "active_live_static_view", 0.65))
+        .otherwise(verdict("live", "active_live_dynamic", 0.7))
+    )
     out = s.select("url", made.alias("v")).select("url", "v.*")
     urls = frames.select("url").distinct().join(out, "url", "left")
     return urls.select("url", F.coalesce("status", F.lit("unknown")).alias("status"), F.coalesce("substatus", F.lit("decode_failed")).alias("substatus"), F.coalesce("confidence", F.lit(0.2)).alias("confidence"))
