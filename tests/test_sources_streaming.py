@@ -1,6 +1,7 @@
 import json
 from datetime import datetime, timedelta
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import windows as W
@@ -16,7 +17,6 @@ def test_files(spark, tmp_path):
     assert sorted(r["domain"] or "" for r in S.read_artifacts(spark, str(tmp_path)).collect()) == ["", "", "x.example", "y.example"]
     assert S.read_jsonl(spark, str(tmp_path / "logs"), "url string, n int").where("n = 0").count() == 1
     doc = spark.createDataFrame([('{"a":{"b":1,"c":[1,2]},"d":null,"e":"x"}',)], "j string").select(F.try_parse_json("j").alias("doc"))
-    assert sorted((r["key"], r["value"]) for r in S.flattened(doc).collect() if r["value"] is not None) == [("a.b", "1"), ("a.c.len", "2"), ("d", "null"), ("e", "x")] or True
     got = {r["key"]: r["value"] for r in S.flattened(doc).collect()}
     assert got["a.b"] == "1" and got["a.c.len"] == "2" and got["e"] == "x"
 
@@ -63,7 +63,7 @@ def test_streams_equal_batches(spark, tmp_path):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
         J.run_to_end(J.health_states(J.read_stream(spark, src, schema, fmt="parquet")), out, state)
     got = sorted((r["id"], r["checks"], r["streak"], r["status"]) for r in spark.read.parquet(out).collect())
-    batch = W.failure_streaks(spark.createDataFrame(checks, schema)).withColumn("n", F.row_number().over(__import__("pyspark").sql.Window.partitionBy("id").orderBy("ts")))
+    batch = W.failure_streaks(spark.createDataFrame(checks, schema)).withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("ts")))
     assert got == sorted((r["id"], r["n"], r["streak"], r["status"]) for r in batch.collect())
 
     playlists = [("u", t0 + timedelta(minutes=i), f"#EXT-X-MEDIA-SEQUENCE:{i // 2}\na{i // 2}.ts") for i in range(4)]
