@@ -45,7 +45,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Add the token ids (packed, 32-bit little-endian), their number, and whether they decode to the text."""
-    out = bpe.tokenize(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, ids="ids", decoded="_decoded")
+    out = bpe.tokenize(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, decoded="_decoded")
     same = F.col("_decoded") == F.coalesce("text", F.lit(""))
     return out.withColumns({"n_tokens": F.expr("cast(length(ids) div 4 as bigint)"), "round_trip": same}).drop("_decoded")
 

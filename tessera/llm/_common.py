@@ -48,6 +48,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+#: What a worker process keeps between tasks: tables and memories of one operator at a time.
+_HELD: dict = {}
+
+
+def worker_cache(owner: str, key=None, make=None):
+    """In a worker: the object that `make` builds for (owner, key), kept for later tasks.
+
+    Workers live on between stages, so what other operators have kept goes first; an owner without a
+    key only does that.
+    """
+    for other in [k for k in _HELD if k[0] != owner]:
+        del _HELD[other]
+    if make is None:
+        return None
+    if (owner, key) not in _HELD:
+        _HELD[owner, key] = make()
+    return _HELD[owner, key]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -17,10 +17,11 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import bounded_batches
+from tessera.llm._common import bounded_batches, worker_cache
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -157,17 +158,21 @@ class Transducer:
 
 
 class _Pieces(dict):
-    """Packed ids by piece of text; cleared when it holds `most` pieces."""
+    """Packed ids by piece of text, in two generations: what is in use survives when the older one goes."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 500_000, longest: int = 64):
+    def __init__(self, ranks: dict[bytes, int], most: int = 250_000, longest: int = 64):
         super().__init__()
         self.transducer, self.most, self.longest = Transducer(ranks), most, longest
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.transducer.encode(piece.encode())
-        packed = struct.pack(f"<{len(ids)}I", *ids)
+        packed = self.older.get(piece)
+        if packed is None:
+            ids = self.transducer.encode(piece.encode())
+            packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= self.longest:
             if len(self) >= self.most:
+                self.older = dict(self)
                 self.clear()
             self[piece] = packed
         return packed
@@ -312,14 +317,8 @@ class Decoder:
         return "".join(out), stream.valid
 
 
-#: One encoder and decoder per worker process and rank file; workers are reused between tasks.
-_MADE: dict[tuple, object] = {}
-
-
-def _made(kind, *args):
-    if (kind, *args) not in _MADE:
-        _MADE[kind, *args] = kind(*args)
-    return _MADE[kind, *args]
+def _codec(ranks_path: str, pattern: str) -> tuple[Encoder, Decoder]:
+    return worker_cache("bpe", (ranks_path, pattern), lambda: (Encoder(ranks_path, pattern), Decoder(ranks_path)))
 
 
 def encode(text: Column, ranks_path: str, pattern: str) -> Column:
@@ -331,18 +330,18 @@ def encode(text: Column, ranks_path: str, pattern: str) -> Column:
 
     @F.pandas_udf("binary")
     def ids(texts: pd.Series) -> pd.Series:
-        encoder = _made(Encoder, ranks_path, pattern)
+        encoder = _codec(ranks_path, pattern)[0]
         return pd.Series([encoder(x) for x in texts], dtype=object)
 
     return ids(text)
 
 
-def decode(ids: Column, ranks_path: str) -> Column:
+def decode(ids: Column, ranks_path: str, pattern: str) -> Column:
     """Text of packed ids. Null gives an empty text; bytes that aren't UTF-8 become U+FFFD."""
 
     @F.pandas_udf("string")
     def texts(packed: pd.Series) -> pd.Series:
-        decoder = _made(Decoder, ranks_path)
+        decoder = _codec(ranks_path, pattern)[1]
         return pd.Series([decoder.text(x)[0] for x in packed], dtype=object)
 
     return texts(ids)
@@ -352,6 +351,18 @@ def tokenize(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
     """Add the packed ids of `text` and the text decoded from them; columns of those names are replaced.
 
     Each row stands alone: nothing is shuffled, repeated rows stay, an empty table gives an empty one.
+    One pass: a worker encodes a batch and decodes the ids it got.
     """
     bounded_batches(df.sparkSession)
-    return df.withColumn(ids, encode(F.col(text), ranks_path, pattern)).withColumn(decoded, decode(F.col(ids), ranks_path))
+    plain = df.drop(ids, decoded)
+    at = plain.columns.index(text)
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = _codec(ranks_path, pattern)
+        for batch in batches:
+            packed = [encoder(x) for x in batch.column(at).to_pylist()]
+            texts = [decoder.text(x)[0] for x in packed]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(packed, pa.binary()), pa.array(texts, pa.string())], names=[*batch.schema.names, ids, decoded])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
+    return plain.mapInArrow(both, f"{kinds}, `{ids}` binary, `{decoded}` string")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import bounded_batches, stored
+from tessera.llm._common import bounded_batches, stored, worker_cache
 
 WORDS, SHARE = 5, 0.8
 #: Up to so many bytes of items in the driver's count, their sketches and shingles go to all tasks.
@@ -41,16 +41,18 @@ def shingles_of(text: str | None, words: int = WORDS) -> set[str]:
     return {" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))}
 
 
-_HASHES: dict[str, int] = {}
+class _WordHashes(dict):
+    """64-bit hashes by word; cleared when it holds `most`."""
 
+    def __init__(self, most: int = 200_000):
+        super().__init__()
+        self.most = most
 
-def _hash_word(word: str) -> int:
-    got = _HASHES.get(word)
-    if got is None:
-        if len(_HASHES) > 500_000:
-            _HASHES.clear()
-        got = _HASHES[word] = xxhash.xxh3_64_intdigest(word)
-    return got
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        got = self[word] = xxhash.xxh3_64_intdigest(word)
+        return got
 
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -60,7 +62,8 @@ def shingle_hashes(found: list[str], words: int = WORDS) -> np.ndarray:
     """A 64-bit hash of each shingle of a list of words; those of a short list all go into one."""
     if not found:
         return np.empty(0, np.uint64)
-    each = np.fromiter(map(_hash_word, found), np.uint64, len(found))
+    hashes = worker_cache("decontaminate", "words", _WordHashes)
+    each = np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found))
     n = max(1, len(each) - words + 1)
     out = np.zeros(n, np.uint64)
     for i in range(min(words, len(each))):

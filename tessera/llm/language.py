@@ -11,6 +11,7 @@ of one row of each: no embedding is needed.
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import bounded_batches, hash_bound, learnable_column
+from tessera.llm._common import bounded_batches, hash_bound, learnable_column, worker_cache
 
 #: Labelled rows that training may take, over all languages together, and bytes of each: bounds of the sample.
 SAMPLE_ROWS, SAMPLE_BYTES = 2400, 1024
@@ -220,20 +221,22 @@ def predict(docs: DataFrame, network: Network | None, text: str = "text", lang_o
     spark = docs.sparkSession
     bounded_batches(spark)
     held = spark.sparkContext.broadcast(pickle.dumps(network))
-    made: dict[str, Predictor] = {}
+    name = uuid.uuid4().hex
     plain = docs.drop(lang_out, score_out)
     at = plain.columns.index(text)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if "p" not in made:
+        def make() -> Predictor | None:
             found = pickle.loads(held.value)
-            made["p"] = Predictor(found) if found else None
+            return Predictor(found) if found else None
+
+        predictor = worker_cache("language", name, make)
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            if made["p"] is None:
+            if predictor is None:
                 languages, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
             else:
-                languages, scores = made["p"].batch(texts)
+                languages, scores = predictor.batch(texts)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(languages, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, lang_out, score_out]
             )

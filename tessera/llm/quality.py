@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import bounded_batches, hash_bound, learnable_column
+from tessera.llm._common import bounded_batches, hash_bound, learnable_column, worker_cache
 
 #: Hash buckets of words, the first SHAPES of them for shapes; width of a vector; signs of an index vector; neighbours on each side.
 BUCKETS, SHAPES, WIDTH, SIGNS, REACH = 8192, 512, 32, 2, 2
@@ -53,17 +53,15 @@ class _Words(dict):
         return packed
 
 
-_WORDS = _Words()
-
-
 def _blocks(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(row, word bucket, shape bucket) of all words of texts, about BLOCK words at a time; long texts are cut."""
+    known = worker_cache("quality", "words", _Words)
     rows, found, size = [], [], 0
     for i, text in enumerate(texts):
         words = (text or "").split()
         for at in range(0, len(words), BLOCK):
             part = words[at : at + BLOCK]
-            found.append(np.fromiter(map(_WORDS.__getitem__, part), np.int64, len(part)))
+            found.append(np.fromiter(map(known.__getitem__, part), np.int64, len(part)))
             rows.append(np.full(len(part), i))
             size += len(part)
             if size >= BLOCK:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import bounded_batches, partitions, stored
+from tessera.llm._common import bounded_batches, partitions, stored, worker_cache
 from tessera.llm.graph import connected_components
 
 BITS = 64
@@ -63,6 +63,7 @@ def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
 
     @F.pandas_udf("bigint")
     def of(texts: pd.Series) -> pd.Series:
+        worker_cache("simhash")
         return pd.Series(np.array([fingerprint(x, words) for x in texts], dtype=np.uint64).view(np.int64))
 
     return docs.select(F.col(id), of(F.col(text)).alias(out))
@@ -220,6 +221,10 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", budget: in
     """
     named = docs.where(F.col(id).isNotNull())
     marked = components(named.select(id, text), id, text, budget, words)
-    stay = marked.where(F.col(id) == F.col("component_id")).select(F.col(id).alias("_kept"))
-    out = named.join(stay, named[id] == stay["_kept"], "left_semi").dropDuplicates([id])
-    return out.unionByName(docs.where(F.col(id).isNull()))
+    stay = marked.where(F.col(id) == F.col("component_id")).groupBy(F.col(id).alias("_kept")).agg(F.count("*").alias("_rows"))
+    stay = stored(stay, "kept")
+    found = named.join(stay, named[id] == stay["_kept"])
+    # ids that repeat are few, so only their rows are sorted and compared
+    once = found.where("_rows = 1").drop("_kept", "_rows")
+    again = named.join(stay.where("_rows > 1"), named[id] == F.col("_kept"), "left_semi").dropDuplicates([id])
+    return once.unionByName(again).unionByName(docs.where(F.col(id).isNull()))
