@@ -20,13 +20,12 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import bounded_batches, partitions, stored
+from tessera.llm._common import bounded_batches, partitions, stored, worker_cache
 
 LENGTH, GRAM = 400, 100
 #: Bytes of text that are hashed at once; longer texts go through in overlapping parts.
@@ -121,6 +120,7 @@ def _parts(batch: pa.RecordBatch, length: int) -> Iterator[tuple[list[tuple[int,
 
 def _emit_cells(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
     """Rows (id, mark, bytes) to cells."""
+    worker_cache("suffix")
     kind_of = xxhash.xxh3_128_digest
     for batch in batches:
         ids, marks = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
@@ -463,23 +463,29 @@ def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", n_c
     joined = named.join(spans, (named["_id"] == spans["id"]) & (named["_mark"] == spans["mark"]), "left").select(*[named[c] for c in docs.columns], "_found")
     bounded_batches(docs.sparkSession)
 
-    @F.pandas_udf("string")
-    def rest(texts: pd.Series, found: pd.Series) -> pd.Series:
-        out = []
-        for value, spans in zip(texts, found, strict=True):
-            if spans is None or not len(spans):
+    names = list(docs.columns)
+    # one pass in one worker: a function of a column would run again for each use of its result
+    at, spans_at = joined.columns.index(text), joined.columns.index("_found")
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("suffix")
+        for batch in batches:
+            out = []
+            for value, found in zip(batch.column(at).to_pylist(), batch.column(spans_at).to_pylist(), strict=True):
+                if found:
+                    raw = value.encode()
+                    keep = np.ones(len(raw), bool)
+                    for s in found:
+                        keep[s["first"] : s["last"]] = False
+                    value = np.frombuffer(raw, np.uint8)[keep].tobytes().decode("utf-8", "ignore")
                 out.append(value)
-                continue
-            raw = value.encode()
-            keep = np.ones(len(raw), bool)
-            for s in spans:
-                keep[s["first"] : s["last"]] = False
-            out.append(np.frombuffer(raw, np.uint8)[keep].tobytes().decode("utf-8", "ignore"))
-        return pd.Series(out, dtype=object)
-
-    cut = joined.withColumn("_text", rest(F.col(text), F.col("_found")))
-    cut = cut.where(F.col("_found").isNull() | (F.length("_text") > 0))
-    columns = {text: F.col("_text")}
+            columns = [pa.array(out, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns) if i != spans_at]
+            flags = pa.array([bool(f) for f in batch.column(spans_at).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*columns, flags], names=[*names, "_cut"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    cut = joined.mapInArrow(rest, f"{kinds}, _cut boolean").where(~F.col("_cut") | (F.length(text) > 0))
     if n_chars and n_chars in docs.columns:
-        columns[n_chars] = F.when(F.col("_found").isNull(), F.col(n_chars)).otherwise(F.length("_text")).cast(docs.schema[n_chars].dataType)
-    return cut.withColumns(columns).select(*docs.columns)
+        count = F.when(F.col("_cut"), F.length(text)).otherwise(F.col(n_chars))
+        cut = cut.withColumn(n_chars, count.cast(docs.schema[n_chars].dataType))
+    return cut.select(*docs.columns)
