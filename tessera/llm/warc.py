@@ -8,6 +8,7 @@ without the rest. Archives lie in a folder that all executors reach (any that py
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import json
 import uuid
@@ -162,7 +163,7 @@ def mark_revisits(pages: DataFrame, id: str = "page_id", url: str = "url", html:
     return joined.select("page_id", "url", "payload", "first_id", first.alias("is_first"))
 
 
-def write_archives(marked: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES, level: int = 1) -> DataFrame:
+def write_archives(marked: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES, level: int = 6) -> DataFrame:
     """Write rows of mark_revisits() as archives of one gzip stream each; returns (archive, records), stored."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,6 +225,9 @@ def normalise_archives(archives: DataFrame, folder: str, level: int = 6) -> Data
             if done:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], names=["archive", "records"])
 
+    # the shuffle that dealt out the pages isn't needed any more: let Spark drop its files before more are written
+    gc.collect()
+    archives.sparkSession.sparkContext._jvm.System.gc()
     n = max(1, archives.count())
     dealt = archives.repartition(min(n, 4096))
     return stored(dealt.mapInArrow(of, "archive string, records bigint"), "normalised")
