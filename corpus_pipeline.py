@@ -31,11 +31,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 400 bytes and more that occur at several places go from the texts; n_chars follows.
+    """Passages of 400 bytes and more that occur at several places go from the texts, and so do those of
+    over 50 words that several documents hold; n_chars follows.
 
     A character cut by the end of a passage goes too. A document all of whose text goes, goes as well.
     """
-    return suffix.without_repeats(docs)
+    return suffix.without_repeats(docs, words=suffix.RUN_WORDS)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

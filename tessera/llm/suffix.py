@@ -16,6 +16,7 @@ A suffix array of the corpus would not fit one task, so the corpus is cut so tha
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,6 +35,11 @@ PART = 1 << 20
 GROUP = 256
 #: Bytes that one suffix array spans.
 SPAN = 1 << 18
+#: Words of the shortest passage that counts across documents: over 50.
+RUN_WORDS = 51
+WORD_BYTES = 4
+
+_WORD = re.compile(r"\S+")
 
 _FACTOR = 0x9E3779B97F4A7C15 | 1
 
@@ -345,11 +351,50 @@ def repeated_spans(
     (id, mark) is the key that keyed() gives. Null texts are empty; texts below `length` give nothing.
     With across, only repeats in rows of another key count; text may be binary.
     """
+    return spans_of(keyed(docs, id, text), length, gram, group, across)
+
+
+def _packed_words(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """Rows (id, mark, bytes of a text) to the same with a hash for each word; texts of fewer words go."""
+    digest = xxhash.xxh32_digest
+    for batch in batches:
+        found = [_WORD.findall(t.decode()) for t in batch.column(2).to_pylist()]
+        kept = pa.array([i for i, w in enumerate(found) if len(w) >= words], pa.int64())
+        packed = [b"".join(map(digest, found[i])) for i in kept.to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept), pa.array(packed, pa.binary())], names=["id", "mark", "bytes"])
+
+
+def repeated_word_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = RUN_WORDS, group: int = GROUP) -> DataFrame:
+    """(id, mark, first, last): bytes of the packed word hashes that rows of another key hold too, `words` words at least.
+
+    Words are what whitespace parts, so other line breaks make no other passage. A span may begin or end within a
+    hash, and of places in one row that are alike one may stand for all; cut_words() sees to both. Exact but for
+    32-bit collisions of a passage's words.
+    """
+    packed = keyed(docs, id, text).mapInArrow(lambda b: _packed_words(b, words), "id bigint, mark bigint, bytes binary")
+    length = words * WORD_BYTES
+    return spans_of(packed, length, length // 3, group, across=True)
+
+
+def cut_words(value: str, spans: list[tuple[int, int]], words: int) -> np.ndarray:
+    """Places (first, last) of the bytes of a text that spans of its packed hashes and their like in it cover."""
+    places = np.array([m.span() for m in _WORD.finditer(value)]).reshape(-1, 2)
+    packed = np.frombuffer(b"".join(map(xxhash.xxh32_digest, _WORD.findall(value))), np.uint8)
+    passages = gram_hashes(packed, words * WORD_BYTES)[::WORD_BYTES]
+    known = np.zeros(len(passages), bool)
+    for first, last in spans:
+        known[-(-first // WORD_BYTES) : max(0, last // WORD_BYTES - words + 1)] = True
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], np.isin(passages, passages[known]).view(np.int8), [0])))).reshape(-1, 2)
+    byte = np.append(np.flatnonzero((np.frombuffer(value.encode(), np.uint8) & 0xC0) != 0x80), len(value.encode()))
+    return np.stack([byte[places[edges[:, 0], 0]], byte[places[edges[:, 1] + words - 2, 1]]], axis=1)
+
+
+def spans_of(source: DataFrame, length: int, gram: int, group: int = GROUP, across: bool = False) -> DataFrame:
+    """repeated_spans() of rows (id, mark, bytes)."""
     if length <= gram or length < 8:
         raise ValueError("length must be over gram and at least 8")
-    spark = docs.sparkSession
+    spark = source.sparkSession
     bounded_batches(spark)
-    source = keyed(docs, id, text)
     found = stored(source.mapInArrow(lambda b: _emit_cells(b, length, gram), CELLS), "cells")
     tag = F.xxhash64("kind")
     anchors = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min(tag).alias("a"), F.max(tag).alias("b")).where("n > 1")
@@ -450,13 +495,18 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
     return out.withColumnRenamed("_id", id)
 
 
-def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars", length: int = LENGTH) -> DataFrame:
+def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars", length: int = LENGTH, words: int | None = None) -> DataFrame:
     """docs with their columns, texts without repeated strings; rows all of whose text repeats go.
 
+    With words, passages of so many words that other rows hold too go as well, however few their bytes;
+    both are judged on the input.
     Bytes of a character that a span cuts go with it. n_chars, if docs has it, is counted again. Null
     texts stay null, empty ones empty.
     """
-    spans = repeated_spans(docs, id, text, length).groupBy("id", "mark").agg(F.collect_set(F.struct("first", "last")).alias("_found"))
+    spans = repeated_spans(docs, id, text, length).withColumn("words", F.lit(False))
+    if words:
+        spans = spans.unionByName(repeated_word_spans(docs, id, text, words).withColumn("words", F.lit(True)))
+    spans = spans.groupBy("id", "mark").agg(F.collect_set(F.struct("first", "last", "words")).alias("_found"))
     data = F.coalesce(F.col(text), F.lit("")).cast("binary")
     key = F.coalesce(F.col(id).cast("bigint"), F.lit(-(2**63)).cast("bigint"))
     named = docs.withColumns({"_id": key, "_mark": F.xxhash64(data)})
@@ -470,18 +520,23 @@ def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", n_c
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("suffix")
         for batch in batches:
-            out = []
+            out, changed = [], []
             for value, found in zip(batch.column(at).to_pylist(), batch.column(spans_at).to_pylist(), strict=True):
+                changed.append(False)
                 if found:
-                    raw = value.encode()
+                    raw = np.frombuffer(value.encode(), np.uint8)
                     keep = np.ones(len(raw), bool)
                     for s in found:
-                        keep[s["first"] : s["last"]] = False
-                    value = np.frombuffer(raw, np.uint8)[keep].tobytes().decode("utf-8", "ignore")
+                        if not s["words"]:
+                            keep[s["first"] : s["last"]] = False
+                    runs = [(s["first"], s["last"]) for s in found if s["words"]]
+                    for a, z in cut_words(value, runs, words).tolist() if runs else ():
+                        keep[a:z] = False
+                    changed[-1] = not keep.all()
+                    value = raw[keep].tobytes().decode("utf-8", "ignore")
                 out.append(value)
             columns = [pa.array(out, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns) if i != spans_at]
-            flags = pa.array([bool(f) for f in batch.column(spans_at).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*columns, flags], names=[*names, "_cut"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(changed, pa.bool_())], names=[*names, "_cut"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     cut = joined.mapInArrow(rest, f"{kinds}, _cut boolean").where(~F.col("_cut") | (F.length(text) > 0))

@@ -77,3 +77,43 @@ def test_edges(spark, edge):
     assert all(r["n_chars"] == len(r["text"]) < 10 for r in S.without_repeats(two).collect())
     with pytest.raises(ValueError):
         S.repeated_spans(edge, length=50, gram=50)
+
+
+def test_pipeline_cuts_passages_of_51_words(spark):
+    """Over 50 words in other documents go, whatever their bytes and line breaks; 50 words, or one document alone, stay."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+
+    def some(n, size=5):
+        return ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(size)) for _ in range(n)]
+
+    passage, short, own = some(51), some(50), some(51)
+    texts = [some(70) + passage + some(90), some(5) + passage + some(3), some(40) + short + some(20), short + some(9), own + some(30) + own, some(51), passage + some(60)]
+    assert 300 < len(" ".join(passage)) < 320
+    lines = [" ".join(t) for t in texts]
+    lines[1] = lines[1].replace(" ", "\n  ")
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(lines)] + [(None, None, "en", "s", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+    got = {r["doc_id"]: r for r in corpus_pipeline.drop_repeats(spark, docs, "").collect()}
+    assert len(got) == 8 and got[None]["text"] is None
+    shared = set(passage)
+    for i, words in enumerate(texts):
+        assert got[i]["text"].split() == [w for w in words if w not in shared] and got[i]["n_chars"] == len(got[i]["text"])
+
+
+def test_repeated_words_like_brute_force(spark):
+    rng = random.Random(9)
+    base = [[rng.choice(["a", "bé", "c\u00a0d", "e"]) for _ in range(rng.randrange(0, 60))] for _ in range(50)]
+    texts = [" ".join(b) for b in base] + ["x " * 80, "x " * 9]
+    split = [t.split() for t in texts]
+    holders = {}
+    for i, w in enumerate(split):
+        for k in range(len(w) - 5):
+            holders.setdefault(tuple(w[k : k + 6]), set()).add(i)
+    gone = {(i, k + d) for i, w in enumerate(split) for k in range(len(w) - 5) if len(holders[tuple(w[k : k + 6])]) > 1 for d in range(6)}
+    want = {i: [x for k, x in enumerate(w) if (i, k) not in gone] for i, w in enumerate(split)}
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(4)
+    got = {r["doc_id"]: r["text"].split() for r in S.without_repeats(df, words=6).collect()}
+    assert gone and got == {i: w for i, w in want.items() if i in got}
+    assert all(gone >= {(i, k) for k in range(len(split[i]))} and texts[i] for i in set(want) - set(got))
