@@ -28,7 +28,8 @@ def expand(
     """(root, url, depth, parent): pages reached from each root, each once, at its least depth, from its least parent.
 
     roots (url); links (page, link), as of stored pages. A root gets at most max_pages pages, those of lesser
-    depth first, then by URL. Each level is one join and one anti join, and is written to the shared folder.
+    depth first, then by URL. A root that has them goes no deeper, as nothing further could be among them. Each
+    level is one join and one anti join, and is written to the shared folder.
     """
     words = lambda ws: "|".join(ws)
     steps = links.select("page", "link").distinct()
@@ -41,13 +42,17 @@ def expand(
     steps = stored(steps, "steps")
     frontier = roots.select(F.col("url").alias("root"), "url", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent")).distinct()
     seen = frontier = stored(frontier, "level")
+    pages = seen.groupBy("root").agg(F.count("*").alias("pages"))
     for depth in range(1, max_depth + 1):
+        full = pages.where(F.col("pages") >= max_pages).select("root")
+        frontier = frontier.join(full, "root", "left_anti")
         reached = frontier.join(steps, frontier["url"] == steps["page"]).groupBy("root", F.col("link").alias("url")).agg(F.min("page").alias("parent"))
         fresh = reached.join(seen, ["root", "url"], "left_anti").select("root", "url", F.lit(depth).alias("depth"), "parent")
         frontier = stored(fresh, "level")
         if frontier.limit(1).count() == 0:
             break
         seen = seen.unionByName(frontier)
+        pages = seen.groupBy("root").agg(F.count("*").alias("pages"))
     return top_per_group(seen, ["root"], ["depth", "url"], max_pages)
 
 

@@ -584,11 +584,9 @@ def j21_similar_labels(spark, sf):
 
 @query()
 def g1_link_graph(spark, sf):
-    """Links of pages on their own hosts, two levels from every twentieth host's pages."""
+    """Links of pages on their own hosts, from every page, to the operator's own depth and number of pages."""
     pages = table(spark, sf, "pages")
-    links = extract.same_domain_links(pages)
-    hosts = pages.select("url", F.crc32(F.encode(U.domain(F.col("url")), "utf-8")).alias("h"))
-    return graph.expand(hosts.where("h % 20 = 0").select("url"), links, 2, 1000)
+    return graph.expand(pages.select("url"), extract.same_domain_links(pages))
 
 
 @query(f"with {LOCATED} select count(*) as total, count(*) filter (status = 'live') as live, count(*) filter (status = 'dead') as dead, count(*) filter (status not in ('live', 'dead')) as unknown, count(*) filter (latitude is null) as unmapped, 'x' as generated from located")
