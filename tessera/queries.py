@@ -562,12 +562,11 @@ def j20_proximity(spark, sf):
 
 
 def entities(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as records: the start of the text is the label, the source the city."""
-    d = table(spark, sf, "documents")
-    k = F.col("doc_id")
-    return d.select(
-        k.alias("seq"), F.concat(F.lit("https://e"), F.floor(k / 3), F.lit(".example/s.m3u8?x="), k % 2).alias("url"), F.col("source").alias("city"), F.substring("text", 1, 24).alias("label"),
-        F.when(k % 4 == 0, (k % 100) / 10000.0).alias("latitude"), F.when(k % 4 == 0, F.lit(7.5)).alias("longitude"), F.array(F.col("lang")).alias("source_refs"), F.lit("2026-01-01").alias("last_verified"),
+    """Pages as records: the whole title is the label, the host the city."""
+    k, host = F.col("page_id"), U.domain(F.col("url"))
+    return table(spark, sf, "pages").select(
+        k.alias("seq"), "url", host.alias("city"), F.regexp_extract("html", r"(?is)<title\b[^>]*>(.*?)</title>", 1).alias("label"),
+        F.when(k % 4 == 0, (k % 100) / 10000.0).alias("latitude"), F.when(k % 4 == 0, F.lit(7.5)).alias("longitude"), F.array(host).alias("source_refs"), F.lit("2026-01-01").alias("last_verified"),
     )
 
 

@@ -81,3 +81,17 @@ def test_chain_is_not_passed_on(spark):
     df = spark.createDataFrame([(i, f"https://h{i}.example", "Rome", x, i * step, 0.0, ["r"], "x") for i, x in enumerate(["alpha", "bravo", "candy"])], "seq long, url string, city string, label string, latitude double, longitude double, source_refs array<string>, last_verified string")
     assert sorted((r["seq"], r["merged_rows"]) for r in R.deduplicate(df).collect()) == [(0, 2), (2, 1)]
     assert R.deduplicate(df.limit(0)).count() == 0
+
+
+def test_queries_take_whole_labels(spark, tmp_path):
+    """Titles of one host with the same 24 characters at the start are told apart; alike ones with other openings meet."""
+    from tessera import queries as Q
+
+    opening = "Traffic cameras of the city: "
+    titles = [opening + "harbour, quay and old bridge", opening + "mountain pass X951", "A view: quay, old bridge, tower and the long market", "B view: quay, old bridge, tower and the long market", opening + "mountain pass X951", ""]
+    rows = [(4 * i + 1, f"http://h.example/p{i}", f"<html><TITLE lang='en'>{t}</TITLE><p>x</p></html>") for i, t in enumerate(titles)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    want = {(4 * i + 1, 4 * j + 1) for j in range(6) for i in range(j) if ratio(titles[i].lower(), titles[j].lower()) > 85}
+    assert want == {(5, 17), (9, 13)}
+    assert {tuple(r) for r in Q.QUERIES["j21_similar_labels"](spark, str(tmp_path)).collect()} == want
+    assert {(r["seq"], r["merged_rows"]) for r in Q.QUERIES["d1_entity_resolution"](spark, str(tmp_path)).collect()} == {(1, 1), (5, 2), (9, 2), (21, 1)}
