@@ -23,29 +23,76 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
 
-    Where it is unset (tests in one process) a folder of our own is set for this session.
+    Where it is unset and the session runs in one process (tests) a folder of our own is set for it. On a
+    cluster such a folder would lie on each machine's own disk, so there it must be set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _written(df: DataFrame, path: str) -> DataFrame:
+    spark, schema = df.sparkSession, df.schema
+    df.write.parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
     Cuts the lineage, so that a lost executor costs no recomputation of what came before, and lets
     Spark drop the shuffle files that led here.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    return _written(df, f"{shared_dir(df.sparkSession)}/tessera-{name}-{uuid.uuid4().hex}")
+
+
+class Scratch:
+    """Tables between the jobs of one computation, in a folder of their own that goes when its result is stored."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{shared_dir(spark)}/tessera-scratch-{uuid.uuid4().hex}"
+        self.tables: list[tuple[DataFrame, str]] = []
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        """stored() in this folder."""
+        path = f"{self.folder}/{len(self.tables):04d}-{name}"
+        self.tables.append((_written(df, path), path))
+        return self.tables[-1][0]
+
+    def _delete(self, path: str) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+
+    def replaced(self, old: DataFrame, df: DataFrame, name: str) -> DataFrame:
+        """stored() of df, which takes the place of `old`, a table of this folder that nothing else needs."""
+        new = self.stored(df, name)
+        for table, path in self.tables:
+            if table is old:
+                self._delete(path)
+        return new
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        """stored() of what the computation gives; all its other tables go."""
+        out = stored(df, name)
+        self._delete(self.folder)
+        return out
+
+
+def free_name(wanted: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has, whatever the case."""
+    taken, name = {c.lower() for f in frames for c in f.columns}, wanted
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 #: What a worker process keeps between tasks: tables and memories of one operator at a time.

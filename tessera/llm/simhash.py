@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import bounded_batches, partitions, stored, worker_cache
+from tessera.llm._common import bounded_batches, free_name, partitions, stored, worker_cache
 from tessera.llm.graph import connected_components
 
 BITS = 64
@@ -209,22 +209,32 @@ def components(docs: DataFrame, id: str = "doc_id", text: str = "text", budget:
     rooted = nodes.join(joined, nodes["fp"] == joined["node"], "left").select(
         nodes["fp"], "least", F.coalesce("root", nodes["fp"]).alias("root")
     )
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    rooted = stored(rooted, "rooted")
+    least = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     of_fp = stored(rooted.join(least, "root").select("fp", "component_id"), "classes")
     return marked.join(of_fp, "fp").select(id, "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", budget: int = 4, words: int = 4) -> DataFrame:
-    """The documents that stay: of each class the row with the least id, one of them if it repeats.
+    """The documents that stay: of each class one row, that with the least id; columns stay.
 
-    Columns stay. Rows without an id can't stand for a class and all stay.
+    Rows without an id come after all others; of rows that repeat the least id, or of a class without
+    any, the text with the least hash stays, and of rows that repeat that too, one. So each class keeps
+    exactly one row, whether ids are unique or not. An empty table stays empty.
     """
-    named = docs.where(F.col(id).isNotNull())
-    marked = components(named.select(id, text), id, text, budget, words)
-    stay = marked.where(F.col(id) == F.col("component_id")).groupBy(F.col(id).alias("_kept")).agg(F.count("*").alias("_rows"))
-    stay = stored(stay, "kept")
-    found = named.join(stay, named[id] == stay["_kept"])
-    # ids that repeat are few, so only their rows are sorted and compared
-    once = found.where("_rows = 1").drop("_kept", "_rows")
-    again = named.join(stay.where("_rows > 1"), named[id] == F.col("_kept"), "left_semi").dropDuplicates([id])
-    return once.unionByName(again).unionByName(docs.where(F.col(id).isNull()))
+    own, mark = (free_name(n, docs) for n in ("_own", "_mark"))
+    named = docs.withColumns({own: F.col(id), mark: F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
+    texts = named.select(F.struct(F.col(own).isNull().alias("unnamed"), F.col(own).alias("own"), F.col(mark).alias("mark")).alias("row"), F.col(text).alias("text"))
+    marked = stored(fingerprints(texts, "row", "text", words), "fingerprints")
+    nodes = marked.groupBy("fp").agg(F.min("row").alias("least"))
+    joined = connected_components(links(nodes.select("fp"), budget=budget), "a", "b")
+    rooted = nodes.join(joined, nodes["fp"] == joined["node"], "left").select("least", F.coalesce("root", nodes["fp"]).alias("root"))
+    stay = rooted.groupBy("root").agg(F.min("least").alias("row")).select("row")
+    times = marked.groupBy("row").agg(F.count("*").alias("times"))
+    stay = stored(stay.join(times, "row").select("row.own", "row.mark", "times"), "kept")
+    same = lambda rows: named[own].eqNullSafe(rows["own"]) & (named[mark] == rows["mark"])
+    # rows that agree in id and text are few, so only they are brought together
+    once, several = stay.where("times = 1"), stay.where("times > 1")
+    single = named.join(once, same(once), "left_semi")
+    again = named.join(several, same(several), "left_semi").dropDuplicates([own, mark])
+    return single.unionByName(again).select(*docs.columns)
