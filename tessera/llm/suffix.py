@@ -23,10 +23,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from tessera.llm._common import bounded_batches, partitions, stored, worker_cache
+from tessera.llm._common import Scratch, bounded_batches, free_name, partitions, worker_cache
 
 LENGTH, GRAM = 400, 100
 #: Bytes of text that are hashed at once; longer texts go through in overlapping parts.
@@ -333,12 +334,16 @@ def _blocks(pieces: DataFrame, length: int, gram: int, size: int) -> DataFrame:
     )
 
 
+def key_of(docs: DataFrame, id: str) -> Column:
+    """A number that tells ids apart: whole numbers are their own, others their hash; null gets the least number."""
+    key = F.col(id).cast("bigint") if isinstance(docs.schema[id].dataType, IntegralType) else F.when(F.col(id).isNotNull(), F.xxhash64(F.col(id)))
+    return F.coalesce(key, F.lit(-(2**63)).cast("bigint"))
+
+
 def keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """(id, mark, bytes): the bytes of each text; mark tells texts of one id apart. A null id gets the least number."""
+    """(id, mark, bytes): the key of each row and the bytes of its text; mark tells texts of one id apart."""
     data = F.coalesce(F.col(text).cast("binary"), F.lit("").cast("binary"))
-    return docs.select(F.coalesce(F.col(id).cast("bigint"), F.lit(-(2**63)).cast("bigint")).alias("id"), data.alias("bytes")).select(
-        "id", F.xxhash64("bytes").alias("mark"), "bytes"
-    )
+    return docs.select(key_of(docs, id).alias("id"), data.alias("bytes")).select("id", F.xxhash64("bytes").alias("mark"), "bytes")
 
 
 def repeated_spans(
@@ -395,11 +400,14 @@ def spans_of(source: DataFrame, length: int, gram: int, group: int = GROUP, acro
         raise ValueError("length must be over gram and at least 8")
     spark = source.sparkSession
     bounded_batches(spark)
+    scratch = Scratch(spark)
+    stored = scratch.stored
     found = stored(source.mapInArrow(lambda b: _emit_cells(b, length, gram), CELLS), "cells")
     tag = F.xxhash64("kind")
     anchors = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min(tag).alias("a"), F.max(tag).alias("b")).where("n > 1")
-    shared = found.join(anchors.select("anchor", (F.col("a") != F.col("b")).alias("mixed")), "anchor")
-    shared = stored(shared, "shared")
+    # a table of its own, so that the join reads two plain exchanges, of which Spark can split a common anchor's
+    anchors = stored(anchors.select("anchor", (F.col("a") != F.col("b")).alias("mixed")), "anchors")
+    shared = scratch.replaced(found, found.join(anchors, "anchor"), "shared")
     place = F.struct("id", "mark")
     copies_of = F.when(F.min(place) != F.max(place), 2).otherwise(1).cast("bigint") if across else F.count("*")
     kinds = shared.groupBy("anchor", "kind").agg(
@@ -408,6 +416,7 @@ def spans_of(source: DataFrame, length: int, gram: int, group: int = GROUP, acro
     kinds = stored(kinds, "kinds")
     copies = shared.join(kinds.where("n > 1").select("anchor", "kind"), ["anchor", "kind"], "left_semi")
     spans = copies.select("id", "mark", F.col("start").alias("first"), (F.col("start") + F.col("windows") - 1 + length).alias("last"))
+    spans = scratch.replaced(shared, spans, "copies")
     wanted = (
         kinds.where("mixed")
         .select("one.id", "one.mark", F.struct("anchor", "one.start", "one.windows", "one.lead", "n").alias("cell"))
@@ -427,7 +436,7 @@ def spans_of(source: DataFrame, length: int, gram: int, group: int = GROUP, acro
         dealt = small.repartition(partitions(spark), "group").sortWithinPartitions("group")
         spans = spans.unionByName(stored(dealt.mapInArrow(lambda b: _search_groups(b, length, across), SPANS), "spans"))
         if not again:
-            return spans
+            return scratch.result(spans, "spans")
         size = max(1, size // 2)
         marked = _blocks(pieces.join(large, "group", "left_semi"), length, gram, size)
         marked = stored(marked.withColumn("kind", F.sha2("bytes", 256)), "blocks")
@@ -482,8 +491,8 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
     spans = repeated_spans(docs, id, text, length, gram, group)
     by_text = spans.groupBy("id", "mark").agg(F.collect_set(F.struct("first", "last")).alias("found"))
     data = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    rows = docs.select(F.col(id).alias("_id"), data.alias("bytes")).select(
-        "_id", F.coalesce(F.col("_id").cast("bigint"), F.lit(-(2**63)).cast("bigint")).alias("id"), F.xxhash64("bytes").alias("mark"), "bytes"
+    rows = docs.select(F.col(id).alias("_id"), key_of(docs, id).alias("id"), data.alias("bytes")).select(
+        "_id", "id", F.xxhash64("bytes").alias("mark"), "bytes"
     )
     joined = rows.join(by_text, ["id", "mark"], "left").select("_id", "bytes", "found")
     kind = docs.schema[id].dataType.simpleString()
@@ -506,41 +515,41 @@ def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", n_c
     spans = repeated_spans(docs, id, text, length).withColumn("words", F.lit(False))
     if words:
         spans = spans.unionByName(repeated_word_spans(docs, id, text, words).withColumn("words", F.lit(True)))
-    spans = spans.groupBy("id", "mark").agg(F.collect_set(F.struct("first", "last", "words")).alias("_found"))
+    own, mark, found, cut_name = (free_name(n, docs) for n in ("_own", "_mark", "_found", "_cut"))
+    spans = spans.groupBy("id", "mark").agg(F.collect_set(F.struct("first", "last", "words")).alias(found))
     data = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    key = F.coalesce(F.col(id).cast("bigint"), F.lit(-(2**63)).cast("bigint"))
-    named = docs.withColumns({"_id": key, "_mark": F.xxhash64(data)})
-    joined = named.join(spans, (named["_id"] == spans["id"]) & (named["_mark"] == spans["mark"]), "left").select(*[named[c] for c in docs.columns], "_found")
+    named = docs.withColumns({own: key_of(docs, id), mark: F.xxhash64(data)})
+    joined = named.join(spans, (named[own] == spans["id"]) & (named[mark] == spans["mark"]), "left").select(*[named[c] for c in docs.columns], found)
     bounded_batches(docs.sparkSession)
 
     names = list(docs.columns)
     # one pass in one worker: a function of a column would run again for each use of its result
-    at, spans_at = joined.columns.index(text), joined.columns.index("_found")
+    at, spans_at = joined.columns.index(text), joined.columns.index(found)
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("suffix")
         for batch in batches:
             out, changed = [], []
-            for value, found in zip(batch.column(at).to_pylist(), batch.column(spans_at).to_pylist(), strict=True):
+            for value, spans in zip(batch.column(at).to_pylist(), batch.column(spans_at).to_pylist(), strict=True):
                 changed.append(False)
-                if found:
+                if spans:
                     raw = np.frombuffer(value.encode(), np.uint8)
                     keep = np.ones(len(raw), bool)
-                    for s in found:
+                    for s in spans:
                         if not s["words"]:
                             keep[s["first"] : s["last"]] = False
-                    runs = [(s["first"], s["last"]) for s in found if s["words"]]
+                    runs = [(s["first"], s["last"]) for s in spans if s["words"]]
                     for a, z in cut_words(value, runs, words).tolist() if runs else ():
                         keep[a:z] = False
                     changed[-1] = not keep.all()
                     value = raw[keep].tobytes().decode("utf-8", "ignore")
                 out.append(value)
             columns = [pa.array(out, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns) if i != spans_at]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(changed, pa.bool_())], names=[*names, "_cut"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(changed, pa.bool_())], names=[*names, cut_name])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    cut = joined.mapInArrow(rest, f"{kinds}, _cut boolean").where(~F.col("_cut") | (F.length(text) > 0))
+    cut = joined.mapInArrow(rest, f"{kinds}, {cut_name} boolean").where(~F.col(cut_name) | (F.length(text) > 0))
     if n_chars and n_chars in docs.columns:
-        count = F.when(F.col("_cut"), F.length(text)).otherwise(F.col(n_chars))
+        count = F.when(F.col(cut_name), F.length(text)).otherwise(F.col(n_chars))
         cut = cut.withColumn(n_chars, count.cast(docs.schema[n_chars].dataType))
     return cut.select(*docs.columns)
