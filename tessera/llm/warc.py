@@ -150,15 +150,18 @@ def mark_revisits(pages: DataFrame, id: str = "page_id", url: str = "url", html:
     """(page_id, url, payload, first_id, is_first): first_id is the least id among equal payloads.
 
     Null html is an empty payload. Rows that repeat the least id are all first, and so are all rows of
-    a payload that no id is known for.
+    a payload that no id is known for. Ids are whole numbers. Only digests that occur more than once are
+    joined: payloads stay where they are while Spark can broadcast those, and a common one can be split
+    where it can't.
     """
     plain = pages.select(
         F.col(id).cast("bigint").alias("page_id"),
         F.col(url).cast("string").alias("url"),
         F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"),
     ).withColumn("digest", F.sha1("payload"))
-    least = plain.groupBy("digest").agg(F.min("page_id").alias("first_id"))
-    joined = plain.join(least, "digest")
+    counted = plain.groupBy("digest").agg(F.min("page_id").alias("least"), F.count("*").alias("n"))
+    several = stored(counted.where("n > 1").select("digest", "least"), "several")
+    joined = plain.join(several, "digest", "left").withColumn("first_id", F.coalesce("least", "page_id"))
     first = F.col("first_id").isNull() | F.coalesce(F.col("page_id") == F.col("first_id"), F.lit(False))
     return joined.select("page_id", "url", "payload", "first_id", first.alias("is_first"))
 
