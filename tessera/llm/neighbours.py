@@ -1,9 +1,15 @@
 """Approximate nearest neighbours by cosine: a forest of random-projection trees, searched best first.
 
 Each tree halves a bounded sample at the median of its projection on a random direction, level by
-level. Every vector is filed under its leaf in each tree. A query walks all trees with one shared
-priority queue: the leaf next visited is that for which the query has crossed planes by the least sum of
-squared margins. Candidates of visited leaves are ranked exactly, in double precision.
+level, until a leaf stands for about LEAF rows of the table. Every vector is filed under its leaf in each
+tree. A query walks all trees with one shared priority queue: the leaf next visited is that for which the
+query has crossed planes by the least sum of squared margins. Candidates of visited leaves are ranked
+exactly, in double precision.
+
+How many leaves a query visits isn't a constant: for a bounded sample of the table's own vectors the true
+neighbours are found by one exact pass over all rows, and the number is that which would have found the
+wanted share of them. Tables with clusters need few leaves; of vectors without any structure no index can
+pass over many, and the number says so.
 """
 
 from __future__ import annotations
@@ -11,6 +17,7 @@ from __future__ import annotations
 import heapq
 import math
 import pickle
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,16 +27,16 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._common import bounded_batches, stored
+from tessera.llm._common import bounded_batches, hash_bound, stored
 
-#: Vectors that the trees are fitted to: a bound of what the driver holds.
-SAMPLE = 8192
-TREES = 10
-#: Sampled vectors in a leaf, at least; and leaves visited, as a share of those of one tree.
-LEAF, VISITED = 16, 0.7
-#: But so many leaves at least: shallow trees tell little.
-VISITED_AT_LEAST = 48
-#: Vectors of a leaf that one task ranks; larger leaves are dealt out in parts.
+#: Vectors that the trees are fitted to: a bound of what the driver holds. SAMPLED of them make a leaf at least.
+SAMPLE, SAMPLED = 65_536, 8
+TREES = 4
+#: Rows of the table that a leaf stands for, while the sample allows so many leaves.
+LEAF = 64
+#: Share of true neighbours that the visited leaves must hold, and vectors whose neighbours are looked at for that.
+RECALL, PROBES = 0.98, 256
+#: Vectors of a leaf, and queries that visit it, that one task ranks; larger ones are dealt out in parts.
 PART = 4096
 
 
@@ -51,26 +58,25 @@ class Forest:
             out[t] = node - (2**self.depth - 1)
         return out
 
-    def visit(self, x: np.ndarray, most: int) -> list[tuple[int, int]]:
-        """(tree, leaf) of the `most` best leaves for one vector."""
+    def visit(self, x: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(tree, leaf) of all leaves, the best first for one vector."""
         first = 2**self.depth - 1
         side = self.planes @ x - self.cuts
-        heap, out = [(0.0, t, 0) for t in range(len(self.planes))], []
-        while heap and len(out) < most:
+        heap = [(0.0, t, 0) for t in range(len(self.planes))]
+        while heap:
             owed, tree, node = heapq.heappop(heap)
             while node < first:
                 margin = side[tree, node]
                 near = 2 * node + 1 + (margin >= 0)
                 heapq.heappush(heap, (owed + margin * margin, tree, 4 * node + 3 - near))
                 node = near
-            out.append((tree, int(node) - first))
-        return out
+            yield tree, int(node) - first
 
 
-def fit(sample: np.ndarray, trees: int = TREES, leaf: int = LEAF, seed: int = 5) -> Forest:
-    """Trees over unit vectors; as deep as leaves of at least `leaf` sampled vectors allow."""
+def fit(sample: np.ndarray, trees: int = TREES, leaves: int = 128, seed: int = 5) -> Forest:
+    """Trees over unit vectors with `leaves` leaves, a power of two, each; fewer where the sample is small."""
     rng = np.random.default_rng(seed)
-    depth = max(0, int(math.log2(max(len(sample), 1) / leaf))) if len(sample) > leaf else 0
+    depth = max(0, min(leaves, len(sample) // SAMPLED).bit_length() - 1)
     dims, nodes = sample.shape[1], 2**depth - 1
     planes = rng.normal(size=(trees, nodes, dims))
     planes /= np.linalg.norm(planes, axis=2, keepdims=True) if nodes else 1
@@ -94,27 +100,102 @@ def _matrix(column, dims: int) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, id: str, embedding: str) -> DataFrame:
-    """(vec_id, v): vectors that take part, repeated rows once.
+    """(vec_id, v): vectors that take part, repeated rows once. v keeps its type: floats travel as floats.
 
     Left out: null ids, null or empty vectors, those with null or non-finite components or of norm zero,
-    and those whose length isn't the commonest one.
+    and those whose length isn't the commonest one, which have no cosine with the others.
     """
     v = F.col("v")
-    whole = vectors.select(F.col(id).cast("bigint").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"))
-    good = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
-    whole = whole.where(F.col("vec_id").isNotNull() & (F.size("v") > 0) & good & F.exists(v, lambda x: x != 0))
+    whole = vectors.select(F.col(id).cast("bigint").alias("vec_id"), F.col(embedding).alias("v"))
+    finite = lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))
+    whole = whole.where(F.col("vec_id").isNotNull() & (F.size("v") > 0) & F.coalesce(F.forall(v, finite), F.lit(False)) & F.exists(v, lambda x: x != 0))
     lengths = whole.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
     n = lengths[0]["n"] if lengths else 0
     return whole.where(F.size("v") == n).distinct()
 
 
-def search(vectors: DataFrame, is_query, id: str = "vec_id", embedding: str = "embedding", k: int = 5, trees: int = TREES, visited: float = VISITED) -> DataFrame:
+def _best(asked: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, cosine) of at least the k best rows of each query, ties included; double precision."""
+    qn, xn = np.sqrt((asked * asked).sum(axis=1)), np.sqrt((rows * rows).sum(axis=1))
+    rough = (asked / qn[:, None]) @ (rows / xn[:, None]).T
+    at = max(0, len(rows) - k)
+    floor = np.partition(rough, at, axis=1)[:, at] - 1e-9
+    qs, xs = np.nonzero(rough >= floor[:, None])
+    return qs, xs, (asked[qs] * rows[xs]).sum(axis=1) / (qn[qs] * xn[xs])
+
+
+def nearest_entries(entries: DataFrame, asked: np.ndarray, k: int) -> DataFrame:
+    """(q, score, v): the k nearest entries of each of a bounded block of vectors, exactly, by one pass over all rows.
+
+    q numbers the vectors of the block. A task keeps k rows for each; they meet in an aggregation.
+    """
+    dims, shared = asked.shape[1], entries.sparkSession.sparkContext.broadcast(asked)
+    kind = entries.schema["v"].dataType.simpleString()
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = defaultdict(list)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = _matrix(batch.column(0), dims)
+            for q, x, score in zip(*_best(shared.value, rows, k), strict=True):
+                held[int(q)].append((float(score), rows[x].copy()))
+            for q, found in held.items():
+                if len(found) > k:
+                    held[q] = heapq.nlargest(k, found, key=lambda f: f[0])
+        flat = [(q, s, v.tolist()) for q, found in held.items() for s, v in found]
+        if flat:
+            q, s, v = zip(*flat, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(s, pa.float64()), pa.array(v, pa.list_(pa.float32() if "float" in kind else pa.float64()))], names=["q", "score", "v"])
+
+    near = entries.select("v").mapInArrow(scan, f"q int, score double, v {kind}")
+    best = Window.partitionBy("q").orderBy(F.desc("score"), F.xxhash64("v"))
+    return near.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).drop("n")
+
+
+def leaves_needed(forest: Forest, entries: DataFrame, probes: np.ndarray, k: int, recall: float) -> int:
+    """Leaves that a query must visit so that they hold a share `recall` of the k true neighbours of the probes."""
+    found = nearest_entries(entries, probes, k + 1).collect()  # PROBES * (k + 1) rows at most
+    unit = _unit(probes)
+    near: dict[int, list] = defaultdict(list)
+    for r in found:
+        near[r["q"]].append(r["v"])
+    ranks = []
+    for q, vectors in near.items():
+        vectors = np.array(vectors, np.float64)
+        vectors = vectors[(vectors != probes[q]).any(axis=1)][:k]  # not the probe itself
+        if not len(vectors):
+            continue
+        where = defaultdict(list)
+        for t, row in enumerate(forest.leaves(_unit(vectors))):
+            for i, leaf in enumerate(row):
+                where[t, int(leaf)].append(i)
+        left = set(range(len(vectors)))
+        for n, spot in enumerate(forest.visit(unit[q]), 1):
+            gone = left.intersection(where.get(spot, ()))
+            ranks += [n] * len(gone)
+            left -= gone
+            if not left:
+                break
+    return int(np.quantile(ranks, recall, method="higher")) if ranks else 1
+
+
+def _parts(rows: DataFrame, most: int) -> dict[tuple[int, int], int]:
+    """Parts of at most about `most` rows that a (tree, leaf) must be dealt into; those of one part aren't listed."""
+    large = rows.groupBy("tree", "leaf").count().where(F.col("count") > most).collect()  # one row per leaf at most
+    return {(r["tree"], r["leaf"]): math.ceil(r["count"] / most) for r in large}
+
+
+def search(
+    vectors: DataFrame, is_query, id: str = "vec_id", embedding: str = "embedding", k: int = 5, trees: int = TREES, leaf: int = LEAF, recall: float = RECALL, exact: bool = False
+) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every query, nearest first, ties to the smaller id.
 
     is_query: a condition on column vec_id. Candidates are all other rows that usable() keeps; score is
     the cosine of the original vectors in double precision. Equal vectors are one entry with its k + 1
     least ids, which is all that a result can show of them. A query with fewer candidates than k gets
-    them all if their leaves are visited.
+    them all if their leaves are visited. With exact, every leaf is visited. An empty table, or one where
+    nothing is usable, gives an empty result.
     """
     spark = vectors.sparkSession
     bounded_batches(spark, 2000)
@@ -123,7 +204,7 @@ def search(vectors: DataFrame, is_query, id: str = "vec_id", embedding: str = "e
     schema = "query_id bigint, rank int, vec_id bigint, score double"
     if not first:
         return spark.createDataFrame([], schema)
-    dims = len(first[0]["v"])
+    dims, kind = len(first[0]["v"]), rows.schema["v"].dataType.simpleString()
     by_vector = Window.partitionBy("v").orderBy("vec_id")
     least = rows.withColumn("n", F.row_number().over(by_vector)).where(F.col("n") <= k + 1)
     entries = least.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
@@ -131,53 +212,69 @@ def search(vectors: DataFrame, is_query, id: str = "vec_id", embedding: str = "e
     queries = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "v")
     asked = stored(queries.select("v").distinct().join(entries, "v", "left_semi").select("v"), "asked")
 
-    taken = entries.orderBy(F.xxhash64("key")).limit(SAMPLE).select("v").collect()
     total = entries.count()
-    forest = fit(_unit(np.array([r["v"] for r in taken])), trees)
-    leaves = 2**forest.depth
-    parts = max(1, math.ceil(total / leaves / PART))
-    most = max(VISITED_AT_LEAST, math.ceil(visited * leaves))
+    order = F.xxhash64("key")
+    taken = entries.where(order <= hash_bound(1.2 * SAMPLE / total)).orderBy(order).limit(SAMPLE).select("v").collect()
+    sample = np.array([r["v"] for r in taken], np.float64)
+    forest = fit(_unit(sample), trees, max(1, total // leaf))
+    every = trees * 2**forest.depth
+    most = every if exact or forest.depth == 0 else min(every, leaves_needed(forest, entries, sample[:PROBES], k, recall))
     shared = spark.sparkContext.broadcast(pickle.dumps(forest))
+    spot = "tree int, leaf int"
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = pickle.loads(shared.value)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            found = forest.leaves(_unit(_matrix(batch.column(2), dims)))
-            part = pa.array(np.array([hash_part(k, parts) for k in batch.column(0).to_pylist()], np.int32))
-            for t in range(len(found)):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(batch.num_rows, t, np.int32)), pa.array(found[t].astype(np.int32)), part, *batch.columns], names=["tree", "leaf", "part", "key", "ids", "v"]
-                )
+            if batch.num_rows:
+                for t, found in enumerate(forest.leaves(_unit(_matrix(batch.column(2), dims)))):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(batch.num_rows, t, np.int32)), pa.array(found.astype(np.int32)), *batch.columns], names=["tree", "leaf", "key", "ids", "v"]
+                    )
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = pickle.loads(shared.value)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            found = [forest.visit(x, most) for x in _unit(_matrix(batch.column(0), dims))]
-            of = np.repeat(np.arange(len(found)), [len(f) * parts for f in found])
-            tree, leaf, part = np.array([(t, n, p) for f in found for t, n in f for p in range(parts)], np.int32).T
-            yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array(leaf), pa.array(part), batch.column(0).take(pa.array(of))], names=["tree", "leaf", "part", "v"])
+            for i, x in enumerate(_unit(_matrix(batch.column(0), dims)) if batch.num_rows else ()):
+                found = [f for f, _ in zip(forest.visit(x), range(most), strict=False)]
+                tree, leaf = np.array(found, np.int32).T
+                yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array(leaf), batch.column(0).take(pa.array(np.full(len(found), i)))], names=["tree", "leaf", "v"])
 
     def rank(asked: pa.Table, filed: pa.Table) -> pa.Table:
-        empty = pa.schema([("q", pa.list_(pa.float64())), ("ids", pa.list_(pa.int64())), ("score", pa.float64())])
+        empty = pa.schema([("q", asked.schema.field("v").type), ("ids", pa.list_(pa.int64())), ("score", pa.float64())])
         if not asked.num_rows or not filed.num_rows:
             return empty.empty_table()
-        q, x = _matrix(asked["v"], dims), _matrix(filed["v"], dims)
-        qn, xn = np.sqrt((q * q).sum(axis=1)), np.sqrt((x * x).sum(axis=1))
-        rough = (q / qn[:, None]) @ (x / xn[:, None]).T
-        at = max(0, len(x) - (k + 1))
-        floor = np.partition(rough, at, axis=1)[:, at] - 1e-9
-        qs, xs = np.nonzero(rough >= floor[:, None])
-        score = (q[qs] * x[xs]).sum(axis=1) / (qn[qs] * xn[xs])
+        qs, xs, score = _best(_matrix(asked["v"], dims), _matrix(filed["v"], dims), k + 1)
         return pa.table([asked["v"].take(pa.array(qs)), filed["ids"].take(pa.array(xs)), pa.array(score)], schema=empty)
 
-    filed = entries.mapInArrow(file, "tree int, leaf int, part int, key string, ids array<bigint>, v array<double>")
-    sent = asked.mapInArrow(ask, "tree int, leaf int, part int, v array<double>")
-    spot = ["tree", "leaf", "part"]
-    near = sent.groupBy(*spot).cogroup(filed.groupBy(*spot)).applyInArrow(rank, "q array<double>, ids array<bigint>, score double")
+    filed = entries.mapInArrow(file, f"{spot}, key string, ids array<bigint>, v {kind}")
+    sent = stored(asked.mapInArrow(ask, f"{spot}, v {kind}"), "sent")
+    # a leaf with many vectors or many queries is dealt out as pairs of parts; others have one
+    sides = _parts(filed.select("tree", "leaf"), PART), _parts(sent, PART)
+    held = spark.sparkContext.broadcast(sides)
+
+    def dealt(at: int, key: str):
+        @F.pandas_udf("array<struct<a:int,b:int>>")
+        def of(tree, leaf, value):
+            import pandas as pd
+
+            out = []
+            for t, n, x in zip(tree, leaf, value, strict=True):
+                own, other = held.value[at].get((t, n), 1), held.value[1 - at].get((t, n), 1)
+                mine = int(xxhash.xxh3_64_intdigest(str(x)) % own) if own > 1 else 0
+                out.append([{"a": mine, "b": i} if at == 0 else {"a": i, "b": mine} for i in range(other)])
+            return pd.Series(out)
+
+        return F.explode(of("tree", "leaf", key)).alias("part")
+
+    if sides[0] or sides[1]:
+        filed = filed.select("*", dealt(0, "key")).select("*", "part.*").drop("part")
+        sent = sent.withColumn("h", F.xxhash64("v")).select("*", dealt(1, "h")).select("*", "part.*").drop("part", "h")
+    else:
+        filed, sent = (x.withColumns({"a": F.lit(0), "b": F.lit(0)}) for x in (filed, sent))
+    spots = ["tree", "leaf", "a", "b"]
+    near = sent.groupBy(*spots).cogroup(filed.groupBy(*spots)).applyInArrow(
+        lambda asked, filed: rank(asked.select(["v"]), filed.select(["ids", "v"])), f"q {kind}, ids array<bigint>, score double"
+    )
     near = near.select(F.xxhash64("q").alias("h"), "q", "score", F.explode("ids").alias("vec_id")).groupBy("h", "q", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("h", "q").orderBy(F.desc("score"), "vec_id")
     near = near.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
@@ -186,7 +283,3 @@ def search(vectors: DataFrame, is_query, id: str = "vec_id", embedding: str = "e
     out = queries.join(lists, queries["v"] == lists["q"]).select("query_id", F.filter("found", lambda f: f["vec_id"] != F.col("query_id")).alias("found"))
     out = out.select("query_id", F.posexplode(F.slice("found", 1, k)).alias("pos", "f"))
     return out.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("f.vec_id").alias("vec_id"), F.col("f.score").alias("score"))
-
-
-def hash_part(key: str, parts: int) -> int:
-    return xxhash.xxh3_64_intdigest(key) % parts if parts > 1 else 0
