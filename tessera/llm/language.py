@@ -17,13 +17,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._common import bounded_batches, hash_bound, learnable_column, worker_cache
+from tessera.llm._common import bounded_batches, free_name, learnable_column, stored, worker_cache
 
-#: Labelled rows that training may take, over all languages together, and bytes of each: bounds of the sample.
-SAMPLE_ROWS, SAMPLE_BYTES = 2400, 1024
+#: Labelled rows that training may take, over all languages together, each with its whole text; the bound grows
+#: with the number of languages, so that every one has so many.
+SAMPLE_ROWS, LEAST_ROWS = 2400, 8
+#: Windows that a step of training looks at, and that an epoch draws from each text: long ones count no more.
+BATCH, DRAWN = 64, 4
 WINDOW = 256
 WIDTHS, FILTERS = (2, 3, 4), 12
 UNKNOWN = "und"
@@ -75,21 +78,31 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def train(texts: list[bytes], labels: list[str], epochs: int = 4, rate: float = 0.02, seed: int = 7) -> Network:
-    """Fit by Adam on windows of labelled texts; languages weigh alike however many texts they have."""
+    """Fit by Adam on windows of labelled texts; languages weigh alike however many texts they have.
+
+    An epoch takes DRAWN windows of each text, anywhere in it (all of a short one).
+    """
     languages = sorted(set(labels))
     rng = np.random.default_rng(seed)
-    # shorter windows too, so that short texts are met in training
-    xs, ys = [], []
-    for text, label in zip(texts, labels, strict=True):
-        for row in windows_of(text[:SAMPLE_BYTES]):
-            if rng.random() < 0.3:
-                row = row.copy()
-                row[rng.integers(8, WINDOW) :] = 0
-            xs.append(row)
-            ys.append(languages.index(label))
-    x, y = np.array(xs), np.array(ys)
+    whole = [windows_of(t) for t in texts]
+    number = np.array([languages.index(label) for label in labels])
+
+    def drawn() -> tuple[np.ndarray, np.ndarray]:
+        """Windows of this epoch; shorter ones too, so that short texts are met in training."""
+        xs, ys = [], []
+        for rows, y in zip(whole, number, strict=True):
+            for i in range(len(rows)) if len(rows) <= DRAWN else rng.integers(0, len(rows), DRAWN):
+                row = rows[i]
+                if rng.random() < 0.3:
+                    row = row.copy()
+                    row[rng.integers(8, WINDOW) :] = 0
+                xs.append(row)
+                ys.append(y)
+        return np.array(xs), np.array(ys)
+
+    _, y = drawn()
     share = np.bincount(y, minlength=len(languages)) / len(y)
-    weight = (1 / (share * len(languages)))[y].astype(np.float32)
+    weigh = (1 / (share * len(languages))).astype(np.float32)
     shapes = {w: (w, 256, FILTERS) for w in WIDTHS}
     network = Network(
         languages,
@@ -100,14 +113,15 @@ def train(texts: list[bytes], labels: list[str], epochs: int = 4, rate: float =
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     step = 0
     for _ in range(epochs):
-        for batch in np.array_split(rng.permutation(len(x)), max(1, len(x) // 64)):
+        x, y = drawn()
+        for batch in np.array_split(rng.permutation(len(x)), max(1, len(x) // BATCH)):
             step += 1
             rows = x[batch]
             raw, places = _responses(network, rows)
             hidden = np.concatenate([np.maximum(raw, 0), np.ones((len(rows), 1), np.float32)], axis=1)
             p = _softmax(hidden @ network.out)
             p[np.arange(len(rows)), y[batch]] -= 1
-            p *= weight[batch][:, None] / len(rows)
+            p *= weigh[y[batch]][:, None] / len(rows)
             grads = []
             back = (p @ network.out[:-1].T) * (raw > 0)
             for k, (w, at) in enumerate(zip(WIDTHS, places, strict=True)):
@@ -186,23 +200,20 @@ def _has_letter(text: str) -> bool:
 
 
 def sample(docs: DataFrame, id: str, text: str, lang: str, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """A bounded sample of labelled rows that may be learned from, about as many of each language.
+    """(text, lang): a bounded sample of labelled rows that may be learned from, about as many of each language.
 
-    Rows are taken in the order of a hash of their id, so a run repeats; the least hashes of each
-    language are found before any text is read.
+    Every language is in it, with LEAST_ROWS rows or all it has, whatever their number. The rows with the
+    least hashes of their id are taken, so a run repeats. The share of hashes that holds about as many rows
+    as wanted is known for each language before any text is read; twice the bound ends it, in the hashes' order.
     """
-    labelled = docs.where(learnable_column(id) & F.col(lang).isNotNull())
-    order = F.xxhash64(F.col(id), F.lit(1))
-    counts = labelled.groupBy(lang).agg(F.count("*").alias("n"))
-    counts = [(r[0], r["n"]) for r in counts.orderBy(F.desc("n"), lang).limit(200).collect()]
-    if not counts:
-        return labelled.select(text, lang).limit(0)
-    each = max(1, rows // len(counts))
-    # a share of the hash's range that holds about `each` rows of a language, and a limit above it
-    rule = F.lit(False)
-    for value, n in counts:
-        rule = rule | ((F.col(lang) == value) & (order <= hash_bound(each / n)))
-    return labelled.where(rule).select(F.substring(text, 1, SAMPLE_BYTES).alias(text), lang).limit(2 * rows)
+    labelled = docs.where(learnable_column(id) & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(id), F.lit(1)).alias("h"))
+    counts = stored(labelled.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    each = max(LEAST_ROWS, rows // max(1, counts.count()))
+    bound = (F.lit(-(2.0**63)) + F.least(F.lit(1.0), 2 * F.lit(each) / F.col("n")) * 2.0**64).cast("bigint")
+    # a table of languages: Spark broadcasts it while it is small, and splits a common language where it isn't
+    near = labelled.join(counts.withColumn("bound", bound), "lang").where(F.col("h") <= F.col("bound"))
+    first = Window.partitionBy("lang").orderBy("h", F.xxhash64("text"))
+    return near.withColumn("n", F.row_number().over(first)).where(F.col("n") <= each).select("text", "lang")
 
 
 def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS) -> Network | None:
@@ -245,10 +256,15 @@ def predict(docs: DataFrame, network: Network | None, text: str = "text", lang_o
     return plain.mapInArrow(of, f"{kinds}, `{lang_out}` string, `{score_out}` double")
 
 
-def keep_known(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows whose text is in a language: what predict() calls "und" goes. Columns stay."""
+def keep_known(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str | None = "lang") -> DataFrame:
+    """The rows whose text is in a language, with that in column `lang`: what predict() calls "und" goes.
+
+    Columns stay. If no row can be learned from, no text has a language that is known, and only rows
+    with a letter stay, as they are.
+    """
     network = fit(docs, id, text, lang)
-    marked = predict(docs, network, text, "_lang_pred", "_lang_score")
     if network is None:
-        return docs
-    return marked.where(F.col("_lang_pred") != UNKNOWN).drop("_lang_pred", "_lang_score")
+        return docs.where(F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
+    found, score = free_name("_lang_pred", docs), free_name("_lang_score", docs)
+    marked = predict(docs, network, text, found, score).where(F.col(found) != UNKNOWN)
+    return marked.withColumn(lang, F.col(found)).select(*docs.columns)
