@@ -9,6 +9,7 @@ second word at the same place. A document is the mean and the spread of its word
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -53,24 +54,29 @@ class _Words(dict):
         return packed
 
 
-def _blocks(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, word bucket, shape bucket) of all words of texts, about BLOCK words at a time; long texts are cut."""
+def _blocks(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """(row, word bucket, shape bucket, repeated) of all words of texts, about BLOCK words at a time.
+
+    A text that goes on in the next block starts there with its last REACH words again, so that
+    neighbours meet; the first `repeated` words of a block are such.
+    """
     known = worker_cache("quality", "words", _Words)
-    rows, found, size = [], [], 0
+    rows, found, size, again = [], [], 0, 0
     for i, text in enumerate(texts):
         words = (text or "").split()
         for at in range(0, len(words), BLOCK):
-            part = words[at : at + BLOCK]
+            again = REACH if at else again
+            part = words[max(0, at - REACH) : at + BLOCK]
             found.append(np.fromiter(map(known.__getitem__, part), np.int64, len(part)))
             rows.append(np.full(len(part), i))
             size += len(part)
             if size >= BLOCK:
                 packed = np.concatenate(found)
-                yield np.concatenate(rows), packed // BUCKETS, packed % BUCKETS
-                rows, found, size = [], [], 0
+                yield np.concatenate(rows), packed // BUCKETS, packed % BUCKETS, again
+                rows, found, size, again = [], [], 0, 0
     if size:
         packed = np.concatenate(found)
-        yield np.concatenate(rows), packed // BUCKETS, packed % BUCKETS
+        yield np.concatenate(rows), packed // BUCKETS, packed % BUCKETS, again
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,9 +84,10 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     places, signs = _index_vectors()
     total = np.zeros(BUCKETS * WIDTH)
     for batch in batches:
-        for rows, word, shape in _blocks(batch.column(0).to_pylist()):
+        for rows, word, shape, again in _blocks(batch.column(0).to_pylist()):
             for step in range(1, REACH + 1):
                 near = np.flatnonzero(rows[step:] == rows[:-step])
+                near = near[near + step >= again]
                 for left, right in ((near, near + step), (near + step, near)):
                     for target in (word[left], shape[left]):
                         for context in (word[right], shape[right]):
@@ -101,7 +108,8 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
     for row in sums.collect():  # BUCKETS rows at most
         table[row["bucket"]] = row["v"]
     used = table.any(axis=1)
-    table[used] -= (table[used] / np.abs(table[used]).sum(axis=1, keepdims=True)).mean(axis=0) * np.abs(table[used]).sum(axis=1, keepdims=True)
+    if used.any():
+        table[used] -= (table[used] / np.abs(table[used]).sum(axis=1, keepdims=True)).mean(axis=0) * np.abs(table[used]).sum(axis=1, keepdims=True)
     norms = np.linalg.norm(table, axis=1, keepdims=True)
     return (table / np.where(norms > 0, norms, 1)).astype(np.float32)
 
@@ -110,7 +118,8 @@ def pool(texts: list[str | None], table: np.ndarray) -> np.ndarray:
     """(texts, 4 * WIDTH): mean and spread of word vectors, then of shape vectors; zeros for a text without words."""
     counts = np.zeros(len(texts))
     sums = np.zeros((len(texts), 4 * WIDTH))
-    for rows, word, shape in _blocks(texts):
+    for rows, word, shape, again in _blocks(texts):
+        rows, word, shape = rows[again:], word[again:], shape[again:]
         begin = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
         at = rows[begin]
         counts[at] += np.diff(np.append(begin, len(rows)))
@@ -178,15 +187,15 @@ def train(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 80, rate
     return s
 
 
-def _features(docs: DataFrame, text: str, table: np.ndarray, more: str) -> DataFrame:
-    """Keep column `more` and pool each text into column x."""
+def _features(docs: DataFrame, text: str, table: np.ndarray, more: list[str]) -> DataFrame:
+    """Keep columns `more` and pool each text into column x."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     @F.pandas_udf("array<double>")
     def pooled(texts: pd.Series) -> pd.Series:
         return pd.Series(list(pool(texts.tolist(), shared.value)), dtype=object)
 
-    return docs.select(more, pooled(F.col(text)).alias("x"))
+    return docs.select(*more, pooled(F.col(text)).alias("x"))
 
 
 def sample_labels(labels: DataFrame, id: str, label: str, rows: int) -> DataFrame:
@@ -194,17 +203,20 @@ def sample_labels(labels: DataFrame, id: str, label: str, rows: int) -> DataFram
 
     An id with several labels has the least of them.
     """
-    usable = labels.where(learnable_column(id) & F.col(label).isNotNull())
+    order = F.xxhash64(F.col(id), F.lit(2))
+    usable = labels.where(learnable_column(id) & F.col(label).isNotNull()).groupBy(id).agg(F.min(label).cast("double").alias("y"))
     n = usable.count()
-    chosen = usable.where(F.xxhash64(F.col(id), F.lit(2)) <= hash_bound(rows / max(n, 1)))
-    return chosen.groupBy(id).agg(F.min(label).cast("double").alias("y")).limit(2 * rows)
+    # the hash leaves about `rows`; should it be skewed, its least values stay, not those that come first
+    return usable.where(order <= hash_bound(rows / max(n, 1))).orderBy(order).limit(2 * rows)
 
 
 def fit(docs: DataFrame, labels: DataFrame, table: np.ndarray, id: str = "doc_id", text: str = "text", label: str = "quality", rows: int = SAMPLE_ROWS) -> Scorer | None:
     """Train on a bounded sample of labelled rows; None if there is none."""
     chosen = sample_labels(labels.select(id, label), id, label, rows)
     joined = docs.select(id, text).join(F.broadcast(chosen), id)  # 2 * rows ids at most
-    taken = _features(joined, text, table, "y").limit(4 * rows).collect()
+    # an id of several texts gives one of them
+    one = F.min_by(F.struct("x"), F.xxhash64("x")).alias("one")
+    taken = _features(joined, text, table, [id, "y"]).groupBy(id, "y").agg(one).select("y", "one.x").collect()
     if not taken:
         return None
     taken.sort(key=lambda r: (r["y"], r["x"]))
@@ -219,11 +231,11 @@ def score(docs: DataFrame, table: np.ndarray, scorer: Scorer | None, text: str =
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    shared = spark.sparkContext.broadcast(pickle.dumps((table, scorer)))
+    shared, name = spark.sparkContext.broadcast(pickle.dumps((table, scorer))), uuid.uuid4().hex
 
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
-        table, scorer = pickle.loads(shared.value)
+        table, scorer = worker_cache("quality", name, lambda: pickle.loads(shared.value))
         if scorer is None:
             return pd.Series(np.full(len(texts), 0.5))
         return pd.Series(scorer.scores(pool(texts.tolist(), table)))
@@ -232,7 +244,12 @@ def score(docs: DataFrame, table: np.ndarray, scorer: Scorer | None, text: str =
 
 
 def classify(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
-    """docs with score (0 to 1) and predicted (1 from `threshold` on). Vectors come from all texts, labels from learnable rows."""
+    """docs with score (0 to 1) and predicted (1 from `threshold` on). Vectors come from all texts, labels from learnable rows.
+
+    Every row stays, repeated ones too; null and empty texts get the network's score for no words. Columns
+    named score and predicted are replaced. Of an id's several labels the least counts, of its texts one.
+    Without any label all scores are 0.5; an empty table stays empty.
+    """
     table = word_vectors(docs, text)
     scored = score(docs, table, fit(docs, labels, table, id, text, label), text)
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
