@@ -2,14 +2,17 @@
 
 A tokenisation of a piece is the BPE one exactly if each token merges to itself and each pair of
 neighbours, merged alone, stays that pair. That makes a nondeterministic transducer whose states are
-(last finished token, place in the token trie). Its subsets are built only as input needs them. Every
-prefix has one BPE, so each step gives the token that ends it; what all live hypotheses share is emitted,
-so output lags the input by a bounded lookahead. Finished pieces are remembered.
+(last finished token, place in the token trie). Every prefix has one BPE, so hypotheses differ only in
+where their unfinished token starts. The subsets of the deterministic one are built as input needs
+them; each member carries the tokens that not all members share yet, and a transition emits those that
+all do. So a token leaves after a bounded lookahead, and what is pending at the end of a piece is part of
+its last state. Finished pieces are remembered.
 """
 
 from __future__ import annotations
 
 import base64
+import contextlib
 import re
 import struct
 import unicodedata
@@ -68,13 +71,27 @@ class Transducer:
             self.ends[node] = rank
         self.stable: dict[int, bool] = {}
         self.fits: dict[tuple[int, int], bool] = {}
+        #: Subsets of (last token, trie node, tokens not emitted yet), the one whose last token has just ended last.
+        self.states: list[tuple] = []
+        self.number: dict[tuple, int] = {}
+        #: For each state (tokens that are emitted, next state) by byte, and what is pending if the piece ends.
+        self.steps: list[dict[int, tuple[tuple[int, ...], int]]] = []
+        self.pending: list[tuple[int, ...]] = []
         self._restart()
 
     def _restart(self) -> None:
-        start = ((-1, 0),)
-        self.states = [start]
-        self.number = {start: 0}
-        self.steps: list[dict[int, tuple[int, int]]] = [{}]
+        for held in (self.states, self.number, self.steps, self.pending):
+            held.clear()
+        self._numbered(((-1, 0, ()),))
+
+    def _numbered(self, subset: tuple) -> int:
+        to = self.number.get(subset)
+        if to is None:
+            to = self.number[subset] = len(self.states)
+            self.states.append(subset)
+            self.steps.append({})
+            self.pending.append(subset[-1][2])
+        return to
 
     def _may_follow(self, last: int, token: int) -> bool:
         ok = self.stable.get(token)
@@ -89,72 +106,50 @@ class Transducer:
             ok = self.fits[last, token] = merge_all(self.tokens[last] + self.tokens[token], self.ranks) == [last, token]
         return ok
 
-    def _step(self, state: int, byte: int) -> tuple[int, int]:
-        """The token that ends the BPE of all bytes so far, and the next subset."""
-        after, ended = [], -1
-        for last, node in self.states[state]:
+    def _step(self, state: int, byte: int) -> tuple[tuple[int, ...], int]:
+        """The tokens that this byte settles, and the next state."""
+        after, ended = [], None
+        for last, node, rest in self.states[state]:
             node = self.children[node].get(byte)
             if node is None:
                 continue
             if self.children[node]:
-                after.append((last, node))
+                after.append((last, node, rest))
             token = self.ends[node]
-            if token is not None and ended < 0 and self._may_follow(last, token):
-                ended = token
-        after.append((ended, 0))
-        subset = tuple(after)
-        to = self.number.get(subset)
-        if to is None:
-            to = self.number[subset] = len(self.states)
-            self.states.append(subset)
-            self.steps.append({})
-        self.steps[state][byte] = ended, to
-        return ended, to
-
-    def _settled(self, state: int, ends: list[int]) -> int:
-        """How many of the bytes read lie before what the live hypotheses still differ in."""
-        live = {len(ends) - self.depth[node] for _, node in self.states[state]}
-        while len(live) > 1:
-            latest = max(live)
-            live.remove(latest)
-            live.add(latest - len(self.tokens[ends[latest - 1]]) if latest > 0 else 0)
-        return max(live.pop(), 0)
-
-    def _trace(self, ends: list[int], upto: int) -> list[int]:
-        out = []
-        while upto > 0:
-            token = ends[upto - 1]
-            out.append(token)
-            upto -= len(self.tokens[token])
-        out.reverse()
+            if token is not None and ended is None and self._may_follow(last, token):
+                ended = (token, 0, (*rest, token))
+        after.append(ended)
+        shared = 0
+        shortest = min((m[2] for m in after), key=len)
+        while shared < len(shortest) and all(m[2][shared] == shortest[shared] for m in after):
+            shared += 1
+        subset = tuple((last, node, rest[shared:]) for last, node, rest in after)
+        if len(self.states) >= self.max_states and subset not in self.number:
+            self._restart()  # states are numbered anew; this step isn't kept
+            return shortest[:shared], self._numbered(subset)
+        self.steps[state][byte] = out = shortest[:shared], self._numbered(subset)
         return out
 
-    def stream(self, piece: Iterable[int], every: int = 4096) -> Iterator[list[int]]:
-        """Ids of a piece of any length, those that are settled after each `every` bytes of lookahead."""
-        state, ends = 0, []
+    def stream(self, piece: Iterable[int]) -> Iterator[tuple[int, ...]]:
+        """Ids of a piece of any length, as soon as they are settled."""
+        state = 0
         for byte in piece:
-            ended, state = self.steps[state].get(byte) or self._step(state, byte)
-            ends.append(ended)
-            if len(ends) >= 2 * every:
-                upto = self._settled(state, ends)
-                yield self._trace(ends, upto)
-                ends = ends[upto:]
-        yield self._trace(ends, len(ends))
+            settled, state = self.steps[state].get(byte) or self._step(state, byte)
+            if settled:
+                yield settled
+        yield self.pending[state]
 
     def encode(self, piece: bytes) -> list[int]:
         """Ids of one piece; a piece that is itself a token gives that token."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.states) > self.max_states:
-            self._restart()
-        if len(piece) > 8192:
-            return [token for part in self.stream(piece) for token in part]
-        state, ends, steps = 0, [], self.steps
+        state, out, steps = 0, [], self.steps
         for byte in piece:
-            ended, state = steps[state].get(byte) or self._step(state, byte)
-            ends.append(ended)
-        return self._trace(ends, len(ends))
+            settled, state = steps[state].get(byte) or self._step(state, byte)
+            if settled:
+                out += settled
+        return [*out, *self.pending[state]]
 
 
 class _Pieces(dict):
@@ -257,63 +252,102 @@ class Encoder:
 class Utf8Stream:
     """Incremental UTF-8: feed bytes cut anywhere, get the text of all complete characters.
 
-    The state is how many continuation bytes the pending character lacks, with the bytes seen of it.
-    Bytes that can't be UTF-8 become U+FFFD; `valid` then turns false, and so it does if finish()
-    finds a character cut short.
+    A state machine by byte. The state is (bits read so far, continuation bytes that lack, least and
+    largest next byte); START has none. Bytes that can't be UTF-8 become U+FFFD, one for each longest run
+    that could have begun a character; `valid` then turns false, and so it does if finish() finds a
+    character cut short.
     """
 
+    START = (0, 0, 0x80, 0xBF)
+    #: Second bytes that a lead byte narrows, so that no character has two encodings and none is a surrogate.
+    NARROW = {0xE0: (0xA0, 0xBF), 0xED: (0x80, 0x9F), 0xF0: (0x90, 0xBF), 0xF4: (0x80, 0x8F)}
+
     def __init__(self) -> None:
-        self.pending, self.valid = b"", True
-
-    @staticmethod
-    def _length(lead: int) -> int:
-        """Bytes of the character that this byte starts; 0 for a continuation or an impossible byte."""
-        return 1 if lead < 0x80 else 0 if lead < 0xC2 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4 if lead < 0xF5 else 0
-
-    def _cut(self, data: bytes) -> int:
-        """Where the last, unfinished character starts, or the end."""
-        for back in range(1, min(3, len(data)) + 1):
-            byte = data[-back]
-            if 0x80 <= byte < 0xC0:
-                continue
-            return len(data) - back if self._length(byte) > back else len(data)
-        return len(data)
+        self.state, self.valid = self.START, True
+
+    @classmethod
+    def step(cls, state: tuple, byte: int) -> tuple[str, tuple, bool]:
+        """(text, next state, whether the byte was allowed)."""
+        bits, lack, low, high = state
+        if lack:
+            if low <= byte <= high:
+                bits = bits << 6 | byte & 0x3F
+                return ("", (bits, lack - 1, 0x80, 0xBF), True) if lack > 1 else (chr(bits), cls.START, True)
+            text, state, _ = cls.step(cls.START, byte)
+            return "\ufffd" + text, state, False
+        if byte < 0x80:
+            return chr(byte), cls.START, True
+        lack = 1 if 0xC2 <= byte <= 0xDF else 2 if 0xE0 <= byte <= 0xEF else 3 if 0xF0 <= byte <= 0xF4 else 0
+        if not lack:
+            return "\ufffd", cls.START, False
+        return "", (byte & (0x3F >> lack), lack, *cls.NARROW.get(byte, (0x80, 0xBF))), True
+
+    @classmethod
+    def run(cls, state: tuple, data: bytes) -> tuple[str, tuple, bool]:
+        out, fine = [], True
+        for byte in data:
+            text, state, ok = cls.step(state, byte)
+            fine &= ok
+            out.append(text)
+        return "".join(out), state, fine
 
     def feed(self, data: bytes) -> str:
-        data = self.pending + data
-        cut = self._cut(data)
-        self.pending = data[cut:]
-        return self._text(data[:cut])
+        if self.state == self.START and data.isascii():
+            return data.decode()
+        text, self.state, fine = self.run(self.state, data)
+        self.valid &= fine
+        return text
 
     def finish(self) -> str:
-        data, self.pending = self.pending, b""
-        return self._text(data)
-
-    def _text(self, data: bytes) -> str:
-        try:
-            return data.decode()
-        except UnicodeDecodeError:
-            self.valid = False
-            return data.decode(errors="replace")
+        cut, self.state = self.state != self.START, self.START
+        self.valid &= not cut
+        return "\ufffd" if cut else ""
 
 
 class Decoder:
-    """Packed ids back to bytes or text, in chunks of ids."""
+    """Packed ids back to text, in chunks of ids.
+
+    A token moves the UTF-8 machine from one state to another and gives some text: a transition that is
+    worked out when it is first met. Tokens of whole characters lead from the start to the start, so a
+    chunk of such tokens is a join.
+    """
 
-    def __init__(self, ranks_path: str, chunk: int = 4096):
+    def __init__(self, ranks_path: str, chunk: int = 1024):
         self.tokens = {rank: token for token, rank in load_ranks(ranks_path).items()}
         self.chunk = chunk
-
-    def stream(self, packed: bytes | None) -> Iterator[bytes]:
+        self.moves: dict[tuple, tuple[str, tuple, bool]] = {}
+        self.whole: dict[int, str] = {}
+        for rank, token in self.tokens.items():
+            with contextlib.suppress(UnicodeDecodeError):
+                self.whole[rank] = token.decode()
+
+    def stream(self, packed: bytes | None, stream: Utf8Stream) -> Iterator[str]:
+        """Texts of chunks of ids; the machine in `stream` goes from one to the next."""
         packed = packed or b""
         for at in range(0, len(packed), 4 * self.chunk):
             part = packed[at : at + 4 * self.chunk]
-            yield b"".join(map(self.tokens.__getitem__, struct.unpack(f"<{len(part) // 4}I", part)))
+            ids = struct.unpack(f"<{len(part) // 4}I", part)
+            if stream.state == stream.START:
+                try:
+                    yield "".join(map(self.whole.__getitem__, ids))
+                    continue
+                except KeyError:  # a token with part of a character
+                    pass
+            out = []
+            for token in ids:
+                move = self.moves.get((stream.state, token))
+                if move is None:
+                    if len(self.moves) >= 200_000:
+                        self.moves.clear()
+                    move = self.moves[stream.state, token] = stream.run(stream.state, self.tokens[token])
+                text, stream.state, fine = move
+                stream.valid &= fine
+                out.append(text)
+            yield "".join(out)
 
     def text(self, packed: bytes | None) -> tuple[str, bool]:
         stream = Utf8Stream()
-        out = [stream.feed(part) for part in self.stream(packed)]
-        out.append(stream.finish())
+        out = [*self.stream(packed, stream), stream.finish()]
         return "".join(out), stream.valid
 
 

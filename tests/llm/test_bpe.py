@@ -4,6 +4,8 @@ import struct
 import public_tokenizers as P
 import pytest
 import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe
@@ -44,8 +46,20 @@ def test_long_pieces_and_bounded_memory(encoder, reference):
 
 def test_lookahead_is_bounded():
     t = bpe.Transducer(bpe.load_ranks(PATH))
-    parts = list(t.stream(b"abcdefghij" * 3000, every=100))
-    assert len(parts) > 100 and sum(parts, []) == t.encode(b"abcdefghij" * 3000)
+    piece = b"abcdefghij" * 3000
+    parts, read = [], []
+
+    def bytes_read():
+        for i, byte in enumerate(piece):
+            read.append(i)
+            yield byte
+
+    held = 0
+    for part in t.stream(bytes_read()):
+        parts += part
+        held = max(held, len(read) - sum(len(t.tokens[x]) for x in parts))
+    assert parts == t.encode(piece) and held < 64
+    assert max(map(len, t.pending)) < 16
 
 
 def test_utf8_stream():
@@ -60,6 +74,26 @@ def test_utf8_stream():
     assert s.finish() == "�" and not s.valid
 
 
+@given(st.binary(max_size=60), st.integers(0, 60))
+@settings(max_examples=300, deadline=None)
+def test_utf8_machine_is_that_of_the_interpreter(data, cut):
+    s = bpe.Utf8Stream()
+    assert s.feed(data[:cut]) + s.feed(data[cut:]) + s.finish() == data.decode(errors="replace")
+    try:
+        data.decode()
+        assert s.valid
+    except UnicodeDecodeError:
+        assert not s.valid
+
+
+def test_decoder_takes_tokens_of_parts_of_characters():
+    d = bpe.Decoder(PATH)
+    ranks = bpe.load_ranks(PATH)
+    text = "€𝄞日本" * 700
+    single = struct.pack(f"<{len(text.encode())}I", *[ranks[bytes([b])] for b in text.encode()])
+    assert d.text(single) == (text, True) and d.text(single[:-4])[1] is False and d.text(None) == ("", True)
+
+
 def test_tables(spark, edge, reference):
     out = bpe.tokenize(edge, PATH, P.PATTERN)
     rows = out.collect()
