@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import bounded_batches, stored, worker_cache
+from tessera.llm._common import bounded_batches, free_name, stored, worker_cache
 
 WORDS, SHARE = 5, 0.8
 #: Up to so many bytes of items in the driver's count, their sketches and shingles go to all tasks.
@@ -212,7 +212,13 @@ def contaminated(
     )
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, id: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs whose id holds no item; columns stay. Rows without an id stay: they can't be named."""
-    found = stored(contaminated(docs, items, id, **options).select(F.col(id).alias("_leak")).distinct(), "leaks")
-    return docs.join(found, docs[id] == found["_leak"], "left_anti")
+def drop_contaminated(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of docs whose text holds no item; columns stay.
+
+    Rows are judged by their text, whether their ids are unique, repeated or null.
+    """
+    mark, leak = free_name("_mark", docs), free_name("_leak", docs)
+    marked = docs.withColumn(mark, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    found = contaminated(marked.select(mark, text), items, mark, text, **options)
+    found = stored(found.select(F.col(mark).alias(leak)).distinct(), "leaks")
+    return marked.join(found, marked[mark] == found[leak], "left_anti").select(*docs.columns)
