@@ -1,6 +1,7 @@
 import json
 import zlib
 
+import numpy as np
 import pytest
 
 from tessera.llm import chat as C
@@ -19,14 +20,17 @@ def page(body):
         ("<article><p><b>x<br><p>y</p><aside>s</aside><div class='ad'>buy</div><form><p>f</p></form><ul><li>a<li>b</ul></article>", ["x", "y", "a", "b"]),
         ("<div class='ad'>never closed<article><p>z</p></article>", ["z"]),
         ("<article>t<section id='comments'><article class='comment'>c</article></section></article><div class='cookie-notice'>n</div>", ["t"]),
-        ("<main><p>m</p></main><p>outside</p>", ["m"]),
+        ("<main><p>m</p></main><p>outside</p>", ["m", "outside"]),
+        ("<div class='post-meta'>by A</div><div class='body'><p>b</p></div><div class='widget'>short</div>", ["by A", "b"]),
+        (f"<div class='page-header'>{'long ' * 20}</div><div class='cookie'>{'long ' * 20}</div><p>t</p>", [("long " * 20).strip(), "t"]),
         ("<p class='ad'>a<p>b<div hidden>c</div><div style='display: none'>d</div>", ["b"]),
         ("<article><header><h1>T</h1></header><!-- <p>no</p> --><p title='a>b'>q < 3 &lt;tag&gt; &#233;</p><table><tr><td>1<td>2</table>", ["T", "q < 3 <tag> é", "1", "2"]),
         ("", []),
     ],
 )
 def test_blocks(body, want):
-    assert H.main_blocks(page(body))[0] == want
+    around, article = H.main_blocks(page(body))
+    assert (article or H.kept_blocks("", [t for t, _ in around], [level for _, level in around], [])) == want
 
 
 def test_host_runs(spark):
@@ -42,6 +46,45 @@ def test_host_runs(spark):
     assert H.extract(twice.limit(0)).count() == 0
 
 
+def test_host_runs_against_all_windows(spark):
+    """Pages without any telling markup, and some with an article: windows of RUN tokens that another page of the host has."""
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(3000)]
+    shared = [" ".join(rng.choice(words, n)) for n in (5, 8, 9, 12, 30)]
+    rows = []
+    for i in range(40):
+        blocks = [" ".join(rng.choice(words, int(rng.integers(1, 30)))) for _ in range(4)]
+        blocks += [shared[k] + " " * int(rng.integers(1, 3)) + f"x{i}" * int(rng.integers(0, 2)) for k in rng.choice(5, 2, replace=False)]
+        rng.shuffle(blocks)
+        body = "".join(f"<div>{b}</div>" for b in blocks)
+        rows.append((i, f"http://h{i % 3}.example/{i}", page(f"<article>{i}</article>{body}" if i % 5 == 0 else body), blocks))
+    seen = {}
+    for i, url, _, blocks in rows:
+        t = " ".join(blocks).split()
+        if i % 5 == 0:
+            t = t[:]
+        for k in range(len(t) - H.RUN + 1):
+            seen.setdefault((i % 3, *t[k : k + H.RUN]), set()).add(i)
+    got = {r["page_id"]: r["text"] for r in H.extract(spark.createDataFrame([r[:3] for r in rows], "page_id bigint, url string, html string")).collect()}
+    for i, _, _, blocks in rows:
+        if i % 5 == 0:
+            assert got[i] == str(i)
+            continue
+        t, flags = " ".join(blocks).split(), []
+        flags = [False] * len(t)
+        for k in range(len(t) - H.RUN + 1):
+            if len(seen[i % 3, *t[k : k + H.RUN]]) > 1:
+                flags[k : k + H.RUN] = [True] * H.RUN
+        want, at = [], 0
+        for b in blocks:
+            n = len(b.split())
+            if sum(flags[at : at + n]) < H.COVERED * n:
+                want.append(" ".join(b.split()))
+            at += n
+        assert got[i] == "\n".join(want)
+        assert got[i] != "\n".join(" ".join(b.split()) for b in blocks) or not any(flags)
+
+
 def test_normaliser():
     records = [W.make_record(i, f"http://h/{i}", b"x y\r\n\r\n" * n, None, True) for i, n in enumerate((0, 1, 50_000, 3))]
     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
