@@ -11,18 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontaminate, language, simhash, suffix
-from tessera.llm._common import stored
+from tessera.llm._common import free_name, stored
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (null texts, no letter) go; lang becomes what the network reads in the text."""
-    network = language.fit(docs)
-    if network is None:
-        return docs
-    marked = language.predict(docs, network, "text", "_lang", "_score").where(F.col("_lang") != language.UNKNOWN)
-    return marked.withColumn("lang", F.col("_lang")).select(*docs.columns)
+    return language.keep_known(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,10 +41,11 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Add the token ids (packed, 32-bit little-endian), their number, and whether they decode to the text."""
-    out = bpe.tokenize(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, decoded="_decoded")
-    same = F.col("_decoded") == F.coalesce("text", F.lit(""))
-    return out.withColumns({"n_tokens": F.expr("cast(length(ids) div 4 as bigint)"), "round_trip": same}).drop("_decoded")
+    """Add ids (packed, 32-bit little-endian), n_tokens and round_trip, whether they decode to the text; columns so named are replaced."""
+    decoded = free_name("_decoded", docs)
+    out = bpe.tokenize(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, decoded=decoded)
+    same = F.col(decoded) == F.coalesce("text", F.lit(""))
+    return out.withColumns({"n_tokens": F.expr("cast(length(ids) div 4 as bigint)"), "round_trip": same}).drop(decoded)
 
 
 STAGES = [
