@@ -10,15 +10,15 @@ A suffix array of the corpus would not fit one task, so the corpus is cut so tha
 3. What is left, a cell of each kind for anchors with several kinds, is grouped by anchor. A task joins
    many groups into one text, sorts its suffixes in two stages and compares neighbours.
 4. Groups too large for a task are cut: windows are dealt into blocks by their place relative to the
-   anchor, and the bytes that all windows of a block share make its new group. Blocks halve each time,
-   down to single windows, whose group is one kind of bytes.
+   anchor, and the bytes that all windows of a block share make its new group. Blocks shrink to a
+   quarter each time, down to single windows, whose group is one kind of bytes.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +40,9 @@ SPAN = 1 << 18
 RUN_WORDS = 51
 WORD_BYTES = 4
 
-_WORD = re.compile(r"\S+")
+#: A word is what white space parts; characters of scripts that are written without it are words each.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff"
+_WORD = re.compile(rf"[^\s{_UNSPACED}]+|[{_UNSPACED}]")
 
 _FACTOR = 0x9E3779B97F4A7C15 | 1
 
@@ -372,7 +374,7 @@ def _packed_words(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.
 def repeated_word_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = RUN_WORDS, group: int = GROUP) -> DataFrame:
     """(id, mark, first, last): bytes of the packed word hashes that rows of another key hold too, `words` words at least.
 
-    Words are what whitespace parts, so other line breaks make no other passage. A span may begin or end within a
+    Words are what white space parts (see _WORD), so other line breaks make no other passage. A span may begin or end within a
     hash, and of places in one row that are alike one may stand for all; cut_words() sees to both. Exact but for
     32-bit collisions of a passage's words.
     """
@@ -437,7 +439,7 @@ def spans_of(source: DataFrame, length: int, gram: int, group: int = GROUP, acro
         spans = spans.unionByName(stored(dealt.mapInArrow(lambda b: _search_groups(b, length, across), SPANS), "spans"))
         if not again:
             return scratch.result(spans, "spans")
-        size = max(1, size // 2)
+        size = max(1, size // 4)
         marked = _blocks(pieces.join(large, "group", "left_semi"), length, gram, size)
         marked = stored(marked.withColumn("kind", F.sha2("bytes", 256)), "blocks")
         copies_of = F.when((F.min(place) != F.max(place)) | (F.max("n") > 1), 2).otherwise(1).cast("bigint") if across else F.sum("n")
@@ -504,17 +506,20 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
     return out.withColumnRenamed("_id", id)
 
 
-def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars", length: int = LENGTH, words: int | None = None) -> DataFrame:
+def without_repeats(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars", length: int | None = LENGTH, words: int | None = None
+) -> DataFrame:
     """docs with their columns, texts without repeated strings; rows all of whose text repeats go.
 
-    With words, passages of so many words that other rows hold too go as well, however few their bytes;
-    both are judged on the input.
+    With length, strings of so many bytes that occur at any other place go; with words, passages of so many
+    words that other rows hold too go, however few their bytes and whatever white space parts them. Both are
+    judged on the input, so all places of a repeat go. One of the two must be given.
     Bytes of a character that a span cuts go with it. n_chars, if docs has it, is counted again. Null
     texts stay null, empty ones empty.
     """
-    spans = repeated_spans(docs, id, text, length).withColumn("words", F.lit(False))
-    if words:
-        spans = spans.unionByName(repeated_word_spans(docs, id, text, words).withColumn("words", F.lit(True)))
+    searches = [repeated_spans(docs, id, text, length).withColumn("words", F.lit(False))] if length else []
+    searches += [repeated_word_spans(docs, id, text, words).withColumn("words", F.lit(True))] if words else []
+    spans = reduce(DataFrame.unionByName, searches)
     own, mark, found, cut_name = (free_name(n, docs) for n in ("_own", "_mark", "_found", "_cut"))
     spans = spans.groupBy("id", "mark").agg(F.collect_set(F.struct("first", "last", "words")).alias(found))
     data = F.coalesce(F.col(text), F.lit("")).cast("binary")
