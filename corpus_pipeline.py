@@ -27,12 +27,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 400 bytes and more that occur at several places go from the texts, and so do those of
-    over 50 words that several documents hold; n_chars follows.
+    """Passages of over 50 words that another document holds too go from both; n_chars follows.
 
-    A character cut by the end of a passage goes too. A document all of whose text goes, goes as well.
+    Words are compared, so other line breaks or indents don't hide a passage, and it goes wherever it
+    stands: whose it was first can't be told, and no copy is kept. What repeats within one document only
+    isn't this stage's matter. A document all of whose text goes, goes as well.
     """
-    return suffix.without_repeats(docs, words=suffix.RUN_WORDS)
+    return suffix.without_repeats(docs, length=None, words=suffix.RUN_WORDS)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
