@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.functions import urls as U
+from tessera.operators.contains import is_small
 from tessera.operators.windows import first_wins
 
 #: Words that stand for a decision (fixed values).
@@ -22,9 +23,9 @@ def decision_of(value: Column) -> Column:
 
 
 def confidence_of(value: Column) -> Column:
-    """0 to 1; over 1 and up to 100 is a percentage."""
+    """0 to 1; over 1 and up to 100 is a percentage; null for what is no number."""
     x = F.regexp_replace(value, "%", "").try_cast("double")
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when((x > 1) & (x <= 100), x / 100).otherwise(x)))
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when((x > 1) & (x <= 100), x / 100).otherwise(x))))
 
 
 def text_list(doc: Column, name: str) -> Column:
@@ -133,7 +134,9 @@ def city_queries(cities: DataFrame, languages: DataFrame, terms: DataFrame, temp
     """
     spoken = languages.join(terms.withColumnRenamed("pos", "term_pos"), "lang").where((F.col("lang") == "en") | (F.col("term_pos") < per_language))
     joined = cities.join(spoken, "city", "left").withColumns({"term": F.coalesce("term", F.lit("live webcam")), "pos": F.coalesce("pos", F.lit(0)), "term_pos": F.coalesce("term_pos", F.lit(0))})
-    made = joined.join(F.broadcast(templates.withColumnRenamed("pos", "template_pos")))  # templates are a fixed list
+    if not is_small(templates):
+        raise ValueError("templates are a list that a person writes; this table is too long for one")
+    made = joined.join(F.broadcast(templates.withColumnRenamed("pos", "template_pos")))
     made = made.withColumn("query", F.replace(F.replace("template", F.lit("{city}"), F.col("city")), F.lit("{term}"), F.col("term")))
     order = F.struct("grp", "template_pos", "pos", "term_pos")
     first = made.groupBy("city", "query").agg(F.min(order).alias("o"))

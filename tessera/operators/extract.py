@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import urls as U
+from tessera.functions.text import shortened
 
 #: Where pages hold stream links, in the order of their standing (fixed values); {x} is the wanted extension.
 LINK_PATTERNS = (
@@ -289,7 +290,7 @@ def target_indicators(queries: DataFrame, id: str = "query_id", query: str = "qu
     pieces = F.split(q, r"(?i)\b(?:from|in|near|around)\b")
     tail = F.when(F.size(pieces) > 1, F.element_at(pieces, -1)).otherwise("")
     places = F.filter(
-        F.transform(F.split(tail, r"(?i)\band\b|;"), lambda t: F.regexp_replace(t, r"^[ .,]+|[ .,]+$", "")),
+        F.transform(F.split(tail, r"(?i)\band\b|;"), lambda t: F.regexp_replace(t, r"^[ .,]+|[ .,]+\z", "")),
         lambda t: (F.length(t) >= 3) & ~t.rlike(r"(?i)https?://") & ~t.rlike(r"-?\d{1,3}\.\d+\s*,\s*-?\d{1,3}\.\d+"),
     )
 
@@ -339,15 +340,30 @@ STAGES = (
     ("catalog-map", r"catalogagent|geojson|mapagent|map\.html"),
     ("complete", "run-agentic complete"),
 )
-#: Counters that log lines carry: name and pattern of the number.
+#: Counters that log lines carry: names and the pattern of their numbers (fixed values).
 METRICS = (
-    ("found", r"(\d+)\s+(?:stream\(s\)|streams?)\s+found"),
-    ("candidates", r"(\d+)\s+candidates?"),
-    ("probing", r"probing\s+(\d+)"),
-    ("live", r"(\d+)\s+live|live[=:]\s*(\d+)"),
-    ("dead", r"(\d+)\s+dead|dead[=:]\s*(\d+)"),
-    ("unknown", r"(\d+)\s+unknown|unknown[=:]\s*(\d+)"),
-)
+    (("source_registry_tier_counts", "source_registry_total_sources"), r"(?i)SourcesRegistry:\s*loaded tiers\s*(\{.*?\})\s*\((\d+) total sources\)"),
+    (("search_progress_percent",), r"SearchAgent custom queries:\s*(\d+)%"),
+    (("search_queries_done", "search_queries_total"), r"SearchAgent custom queries:.*?(\d+)/(\d+)"),
+    (("collapsed_duplicates", "candidates_before_collapse", "candidates_after_collapse"), r"(?i)collapsed\s+([0-9,]+).*?\(([0-9,]+)\s*[→\-]+\s*([0-9,]+)\)"),
+    (("feed_extract_percent", "feed_extract_done", "feed_extract_total"), r"Extracting feeds:\s*(\d+)%.*?([0-9,]+)/([0-9,]+)"),
+    (("validation_candidates_received",), r"(?i)ValidationAgent:\s*([0-9,]+)\s+candidates received"),
+    (("probe_live", "probe_dead", "probe_unknown", "probe_timeout", "probe_other"),
+     r"(?i)probe results\s+[—-]\s+live=([0-9,]+),\s*dead=([0-9,]+),\s*unknown=([0-9,]+),\s*timeout=([0-9,]+),\s*other=([0-9,]+)"),
+    (("ffprobe_live", "ffprobe_unknown", "ffprobe_dead"), r"(?i)ffprobe results\s+[—-]\s+live=([0-9,]+)\s+unknown=([0-9,]+)\s+dead=([0-9,]+)"),
+    (("hls_to_catalog", "catalog_live", "catalog_unknown", "catalog_dead", "catalog_dropped_dead"),
+     r"(?i)([0-9,]+)\s+HLS streams to catalog\s+[—-]\s+live=([0-9,]+)\s+unknown=([0-9,]+)\s+dead=([0-9,]+)\s+dropped_dead=([0-9,]+)"),
+    (("validated_records", "validated_with_coords", "validated_without_coords"), r"(?i)([0-9,]+)\s+validated records\s+\(([0-9,]+)\s+with coords,\s+([0-9,]+)\s+without"),
+    (("catalog_unique_after_dedup", "catalog_dropped_dedup"), r"(?i)CatalogAgent:\s*([0-9,]+)\s+unique records after dedup\s+\(dropped\s+([0-9,]+)\)"),
+    (("geojson_features_written", "geojson_features_skipped"), r"(?i)GeoJSONExportSkill:\s*([0-9,]+)\s+features written.*?([0-9,]+)\s+skipped"),
+    (("mapped", "needs_review_location_unknown", "rejected"), r"(?i)run-agentic complete\s+[—-]\s+mapped=([0-9,]+),\s+needs_review_location_unknown=([0-9,]+),\s+rejected=([0-9,]+)"),
+)
+#: Counters of a domain: candidates and pages of a crawl, streams found (fixed values).
+CRAWLED = r"(?i)DirectoryTraversalSkill:\s*([0-9,]+)\s+candidates\s+from\s+([^\s]+)\s+\(([0-9,]+)\s+pages\)"
+FOUND = r"(?i)([A-Za-z0-9.-]+):\s*([0-9,]+)\s+stream\(s\) found"
+#: Words of URLs that look like streams, in logs (fixed values).
+STREAM_WORDS = ("m3u8", "playlist", "stream", "camera", "cam")
+_LINE_URLS = r"(https?://[^\s'\"<>]+)"
 
 
 def line_stage(text: Column) -> Column:
@@ -357,17 +373,55 @@ def line_stage(text: Column) -> Column:
     return out
 
 
-def log_lines(lines: DataFrame, text: str = "text", metrics: Sequence[tuple[str, str]] = METRICS) -> DataFrame:
-    """Add stage, domain and one column per metric to log lines; null where a line says nothing of it."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    domain = F.coalesce(
-        F.nullif(F.lower(F.regexp_extract(t, r"https?://(?:www\.)?([^/\s'\":]+)", 1)), F.lit("")),
-        F.nullif(F.lower(F.regexp_extract(t, r"(?i)domain[=:]\s*([a-z0-9.-]+\.[a-z]{2,})", 1)), F.lit("")),
-        F.nullif(F.lower(F.regexp_extract(t, r"(?i)\b((?:[a-z0-9-]+\.)+[a-z]{2,})\b", 1)), F.lit("")),
+def line_domain(text: Column) -> Column:
+    """The authority of a line's first URL, else the name before a bracket after `from`, else what is crawled, else unknown."""
+    t = F.coalesce(text, F.lit(""))
+    some = lambda c: F.nullif(F.lower(c), F.lit(""))
+    return F.coalesce(
+        F.when(t.rlike(_LINE_URLS), F.coalesce(some(U.authority(F.regexp_extract(t, _LINE_URLS, 1))), F.lit("unknown"))),
+        some(F.regexp_extract(t, r"from\s+([A-Za-z0-9.-]+)\s*\(", 1)),
+        some(F.regexp_extract(t, r"crawling\s+([A-Za-z0-9.-]+)", 1)),
+        F.lit("unknown"),
     )
-    out = lines.withColumns({"stage": line_stage(F.col(text)), "domain": domain})
-    for name, pattern in metrics:
-        groups = pattern.count("(") - pattern.count("(?") - pattern.count(r"\(")
-        number = F.coalesce(*[F.nullif(F.regexp_extract(F.lower(t), pattern, i + 1), F.lit("")).try_cast("bigint") for i in range(groups)])
-        out = out.withColumn(name, number)
-    return out
+
+
+def _number(text: Column) -> Column:
+    return F.nullif(F.replace(text, F.lit(","), F.lit("")), F.lit("")).try_cast("bigint")
+
+
+def log_lines(lines: DataFrame, text: str = "text") -> DataFrame:
+    """Add stage, domain and one column per counter of METRICS to log lines; null where a line says nothing of it."""
+    t = shortened(F.coalesce(F.col(text), F.lit("")), 500)
+    columns = {"stage": line_stage(t), "domain": line_domain(F.col(text))}
+    for names, pattern in METRICS:
+        for i, name in enumerate(names):
+            value = F.regexp_extract(t, pattern, i + 1)
+            columns[name] = F.nullif(value, F.lit("")) if name.endswith("tier_counts") else _number(value)
+    return lines.withColumns(columns)
+
+
+def domain_metrics(lines: DataFrame, text: str = "text", order: str = "seq") -> DataFrame:
+    """(domain, candidates, pages, streams): sums of a crawl's counts, and the last count of streams found."""
+    t = shortened(F.coalesce(F.col(text), F.lit("")), 500)
+    none = F.lit(None).cast("bigint")
+    crawled = lines.select(
+        F.lower(F.regexp_extract(t, CRAWLED, 2)).alias("domain"), _number(F.regexp_extract(t, CRAWLED, 1)).alias("candidates"), _number(F.regexp_extract(t, CRAWLED, 3)).alias("pages"),
+        none.alias("streams"), F.col(order).alias("seq"),
+    )
+    found = lines.select(F.lower(F.regexp_extract(t, FOUND, 1)).alias("domain"), none.alias("candidates"), none.alias("pages"), _number(F.regexp_extract(t, FOUND, 2)).alias("streams"), F.col(order).alias("seq"))
+    rows = crawled.unionByName(found).where(F.col("domain") != "")
+    last = F.max_by("streams", F.when(F.col("streams").isNotNull(), F.col("seq")))
+    return rows.groupBy("domain").agg(F.sum("candidates").alias("candidates"), F.sum("pages").alias("pages"), last.alias("streams"))
+
+
+def line_urls(lines: DataFrame, text: str = "text", order: str = "seq") -> DataFrame:
+    """(seq, pos, url, domain): every URL in log lines with its authority in lower case."""
+    rows = lines.select(F.col(order).alias("seq"), F.posexplode(_all(shortened(F.coalesce(F.col(text), F.lit("")), 500), _LINE_URLS)).alias("pos", "url"))
+    return rows.withColumn("domain", F.coalesce(F.nullif(F.lower(U.authority(F.col("url"))), F.lit("")), F.lit("unknown")))
+
+
+def url_domains(lines: DataFrame, text: str = "text", order: str = "seq", recent: int = 25) -> tuple[DataFrame, DataFrame]:
+    """((domain, n), (seq, pos, url)): how often each domain turns up, and the last `recent` URLs that look like streams."""
+    urls = line_urls(lines, text, order)
+    streams = urls.where(F.lower("url").rlike("|".join(STREAM_WORDS))).select("seq", "pos", F.substring("url", 1, 500).alias("url"))
+    return urls.groupBy("domain").agg(F.count("*").alias("n")), streams.orderBy(F.desc("seq"), F.desc("pos")).limit(recent)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import urls as U
+from tessera.operators.contains import MOST, containing, is_small
 
 #: Test hosts, patterns of archives and demos, and regions off target (fixed values).
 BLOCKED_TEST_DOMAINS = ("test-streams.mux.dev", "bitdash-a.akamaihd.net", "demo.unified-streaming.com", "gist.github.com", "github.com", "m3u8-player.com")
@@ -229,18 +230,26 @@ def normal_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[\W_]+", " "))
 
 
-def without_rules(rows: DataFrame, rules: DataFrame, fields: Sequence[str]) -> DataFrame:
+def without_rules(rows: DataFrame, rules: DataFrame, fields: Sequence[str], most: int = MOST) -> DataFrame:
     """Rows that no rule (field, term) blocks: a term of its field, or of any field if the rule's field is null.
 
-    Rules are a small table by nature (a person writes them); beyond the broadcast threshold Spark
-    still runs the same anti join.
+    Rules are counted: up to `most` go to all tasks and rows stay where they are; more meet the distinct values
+    of each field, see containing(), and the values they block leave by an anti join on equal text.
     """
-    texts = F.map_from_arrays(F.array(*[F.lit(f) for f in fields]), F.array(*[normal_text(F.col(f)) for f in fields]))
-    every = F.concat_ws(" \u0001 ", *[normal_text(F.col(f)) for f in fields])
-    marked = rows.withColumns({"_texts": texts, "_every": every})
     terms = rules.select("field", normal_text(F.col("term")).alias("_term")).where(F.col("_term") != "")
-    hit = F.contains(F.when(F.col("field").isNull(), F.col("_every")).otherwise(F.try_element_at("_texts", F.col("field"))), F.col("_term"))
-    return marked.join(terms, hit, "left_anti").drop("_texts", "_every")
+    if is_small(terms, most):
+        texts = F.map_from_arrays(F.array(*[F.lit(f) for f in fields]), F.array(*[normal_text(F.col(f)) for f in fields]))
+        every = F.concat_ws(" \u0001 ", *[normal_text(F.col(f)) for f in fields])
+        marked = rows.withColumns({"_texts": texts, "_every": every})
+        hit = F.contains(F.when(F.col("field").isNull(), F.col("_every")).otherwise(F.try_element_at("_texts", F.col("field"))), F.col("_term"))
+        return marked.join(F.broadcast(terms), hit, "left_anti").drop("_texts", "_every")
+    out = rows
+    for f in fields:
+        mine = terms.where(F.col("field").isNull() | (F.col("field") == f)).select("_term").distinct()
+        values = rows.select(normal_text(F.col(f)).alias("_value")).distinct()
+        blocked = containing(values, "_value", mine, "_term", most).select("_value").distinct()
+        out = out.join(blocked, normal_text(F.col(f)) == F.col("_value"), "left_anti")
+    return out
 
 
 #: Paths whose permission decides for a domain (fixed values).

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import urls as U
+from tessera.operators.contains import containing
 
 
 def status_counts(rows: DataFrame) -> DataFrame:
@@ -115,9 +116,10 @@ def error_counts(rows: DataFrame, artifact: str, text: str, patterns: Sequence[t
 
 
 def cap_audit(metrics: DataFrame, caps: DataFrame) -> DataFrame:
-    """(metric, value, cap_name, cap_value) of metrics whose name holds a cap's hint and whose value is above it. caps is a list of settings."""
-    m = metrics.select("metric", F.col("value").try_cast("double").alias("value")).where(F.col("value").isNotNull())
-    return m.join(caps, F.contains(F.lower(m["metric"]), F.lower(caps["hint"])) & (m["value"] > caps["cap_value"])).select("metric", "value", "cap_name", "cap_value")
+    """(metric, value, cap_name, cap_value) of metrics whose name holds a cap's hint and whose value is above it."""
+    m = metrics.select("metric", F.col("value").try_cast("double").alias("value"), F.lower("metric").alias("_name")).where(F.col("value").isNotNull())
+    c = caps.select("cap_name", F.col("cap_value").cast("double").alias("cap_value"), F.lower("hint").alias("_hint"))
+    return containing(m, "_name", c, "_hint").where(F.col("value") > F.col("cap_value")).select("metric", "value", "cap_name", "cap_value")
 
 
 def export_summary(received: DataFrame, unique: DataFrame) -> DataFrame:

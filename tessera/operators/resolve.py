@@ -4,6 +4,10 @@ A record is absorbed by the first leader before it that it matches by URL key, b
 by label in one city; a leader is a record that no earlier leader matches. Matching isn't passed on:
 what matches an absorbed record only is a leader. A merge changes neither URL, city, label nor
 coordinates, so the matches can be found beforehand and only who leads is settled in rounds.
+
+Matches are kept between classes, never between all records: records of one URL key, one place or one
+label are a class, whose members match each other, and only different places or labels are compared. So
+a popular title or place costs linear work.
 """
 
 from __future__ import annotations
@@ -24,87 +28,103 @@ def _near(a: Column, b: Column, metres: float) -> Column:
     return X.haversine_m(a["latitude"], a["longitude"], b["latitude"], b["longitude"]) <= metres
 
 
-def proximity_edges(rows: DataFrame, metres: float = METRES) -> DataFrame:
-    """(i, j), i < j: pairs of one city within so many metres. Equi-joins on city and grid cell; each row meets its nine cells.
+def _classes(rows: DataFrame, *by: str) -> DataFrame:
+    """(seq, cls, by): the class of each record, named by its first."""
+    first = rows.groupBy(*by).agg(F.min("seq").alias("cls"))
+    return rows.select("seq", *by).join(first, list(by))
+
+
+def places(rows: DataFrame) -> DataFrame:
+    """(seq, cls, city, latitude, longitude): located records; those of one city and place are a class."""
+    located = rows.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull() & F.col("city").isNotNull())
+    return _classes(located.select("seq", F.lower("city").alias("city"), "latitude", "longitude"), "city", "latitude", "longitude")
+
+
+def proximity_edges(members: DataFrame, metres: float = METRES) -> DataFrame:
+    """(a, b), a < b: pairs of classes of places() of one city within so many metres. Equi-joins on city and grid cell; each place meets its nine cells.
 
     Cells are twice as wide as the radius at the row's own latitude band, so no pair in reach is missed.
     """
-    located = rows.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
     step = metres / 111_000.0 * 1.01
     # longitude shrinks with latitude: the cell's width is that of its band's edge towards the pole, within limits
     y = F.floor(F.col("latitude") / step)
     width = lambda band: F.lit(step) / F.greatest(F.cos(F.radians(F.least(F.abs(band * step) + 2 * step, F.lit(89.99)))), F.lit(1e-6))
-    place = F.struct("latitude", "longitude")
-    base = located.select("seq", F.lower("city").alias("city"), place.alias("p"), y.alias("y"))
-    own = base.select("seq", "city", "p", "y", F.floor(F.col("p.longitude") / width(F.col("y"))).alias("x"))
+    base = members.select("cls", "city", F.struct("latitude", "longitude").alias("p"), y.alias("y")).where(F.col("cls") == F.col("seq"))
+    own = base.select("cls", "city", "p", "y", F.floor(F.col("p.longitude") / width(F.col("y"))).alias("x"))
     reach = base.withColumn("y", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.col("y") + d)))
     reach = reach.withColumn("x", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("p.longitude") / width(F.col("y"))) + d)))
-    a = own.select("city", "x", "y", F.col("seq").alias("i"), F.col("p").alias("a"))
-    b = reach.select("city", "x", "y", F.col("seq").alias("j"), F.col("p").alias("b"))
-    return a.join(b, ["city", "x", "y"]).where((F.col("i") != F.col("j")) & _near(F.col("a"), F.col("b"), metres)).select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
+    one = own.select("city", "x", "y", F.col("cls").alias("i"), F.col("p").alias("a"))
+    two = reach.select("city", "x", "y", F.col("cls").alias("j"), F.col("p").alias("b"))
+    near = one.join(two, ["city", "x", "y"]).where((F.col("i") != F.col("j")) & _near(F.col("a"), F.col("b"), metres))
+    return near.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
 
 
-def label_edges(rows: DataFrame, ratio: float = RATIO) -> DataFrame:
-    """(i, j), i < j: pairs of one known city whose labels, in lower case, are alike by more than `ratio`.
+def labels(rows: DataFrame) -> DataFrame:
+    """(seq, cls, city, label): records of a known city whose label says something; those of one city and label, in lower case, are a class."""
+    city, label = F.lower(F.trim("city")), F.lower(F.coalesce("label", F.lit("")))
+    usable = rows.where(~city.isin("unknown", "") & ~F.trim(label).isin(*GENERIC_LABELS))
+    return _classes(usable.select("seq", F.lower("city").alias("city"), label.alias("label")), "city", "label")
 
-    Equal labels are one class, compared once, and equal pairs of a class count without comparing. Classes
-    of a city meet in a join whose conditions, bounds by length and by counts of letters that no pair
-    above the ratio fails, run before the exact ratio.
+
+def label_edges(members: DataFrame, ratio: float = RATIO) -> DataFrame:
+    """(a, b), a < b: pairs of classes of labels() of one city whose labels are alike by more than `ratio`.
+
+    Classes of a city meet in a join whose conditions, bounds by length and by counts of letters that no
+    pair above the ratio fails, run before the exact ratio.
     """
-    city, label = F.lower(F.trim("city")), F.lower(F.coalesce("label", F.lit("")))
-    usable = rows.where(~city.isin("unknown", "") & ~F.trim(label).isin(*GENERIC_LABELS)).select("seq", F.lower("city").alias("city"), label.alias("label"))
-    classes = usable.groupBy("city", "label").agg(F.min("seq").alias("first"))
     n = F.length("label")
-    a = classes.select("city", F.col("label").alias("la"), n.alias("na"))
-    b = classes.select("city", F.col("label").alias("lb"), n.alias("nb"))
+    classes = members.where(F.col("cls") == F.col("seq"))
+    a = classes.select("city", F.col("cls").alias("ka"), F.col("label").alias("la"), n.alias("na"))
+    b = classes.select("city", F.col("cls").alias("kb"), F.col("label").alias("lb"), n.alias("nb"))
     close = 2 * F.least("na", "nb") / (F.col("na") + F.col("nb")) * 100 > ratio
     counts = lambda c: F.transform(F.sequence(F.lit(97), F.lit(122)), lambda k: F.length(c) - F.length(F.replace(c, F.chr(k), F.lit(""))))
     a, b = a.withColumn("ca", counts(F.col("la"))), b.withColumn("cb", counts(F.col("lb")))
     shared = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
     others = F.least(F.col("na") - F.aggregate("ca", F.lit(0), lambda s, x: s + x), F.col("nb") - F.aggregate("cb", F.lit(0), lambda s, x: s + x))
     possible = 200 * (shared + others) / (F.col("na") + F.col("nb")) > ratio
-    pairs = a.join(b, (a["city"] == b["city"]) & (F.col("la") < F.col("lb")) & close & possible).select(a["city"].alias("city"), "la", "lb")
-    alike = pairs.where(X.similarity(F.col("la"), F.col("lb")) > ratio)
-    both = alike.unionByName(classes.select("city", F.col("label").alias("la"), F.col("label").alias("lb")))
-    x = usable.select("city", F.col("label").alias("la"), F.col("seq").alias("i"))
-    y = usable.select("city", F.col("label").alias("lb"), F.col("seq").alias("j"))
-    out = both.join(x, ["city", "la"]).join(y, ["city", "lb"]).where(F.col("i") != F.col("j"))
-    return out.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
+    pairs = a.join(b, (a["city"] == b["city"]) & (F.col("ka") < F.col("kb")) & close & possible).select(F.col("ka").alias("a"), F.col("kb").alias("b"), "la", "lb")
+    return pairs.where(X.similarity(F.col("la"), F.col("lb")) > ratio).select("a", "b")
+
+
+def links_of(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """(seq, cls, n_links): of each record its class and how many other records match it."""
+    sizes = members.groupBy("cls").agg(F.count("*").alias("size"))
+    both = edges.select("a", "b").union(edges.select("b", "a"))
+    around = both.join(sizes, both["b"] == sizes["cls"]).groupBy("a").agg(F.sum("size").alias("near"))
+    per = sizes.join(around, sizes["cls"] == around["a"], "left").select("cls", (F.col("size") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+    return members.join(stored(per, "links"), "cls").select("seq", "cls", "n_links")
 
 
-def leaders(rows: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def leaders(members: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(seq, leader): who absorbs each record; leaders absorb themselves.
 
-    rows: seq, key (URL key). In each round the records without an undecided earlier match settle: absorbed
-    if an earlier leader matches, else leaders. Records of one key match each other through the key, by
-    its least leader and its least undecided record, so a popular key costs linear work. Raises if
-    max_rounds don't settle all.
+    members (seq, cls): the classes that a record belongs to, one at least. edges (a, b): pairs of classes whose
+    records match. In each round the records without an undecided earlier match settle: absorbed if an earlier
+    leader matches, else leaders. What a class and its neighbours hold is told by its least leader and its
+    least undecided record. Raises if max_rounds don't settle all.
     """
-    undecided = stored(rows.select("seq", "key"), "undecided")
-    edges = stored(edges.select("i", "j"), "edges")
-    decided = None
+    members = stored(members.select("seq", "cls").distinct(), "members")
+    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    undecided = stored(members.select("seq").distinct(), "undecided")
+    decided, none = None, F.lit(None).cast("bigint")
     for _ in range(max_rounds):
         if undecided.limit(1).count() == 0:
-            return decided if decided is not None else rows.select("seq", F.col("seq").alias("leader")).limit(0)
-        least = undecided.groupBy("key").agg(F.min("seq").alias("k_open"))
-        waits = edges.join(undecided.select(F.col("seq").alias("i")), "i", "left_semi").groupBy(F.col("j").alias("seq")).agg(F.min("i").alias("e_open"))
-        state = undecided.join(least, "key").join(waits, "seq", "left")
+            return decided if decided is not None else members.select("seq", F.col("seq").alias("leader")).limit(0)
+        waiting = stored(members.join(undecided, "seq", "left_semi"), "waiting")
+        held = waiting.select("cls", F.col("seq").alias("open"), none.alias("lead"))
         if decided is not None:
             lead = decided.where(F.col("seq") == F.col("leader")).select("seq")
-            by_key = lead.join(rows.select("seq", "key"), "seq").groupBy("key").agg(F.min("seq").alias("k_lead"))
-            by_edge = edges.join(lead.select(F.col("seq").alias("i")), "i", "left_semi").groupBy(F.col("j").alias("seq")).agg(F.min("i").alias("e_lead"))
-            state = state.join(by_key, "key", "left").join(by_edge, "seq", "left")
-        else:
-            none = F.lit(None).cast("bigint")
-            state = state.withColumns({"k_lead": none, "e_lead": none})
-        # a leader of the same key counts only if it came before
-        first = F.least(F.when(F.col("k_lead") < F.col("seq"), F.col("k_lead")), "e_lead")
-        earliest_open = F.least(F.when(F.col("k_open") < F.col("seq"), F.col("k_open")), "e_open")
-        ready = earliest_open.isNull() | (first < earliest_open)
-        settled = stored(state.where(F.coalesce(ready, F.lit(False))).select("seq", F.coalesce(first, "seq").alias("leader")), "settled")
+            held = held.unionByName(members.join(lead, "seq", "left_semi").select("cls", none.alias("open"), F.col("seq").alias("lead")))
+        least = [F.min("open").alias("open"), F.min("lead").alias("lead")]
+        per = held.groupBy("cls").agg(*least)
+        near = both.join(per, both["b"] == per["cls"]).select(F.col("a").alias("cls"), "open", "lead")
+        reach = stored(per.unionByName(near).groupBy("cls").agg(*least), "reach")
+        before = lambda c: F.min(F.when(F.col(c) < F.col("seq"), F.col(c)))
+        state = waiting.join(reach, "cls").groupBy("seq").agg(before("open").alias("open"), before("lead").alias("lead"))
+        ready = F.col("open").isNull() | F.coalesce(F.col("lead") < F.col("open"), F.lit(False))
+        settled = stored(state.where(ready).select("seq", F.coalesce("lead", "seq").alias("leader")), "settled")
         decided = settled if decided is None else stored(decided.unionByName(settled), "decided")
         undecided = stored(undecided.join(settled, "seq", "left_anti"), "undecided")
-        edges = stored(edges.join(settled.select(F.col("seq").alias("j")), "j", "left_anti").select("i", "j"), "edges")
     raise RuntimeError(f"duplicates didn't settle in {max_rounds} rounds")
 
 
@@ -123,6 +143,12 @@ def merge(rows: DataFrame, assigned: DataFrame) -> DataFrame:
 
 def deduplicate(rows: DataFrame, metres: float = METRES, ratio: float = RATIO) -> DataFrame:
     """merge() of all duplicates. rows: seq (arrival), url, city, label, latitude, longitude, source_refs, last_verified and more."""
-    keyed = rows.select("seq", U.catalogue_key(F.col("url")).alias("key"))
-    edges = proximity_edges(rows, metres).unionByName(label_edges(rows, ratio)).distinct()
-    return merge(rows, leaders(keyed, edges))
+    named = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    keyed = rows.select("seq", F.concat(F.lit("u"), F.coalesce(U.catalogue_key(F.col("url")), F.col("seq").cast("string"))).alias("cls"))
+    kinds = [("p", stored(places(rows), "places")), ("l", stored(labels(rows), "labels"))]
+    members, edges = keyed, None
+    for (kind, found), of in zip(kinds, (lambda m: proximity_edges(m, metres), lambda m: label_edges(m, ratio)), strict=True):
+        members = members.unionByName(found.select("seq", named(kind, "cls").alias("cls")))
+        part = of(found).select(named(kind, "a").alias("a"), named(kind, "b").alias("b"))
+        edges = part if edges is None else edges.unionByName(part)
+    return merge(rows, leaders(members, edges))

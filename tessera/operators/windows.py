@@ -83,3 +83,8 @@ def latest_metrics(rows: DataFrame, run: str, order: str, last: Sequence[str] =
     """Per run the last known value of some metrics and the sum of others."""
     aggs = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in last] + [F.sum(c).alias(c) for c in summed]
     return rows.groupBy(run).agg(*aggs)
+
+
+def catalogue_order(rows: DataFrame, columns: Sequence[str] = ("country", "region", "city", "label")) -> DataFrame:
+    """Rows by place and label, unknown places first. A sort by ranges: written, the files follow each other."""
+    return rows.orderBy(*[F.coalesce(F.col(c), F.lit("")) for c in columns])

@@ -11,6 +11,30 @@ from tessera.functions import urls as U
 from tessera.operators import extract, gates, geo, reports, resolve, status, windows
 
 
+#: Most rows that the stages of a run hand on, and what catalogue mode raises some of them to at least (fixed values).
+CAPS = {
+    "candidates": 30, "streams": 10, "search_queries": 25, "search_results_per_query": 10, "feed_endpoints": 100, "feed_records": 3000,
+    "stream_candidates": 2500, "per_source_streams": 500, "deep_pages": 100, "links_per_page": 25, "scripts_per_page": 20,
+}
+CATALOGUE_LEAST = {"search_queries": 50, "search_results_per_query": 20, "deep_pages": 300, "candidates": 500, "streams": 250}
+
+
+def stage_caps(catalogue_mode: bool = False, **chosen: int) -> dict[str, int]:
+    """CAPS with those chosen for a run; in catalogue mode none is below its least."""
+    unknown = chosen.keys() - CAPS.keys()
+    if unknown:
+        raise ValueError(f"no such stages: {sorted(unknown)}")
+    caps = {**CAPS, **chosen}
+    return {k: max(v, CATALOGUE_LEAST.get(k, v)) for k, v in caps.items()} if catalogue_mode else caps
+
+
+def capped(rows: DataFrame, caps: dict[str, int], stage: str, order: str = "seq", per: str | None = None) -> DataFrame:
+    """The first rows of a stage in their order, as many as its cap; of each value of `per`, if given."""
+    if per:
+        return windows.top_per_group(rows, [per], [order], caps[stage])
+    return rows.orderBy(order).limit(caps[stage])
+
+
 @dataclass
 class Observations:
     """What was seen outside: tables, see the operators for their columns."""

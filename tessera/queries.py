@@ -213,10 +213,9 @@ HREFS = f"""{PARTS}, hrefs as (select page_id, url, a, regexp_extract(url, '^([^
 links as (select page_id, url, a, h, s || '://' || a || regexp_replace(h, '#.*$', '') as link from hrefs where starts_with(h, '/') and not starts_with(h, '//'))"""
 
 
-@query(f"with {HREFS} select url as page, link, count(*) as n from links where not contains(h, '..') and not contains(h, './') and not regexp_matches(h, '/\\.+$') group by 1, 2")
+@query(f"with {HREFS} select url as page, link, count(*) as n from links group by 1, 2")
 def x3_page_links(spark, sf):
-    rows = extract.page_links(table(spark, sf, "pages"))
-    return rows.where(~F.col("href").rlike(r"\.\.|\./|/\.+$")).groupBy("page", "link").agg(F.count("*").alias("n"))
+    return extract.page_links(table(spark, sf, "pages")).groupBy("page", "link").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -230,12 +229,22 @@ def x1_stream_links(spark, sf):
 
 
 @query(
-    """with found as (select doc_id, unnest(list_distinct(regexp_extract_all(text, '\\b((?:\\d{1,3}\\.){3}\\d{1,3})\\b', 1))) as name from documents)
-select doc_id as id, 'ip' as type, name, 0.8 as confidence from found"""
+    r"""with q as (select doc_id, trim(coalesce(text, '')) as q from documents), f as (select doc_id, q, regexp_extract_all(q, '(?i)(https?://\S+)', 1) as urls from q),
+u as (select doc_id, q, urls, list_transform(urls, lambda x: lower(regexp_extract(x, '//([^/?#]*)', 1))) as hosts from f),
+p as (select doc_id, string_split_regex(q, '(?i)\b(?:from|in|near|around)\b') as pieces from q),
+e as (
+  select doc_id, 'url' as type, regexp_extract(unnest(urls), '//([^/?#]*)', 1) as name, 0.95 as confidence from u
+  union all select doc_id, 'hostname', lower(unnest(list_filter(regexp_extract_all(q, '(?i)\b((?:[a-z0-9-]+\.)+[a-z]{2,})\b', 1), lambda h: not list_contains(hosts, lower(h))))), 0.8 from u
+  union all select doc_id, 'ip', unnest(regexp_extract_all(q, '\b((?:\d{1,3}\.){3}\d{1,3})\b', 1)), 0.8 from q
+  union all select doc_id, 'coordinates', regexp_replace(unnest(regexp_extract_all(q, '(-?\d{1,3}\.\d+\s*,\s*-?\d{1,3}\.\d+)', 1)), '\s', '', 'g'), 0.9 from q
+  union all select doc_id, 'place', unnest(list_filter(list_transform(string_split_regex(pieces[-1], '(?i)\band\b|;'), lambda t: regexp_replace(t, '^[ .,]+|[ .,]+$', '', 'g')),
+    lambda t: length(t) >= 3 and not regexp_matches(t, '(?i)https?://') and not regexp_matches(t, '-?\d{1,3}\.\d+\s*,\s*-?\d{1,3}\.\d+'))), 0.7 from p where len(pieces) > 1)
+select doc_id as id, type, lower(name) as key, confidence::double as confidence from e group by all"""
 )
 def x12_targets(spark, sf):
-    rows = extract.target_indicators(table(spark, sf, "documents"), "doc_id", "text").where(F.col("type") == "ip")
-    return rows.select("id", "type", "name", F.col("confidence").alias("confidence"))
+    """All kinds: URLs, hosts, addresses, coordinates and places of every document."""
+    rows = extract.target_indicators(table(spark, sf, "documents"), "doc_id", "text")
+    return rows.select("id", "type", F.lower("name").alias("key"), "confidence")
 
 
 @query("""select h.user_id as user_id, h.k as k, h.n as n from (select user_id, cast(json_extract_string(props, '$.k') as varchar) as k, count(*) as n from events group by 1, 2) h where h.k is not null""")
@@ -502,21 +511,20 @@ def t2_top_counts(spark, sf):
     return windows.top_counts(rows, "value", "seq", 3)
 
 
-@query(f"with {HREFS}, f as (select url as page, link, len(list_filter(string_split(regexp_extract(link, '^[^:]+://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> '')) as depth from links where not contains(h, './') and not regexp_matches(h, '/\\.+$') group by all) select page, link, depth from f qualify row_number() over (partition by page order by depth, link) <= 4")
+@query(f"with {HREFS}, f as (select url as page, link, len(list_filter(string_split(regexp_extract(link, '^[^:]+://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> '')) as depth from links group by all) select page, link, depth from f qualify row_number() over (partition by page order by depth, link) <= 4")
 def t4_shallow_links(spark, sf):
     rows = extract.same_domain_links(table(spark, sf, "pages")).withColumn("pos", F.col("link"))
-    rows = rows.where(~F.col("link").rlike(r"\./|/\.+$"))
     return windows.shallow_links(rows, 4).select("page", "link", F.col("depth").cast("bigint").alias("depth"))
 
 
 @query(
-    """with p as (select l_orderkey as seq, l_linenumber as n, 'https://x.example/' || l_orderkey || '.m3u8' as candidate_url, case when l_returnflag = 'R' then 'https://traffic.example/dot' end as source_page, l_discount * 10 as rel from lineitem where l_linenumber = 1),
+    """with p as (select l_orderkey as seq, 'https://x.example/' || l_orderkey || '.m3u8' as candidate_url, case when l_returnflag = 'R' then 'https://traffic.example/dot' end as source_page, l_discount * 10 as rel from lineitem),
 s as (select seq, least(0.5, 0.2 * (case when source_page is null then 0 else 1 end)) as t, least(0.2, 0.1 * (1 + case when source_page is null then 0 else 1 end)) as c, rel from p),
 z as (select seq, 0.2 + t + c + 0.2 + least(0.1, rel * 0.1) as score from s)
 select seq, case when score >= 0.7 then 'high' when score >= 0.45 then 'medium' else 'low' end as priority, count(*) as n from z group by all"""
 )
 def c1_priorities(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_linenumber = 1")
+    li = table(spark, sf, "lineitem")
     rows = li.select(F.col("l_orderkey").alias("seq"), F.concat(F.lit("https://x.example/"), "l_orderkey", F.lit(".m3u8")).alias("candidate_url"), F.when(F.col("l_returnflag") == "R", "https://traffic.example/dot").alias("source_page"),
                      F.lit(None).cast("string").alias("root_url"), F.lit(None).cast("string").alias("source_query"), (F.col("l_discount") * 10).alias("page_relevance_score"))
     return gates.priorities(rows, locations=["dot"]).groupBy("seq", "priority").agg(F.count("*").alias("n"))
@@ -550,15 +558,19 @@ def c4_scope_decisions(spark, sf):
 
 
 @query(
-    """with cells as (select s_suppkey as i, (s_suppkey % 10) * 0.0003 as lat, (s_suppkey // 10 % 10) * 0.0003 as lon, 'c' || (s_suppkey % 3) as city from supplier)
-select a.i as i, b.i as j from cells a join cells b on a.city = b.city and a.i < b.i
+    """with cells as (select s_suppkey as i, (s_suppkey % 10) * 0.0003 as lat, (s_suppkey // 10 % 10) * 0.0003 as lon, 'c' || (s_suppkey % 3) as city from supplier),
+classes as (select city, lat, lon, min(i) as cls, count(*) as n from cells group by all),
+near as (select a.cls, sum(b.n) - 1 as n_links from classes a join classes b on a.city = b.city
 where 2 * 6371000.0 * atan2(sqrt(sin(radians(b.lat - a.lat) / 2) ** 2 + cos(radians(a.lat)) * cos(radians(b.lat)) * sin(radians(b.lon - a.lon) / 2) ** 2),
-  sqrt(1 - (sin(radians(b.lat - a.lat) / 2) ** 2 + cos(radians(a.lat)) * cos(radians(b.lat)) * sin(radians(b.lon - a.lon) / 2) ** 2))) <= 120"""
+  sqrt(1 - (sin(radians(b.lat - a.lat) / 2) ** 2 + cos(radians(a.lat)) * cos(radians(b.lat)) * sin(radians(b.lon - a.lon) / 2) ** 2))) <= 120 group by a.cls)
+select i as seq, cls, n_links::bigint as n_links from cells join classes using (city, lat, lon) join near using (cls)"""
 )
 def j20_proximity(spark, sf):
+    """Of each record the class of its place and how many others lie within 120 m."""
     k = F.col("s_suppkey")
     rows = table(spark, sf, "supplier").select(k.alias("seq"), ((k % 10) * 0.0003).alias("latitude"), (F.floor(k / 10) % 10 * 0.0003).alias("longitude"), F.concat(F.lit("c"), k % 3).alias("city"))
-    return resolve.proximity_edges(rows, 120.0)
+    members = resolve.places(rows)
+    return resolve.links_of(members, resolve.proximity_edges(members, 120.0))
 
 
 def entities(spark: SparkSession, sf: str) -> DataFrame:
@@ -578,10 +590,18 @@ def d1_entity_resolution(spark, sf):
 
 @query()
 def j21_similar_labels(spark, sf):
-    return resolve.label_edges(entities(spark, sf))
+    """Of each record the class of its label and how many others of its city have an alike one; a test holds it against all pairs."""
+    members = resolve.labels(entities(spark, sf))
+    return resolve.links_of(members, resolve.label_edges(members))
 
 
-@query()
+@query(
+    f"""with recursive {HREFS}, steps as (select distinct url as page, link from links where not regexp_matches(lower(link), 'privacy|terms|careers|login|signup')),
+reach(root, url, depth) as (select distinct url, url, 0 from pages union select r.root, s.link, r.depth + 1 from reach r join steps s on r.url = s.page where r.depth < 5),
+least as (select root, url, min(depth) as depth from reach group by root, url),
+parents as (select l.root, l.url, l.depth, min(u.url) as parent from least l left join steps s on s.link = l.url left join least u on u.root = l.root and u.url = s.page and u.depth = l.depth - 1 group by all)
+select root, url, depth, parent from parents qualify row_number() over (partition by root order by depth, url) <= 250"""
+)
 def g1_link_graph(spark, sf):
     """Links of pages on their own hosts, from every page, to the operator's own depth and number of pages."""
     pages = table(spark, sf, "pages")
@@ -617,10 +637,13 @@ def h10_hash_and_shorten(spark, sf):
 
 
 def queries() -> dict[str, Query]:
+    from tessera import queries_observed  # noqa: F401  registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)
 
 

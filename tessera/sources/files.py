@@ -52,9 +52,9 @@ def first_member(doc: Column, names: Sequence[str]) -> Column:
     return F.coalesce(*[F.nullif(F.try_variant_get(doc, f"$.{n}", "string"), F.lit("")) for n in names])
 
 
-def read_artifacts(spark: SparkSession, folder: str) -> DataFrame:
-    """All *.jsonl below a folder: (artifact, doc, url, domain)."""
-    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(folder)
+def read_artifacts(spark: SparkSession, folder: str, names: str = "*.jsonl") -> DataFrame:
+    """All files of such names below a folder: (artifact, doc, url, domain)."""
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", names).text(folder)
     rows = lines.where(F.trim("value") != "").select(F.col("_metadata.file_path").alias("artifact"), F.try_parse_json("value").alias("doc"))
     return rows.withColumn("url", first_member(F.col("doc"), URL_KEYS)).withColumn("domain", F.lower(U.domain(F.col("url"))))
 

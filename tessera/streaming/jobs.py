@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.functions import urls as U
 from tessera.operators import extract as X
+from tessera.operators.resolve import deduplicate
 from tessera.operators.status import playlist_fields
 
 
@@ -117,3 +118,14 @@ def playlist_states(snapshots: DataFrame) -> DataFrame:
 def run_to_end(rows: DataFrame, path: str, checkpoint: str, fmt: str = "parquet") -> None:
     """Process all that has arrived and stop; started again it goes on where it stopped."""
     rows.writeStream.format(fmt).option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+
+def finalised(spark: SparkSession, query: StreamingQuery, path: str) -> DataFrame:
+    """Duplicates are resolved over the whole set, so this waits for an intake stream to end and works on the table it wrote.
+
+    path: the sink's Parquet folder, with the columns of resolve.deduplicate(). A stream that failed raises here.
+    """
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise query.exception()
+    return deduplicate(spark.read.parquet(path))

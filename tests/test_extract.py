@@ -73,7 +73,20 @@ def test_targets(spark):
 
 
 def test_logs(spark):
-    d = spark.createDataFrame([("ValidationAgent: Probing URLs on https://www.a.example/x, 12 live",), ("Visual frame analysis",), ("",), (None,)], "text string")
-    got = [(r["stage"], r["domain"], r["live"]) for r in E.log_lines(d).collect()]
-    assert got == [("validation", "a.example", 12), ("visual-analysis", None, None), (None, None, None), (None, None, None)]
+    lines = [
+        "ValidationAgent: 1,204 candidates received from https://www.A.example/x, probing urls",
+        "Visual frame analysis", "", None,
+        "DirectoryTraversalSkill: 12 candidates from b.example (3 pages)", "DirectoryTraversalSkill: 1,000 candidates from b.example (7 pages)",
+        "b.example: 5 stream(s) found", "b.example: 9 stream(s) found", "reading from c.example (x)", "now crawling d.example",
+        "probe results — live=1, dead=2, unknown=3, timeout=4, other=5", "collapsed 7 rows (20 → 13)", "see http://e.example/cam1.m3u8 and http://e.example/p",
+    ]
+    d = spark.createDataFrame(list(enumerate(lines)), "seq int, text string")
+    rows = {r["seq"]: r for r in E.log_lines(d).collect()}
+    assert [rows[i]["stage"] for i in range(6)] == ["validation", "visual-analysis", None, None, "directory-crawl", "directory-crawl"]
+    assert [rows[i]["domain"] for i in (0, 1, 3, 4, 8, 9)] == ["www.a.example", "unknown", "unknown", "b.example", "c.example", "d.example"]
+    assert rows[0]["validation_candidates_received"] == 1204 and rows[10]["probe_other"] == 5 and rows[11]["candidates_after_collapse"] == 13 and rows[1]["mapped"] is None
+    assert [tuple(r) for r in E.domain_metrics(d).collect()] == [("b.example", 1012, 10, 9)]
+    counts, recent = E.url_domains(d)
+    assert {tuple(r) for r in counts.collect()} == {("www.a.example", 1), ("e.example", 2)}
+    assert [r["url"] for r in recent.collect()] == ["http://e.example/cam1.m3u8"]
     assert [r["url"] for r in E.harvested_urls(spark.createDataFrame([("a https://x.example/live/1 https://x.example/p",), (None,)], "t string"), "t").collect()] == ["https://x.example/live/1"]
