@@ -20,7 +20,9 @@ from tessera.sources import files
 from tessera.storage import shared_dir
 from tessera.streaming import jobs
 
-NO_TEXT = F.lit(None).cast("string")
+
+def no_text() -> Column:
+    return F.lit(None).cast("string")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -137,7 +139,7 @@ def x2_expanded_candidates(spark, sf):
     first = text('<video><source src="https://cdn.example/a', k, '.m3u8"></video>')
     html = F.when(k % 4 == 0, F.concat(first, text('<a href="/live/b', k, '.m3u8?x=1">b</a>'))).when(k % 4 == 3, F.concat(first, first)).otherwise("<p>none</p>")
     pages = derived_pages(spark, sf, html)
-    rows = pages.select("url", F.array().cast("array<string>").alias("source_refs"), NO_TEXT.alias("notes"), F.lit("r").alias("state_region"))
+    rows = pages.select("url", F.array().cast("array<string>").alias("source_refs"), no_text().alias("notes"), F.lit("r").alias("state_region"))
     return extract.expand_candidates(rows, pages.where(F.col("k") % 4 != 2).select("url", "html")).select("url", "source_refs", "notes", "state_region")
 
 
@@ -413,7 +415,7 @@ select k, coalesce(classification, 'none') as classification, case when classifi
 def j22_snapshot_classes(spark, sf):
     """The last class of each playlist against all that were snapped, and what it makes of a live row."""
     last = status.latest(status.playlist_classes(snapshots(spark, sf)).select("url", "taken_at", "classification"), "url", "taken_at")
-    rows = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n")).withColumns({"url": text("p", F.col("k")), "status": F.lit("live"), "fail_reason": NO_TEXT})
+    rows = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n")).withColumns({"url": text("p", F.col("k")), "status": F.lit("live"), "fail_reason": no_text()})
     out = status.playlist_override(rows, last).join(last.select("url", "classification"), "url", "left")
     return out.select("k", F.coalesce("classification", F.lit("none")).alias("classification"), "status")
 
@@ -508,7 +510,7 @@ def c2_relevance(spark, sf):
     at = lambda i: picked(k, *[x[i] for x in LINEAGES])
     score = F.element_at(F.array(*[F.lit(x[3]).cast("double") for x in LINEAGES]), (k % 9 + 1).cast("int"))
     rows = table(spark, sf, "lineitem").select(
-        k.alias("k"), at(0).alias("candidate_url"), at(1).alias("source_page"), at(2).alias("source_query"), NO_TEXT.alias("root_url"), score.alias("page_relevance_score"), F.lit(0.0).alias("camera_likelihood_score")
+        k.alias("k"), at(0).alias("candidate_url"), at(1).alias("source_page"), at(2).alias("source_query"), no_text().alias("root_url"), score.alias("page_relevance_score"), F.lit(0.0).alias("camera_likelihood_score")
     )
     return gates.relevance(rows, locations=["rome"]).groupBy("k", "reason", "accepted", "relevance_score").agg(F.count("*").alias("n"))
 
@@ -695,7 +697,7 @@ def u_split_candidates(spark, sf):
 @query(f"with {LOCATED} select seq, country, city, label from located")
 def t1_catalogue_order(spark, sf):
     """Sorted by country, region, city and label; a test looks at the order."""
-    return windows.catalogue_order(located(spark, sf).withColumn("region", NO_TEXT)).select("seq", "country", "city", "label")
+    return windows.catalogue_order(located(spark, sf).withColumn("region", no_text())).select("seq", "country", "city", "label")
 
 
 @query(

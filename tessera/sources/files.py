@@ -30,12 +30,17 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | StructType) -> Data
 def read_jsonl_tolerant(spark: SparkSession, path: str, numbered: bool = False) -> DataFrame:
     """(_artifact, _line, doc VARIANT, _raw): lines that aren't an object keep their text in _raw.
 
-    _line is the place in the file, counted only if asked for: it takes a pass over the file's lines in order.
+    _line is the place in the file, counted only if asked for: each block of a file counts its own lines, and what
+    the blocks before it hold is added.
     """
-    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("_artifact"), F.col("value"))
+    where, block = F.col("_metadata.file_path").alias("_artifact"), F.col("_metadata.file_block_start").alias("_block")
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(where, block, F.col("value"))
     if numbered:
-        order = Window.partitionBy("_artifact").orderBy("_id")
-        lines = lines.withColumn("_id", F.monotonically_increasing_id()).withColumn("_line", F.row_number().over(order)).drop("_id")
+        lines = lines.withColumn("_id", F.monotonically_increasing_id())
+        blocks = lines.groupBy("_artifact", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+        before = Window.partitionBy("_artifact").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        lines = lines.join(blocks, ["_artifact", "_block"]).withColumn("_line", (F.col("_before") + F.col("_id") - F.col("_first") + 1).cast("int"))
     else:
         lines = lines.withColumn("_line", F.lit(None).cast("int"))
     lines = lines.where(F.trim("value") != "")
