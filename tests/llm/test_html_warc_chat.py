@@ -141,3 +141,21 @@ def test_conversations(spark):
     out = C.format_conversations(spark.createDataFrame([(*r, "k") for r in rows], "conv_id bigint, turn bigint, role string, text string, name string"))
     got = sorted((r["conv_id"], r["call_id"], r["status"], r["valid"]) for r in out.collect())
     assert got == [(1, "call-1", "linked", True), (1, "call-3", "unanswered", False), (2, "call--1", "orphan_result", False)]
+
+
+def test_levels_of_deep_chains(spark):
+    """Calls that each need the next one, against the turns: the level is the depth; what needs a cycle has none."""
+    n = 70
+    rows = [("c", f"k{i}", i, "f", "{}", [f"k{i + 1}"]) for i in range(n)] + [("c", f"k{n}", n, "f", "{}", ["unknown"]), ("c", "a", 90, "f", "{}", ["b"]), ("c", "b", 91, "f", "{}", ["a"]), ("c", "d", 92, "f", "{}", ["a", "k0"])]
+    df = spark.createDataFrame(rows, "conv_id string, call_id string, turn int, name string, arguments string, after array<string>").coalesce(1)
+    got = {r["call_id"]: r["level"] for r in C.order_levels(df).collect()}
+    assert got == {**{f"k{i}": n - i for i in range(n + 1)}, "a": None, "b": None, "d": None}
+
+
+def test_archives_end_at_their_size(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", "x" * 400 if i % 3 else f"<p>{i}</p>") for i in range(60)], "page_id bigint, url string, html string").coalesce(2)
+    folder = f"file://{tmp_path}"
+    written = W.write_archives(W.mark_revisits(pages), folder, archive_bytes=2000)
+    assert written.count() > 4
+    rows = {r["page_id"]: r for r in W.read_archives(W.normalise_archives(written, folder), folder).collect()}
+    assert len(rows) == 60 and all(rows[i]["record_type"] == ("response" if i % 3 == 0 or i == 1 else "revisit") and rows[i]["refers_to"] == (None if i % 3 == 0 or i == 1 else 1) for i in rows)

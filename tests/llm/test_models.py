@@ -89,3 +89,63 @@ def test_neighbours(spark):
     few = spark.createDataFrame(rows[:3], "vec_id bigint, embedding array<double>")
     assert [(r["query_id"], r["rank"]) for r in N.search(few, F.col("vec_id") == 0).orderBy("rank").collect()] == [(0, 1), (0, 2)]
     assert N.search(df.limit(0), F.col("vec_id") == 0).count() == 0
+
+
+def test_recall(spark):
+    """At least 0.9 of the true neighbours at both sizes, with the settings of the query."""
+    import __spark_entry__ as entry
+
+    for sf in ("sf0.01", "sf0.1"):
+        out = entry.queries()["op6_nearest_neighbours"](spark, f"/root/testdata/{sf}").collect()
+        table = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
+        ids, x = np.array([r["vec_id"] for r in table]), np.array([r["embedding"] for r in table], np.float64)
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        found = {}
+        for r in out:
+            found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+        hits = 0
+        for q, near in found.items():
+            score = unit @ unit[ids == q][0]
+            score[ids == q] = -9
+            hits += len({v for _, v, _ in near} & set(ids[np.argsort(-score, kind="stable")[:5]].tolist()))
+            assert [r for r, _, _ in sorted(near)] == [1, 2, 3, 4, 5] and [s for _, _, s in sorted(near)] == sorted((s for _, _, s in near), reverse=True)
+        assert set(found) == set(ids[ids % 50 == 0].tolist()) and hits >= 0.9 * 5 * len(found)
+
+
+def test_exact_search_and_parts(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(700, 8)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>").repartition(3)
+    monkeypatch.setattr(N, "PART", 20)
+    out = N.search(df, F.col("vec_id") % 10 == 0, exact=True).collect()
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    for q in range(0, 700, 10):
+        near = unit @ unit[q]
+        near[q] = -9
+        assert [r["vec_id"] for r in sorted((r for r in out if r["query_id"] == q), key=lambda r: r["rank"])] == np.argsort(-near, kind="stable")[:5].tolist()
+
+
+def test_every_language_is_learned(spark):
+    """More languages than the sample has rows: each still gets some."""
+    rows = [(i, "".join(chr(97 + (i // 12 * 7 + k) % 26) for k in range(30)), f"l{i // 12:03d}") for i in range(12 * 230)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    taken = L.sample(df, "doc_id", "text", "lang", rows=300).groupBy("lang").count().collect()
+    assert len(taken) == 230 and all(1 <= r["count"] <= L.LEAST_ROWS for r in taken)
+    held = {r["doc_id"] for r in df.where(held_out_column()).collect()}
+    assert len(held) > 0
+
+
+def test_blocks_of_long_texts_change_nothing(monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(["a", "b", "cc", "Dd", "e9"], n)) for n in (3, 50, 7, 0, 31)] + [None]
+    import pyarrow as pa
+
+    def sums():
+        out = next(iter(Q._gather(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["t"])]))))
+        return dict(zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True))
+
+    table = rng.normal(size=(Q.BUCKETS, Q.WIDTH)).astype(np.float32)
+    whole, pooled = sums(), Q.pool(texts, table)
+    for block in (4, 8, 13):
+        monkeypatch.setattr(Q, "BLOCK", block)
+        assert sums() == whole and np.allclose(Q.pool(texts, table), pooled)

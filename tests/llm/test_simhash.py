@@ -79,3 +79,12 @@ def test_components_of_odd_links(spark):
     links = spark.createDataFrame([(5, 4), (4, 3), (3, 2), (2, 1), (9, 9), (None, 1), (8, 7), (7, 8)], "a int, b int")
     assert {tuple(r) for r in connected_components(links, "a", "b").collect()} == {(5, 1), (4, 1), (3, 1), (2, 1), (8, 7)}
     assert connected_components(links.limit(0), "a", "b").count() == 0
+
+
+def test_keep_one_of_ids_that_repeat_or_lack(spark):
+    """One row of each class stays, whatever the ids: two texts under one id, copies without an id, rows that repeat."""
+    words = lambda n: " ".join(f"w{n}x{i}" for i in range(40))
+    rows = [(1, words(1)), (1, words(2)), (2, words(1)), (3, words(2)), (None, words(3)), (None, words(3)), (None, words(4)), (4, words(4)), (5, words(5)), (5, words(5)), (6, None), (None, "")]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id bigint, text string, _rows int").repartition(3)
+    got = sorted((r["doc_id"] or -1, r["text"] or "") for r in S.keep_one(df).collect())
+    assert got == sorted([(1, words(1)), (1, words(2)), (-1, words(3)), (4, words(4)), (5, words(5)), (6, "")])

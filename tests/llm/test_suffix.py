@@ -117,3 +117,38 @@ def test_repeated_words_like_brute_force(spark):
     got = {r["doc_id"]: r["text"].split() for r in S.without_repeats(df, words=6).collect()}
     assert gone and got == {i: w for i, w in want.items() if i in got}
     assert all(gone >= {(i, k) for k in range(len(split[i]))} and texts[i] for i in set(want) - set(got))
+
+
+def test_texts_over_a_part(spark, monkeypatch):
+    """Texts that are hashed in several parts give what brute force gives."""
+    monkeypatch.setattr(S, "PART", 512)
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.choice((30, 900, 3000)))) for _ in range(5)]
+    texts[1] = texts[0][-400:] + texts[1]
+    parts = {}
+    for i, t in enumerate(texts):
+        for at, n, anchor, lead in zip(*(c.tolist() for c in S.cells(np.frombuffer(t.encode(), np.uint8), np.array([len(t)]), 40, 16)), strict=True):
+            parts[i, at] = (n, anchor, lead)
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array([0] * 5), pa.array([t.encode() for t in texts], pa.binary())], names=["id", "mark", "bytes"])
+    windows = {}
+    for out in S._emit_cells(iter([batch]), 40, 16):
+        for r in out.to_pylist():
+            for k in range(r["windows"]):
+                windows[r["id"], r["start"] + k] = (r["anchor"], r["lead"] - k)
+    want = {(i, at + k): (anchor, lead - k) for (i, at), (n, anchor, lead) in parts.items() for k in range(n)}
+    assert windows == want
+
+
+def test_ids_of_other_types(spark):
+    t = "".join(chr(97 + i * i % 23) for i in range(900))
+    df = spark.createDataFrame([("a", "head " + t), ("b", "tail " + t), (None, "x")], "doc_id string, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in S.remove_repeats(df).collect()} == {"a": 900, "b": 900, None: 0}
+
+
+def test_words_of_scripts_without_spaces(spark):
+    passage = "".join(chr(0x4E00 + 7 * i) for i in range(60))
+    df = spark.createDataFrame([(1, "abc " + passage + "甲"), (2, passage + "乙"), (3, passage[:50])], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["text"] for r in S.without_repeats(df, length=None, words=51).collect()}
+    assert got == {1: "abc 甲", 2: "乙", 3: passage[:50]}
