@@ -44,8 +44,8 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    # the kept bytes as text, last: what a span leaves of a character it cuts is U+FFFD
-    text = F.decode(F.col("kept"), "UTF-8")
+    # the kept bytes as text, last; what a span leaves of a character that it cuts is U+FFFD
+    text = F.make_valid_utf8(F.col("kept").cast("string"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), text.alias("text"))
 
 
