@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,11 +103,15 @@ _HELD: dict = {}
 def worker_cache(owner: str, key=None, make=None):
     """In a worker: the object that `make` builds for (owner, key), kept for later tasks.
 
-    Workers live on between stages, so what other operators have kept goes first; an owner without a
-    key only does that.
+    Workers live on between stages, so what other operators have kept goes first, and its memory with it; an
+    owner without a key only does that.
     """
-    for other in [k for k in _HELD if k[0] != owner]:
-        del _HELD[other]
+    others = [k for k in _HELD if k[0] != owner]
+    if others:
+        for other in others:
+            del _HELD[other]
+        gc.collect()
+        pa.default_memory_pool().release_unused()
     if make is None:
         return None
     if (owner, key) not in _HELD:
