@@ -57,7 +57,7 @@ STAGES = [
     ("byte_level_bpe", encode_tokens),
 ]
 
-#: SQL can't express the network, the fingerprints or the tokenizer; tests hold the stages against brute force.
+#: SQL can't express the network, the fingerprints or the tokenizer; a test does all stages in plain Python.
 ORACLE_SQL = None
 
 
