@@ -4,7 +4,8 @@ Each tree halves a bounded sample at the median of its projection on a random di
 level, until a leaf stands for about LEAF rows of the table. Every vector is filed under its leaf in each
 tree. A query walks all trees with one shared priority queue: the leaf next visited is that for which the
 query has crossed planes by the least sum of squared margins. Candidates of visited leaves are ranked
-exactly, in double precision.
+exactly, in double precision. Leaves travel and are ranked a branch of the tree at a time, so a query and
+what it finds are sent once for each branch, not for each leaf.
 
 How many leaves a query visits isn't a constant: for a bounded sample of the table's own vectors the true
 neighbours are found by one exact pass over all rows, and the number is that which would have found the
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -36,7 +38,8 @@ TREES = 4
 LEAF = 64
 #: Share of true neighbours that the visited leaves must hold, and vectors whose neighbours are looked at for that.
 RECALL, PROBES = 0.98, 256
-#: Vectors of a leaf, and queries that visit it, that one task ranks; larger ones are dealt out in parts.
+#: Vectors that are ranked together: leaves below one node that stand for so many are a branch, to which a query
+#: goes once with the list of its leaves. Larger branches, and those that more queries visit, are dealt out in parts.
 PART = 4096
 
 
@@ -181,9 +184,32 @@ def leaves_needed(forest: Forest, entries: DataFrame, probes: np.ndarray, k: int
 
 
 def _parts(rows: DataFrame, most: int) -> dict[tuple[int, int], int]:
-    """Parts of at most about `most` rows that a (tree, leaf) must be dealt into; those of one part aren't listed."""
-    large = rows.groupBy("tree", "leaf").count().where(F.col("count") > most).collect()  # one row per leaf at most
-    return {(r["tree"], r["leaf"]): math.ceil(r["count"] / most) for r in large}
+    """Parts of at most about `most` rows that a (tree, branch) must be dealt into; those of one part aren't listed."""
+    large = rows.groupBy("tree", "branch").count().where(F.col("count") > most).collect()  # one row per branch at most
+    return {(r["tree"], r["branch"]): math.ceil(r["count"] / most) for r in large}
+
+
+def _ranked(asked: pa.Table, filed: pa.Table, dims: int, k: int, schema: pa.Schema) -> pa.Table:
+    """The k best of a branch's vectors for each query, among the leaves that it visits."""
+    if not asked.num_rows or not filed.num_rows:
+        return schema.empty_table()
+    x, leaf = _matrix(filed["v"], dims), filed["leaf"].to_numpy()
+    low = int(leaf.min())
+    qs, xs, scores = [], [], []
+    for i, (q, leaves) in enumerate(zip(_matrix(asked["v"], dims), asked["leaves"].to_pylist(), strict=True)):
+        wanted = np.zeros(int(leaf.max()) - low + 1, bool)
+        inside = np.array(leaves) - low
+        wanted[inside[(inside >= 0) & (inside < len(wanted))]] = True
+        rows = np.flatnonzero(wanted[leaf - low])
+        if len(rows):
+            _, best, score = _best(q[None, :], x[rows], k)
+            qs.append(np.full(len(best), i))
+            xs.append(rows[best])
+            scores.append(score)
+    if not qs:
+        return schema.empty_table()
+    at = pa.array(np.concatenate(qs))
+    return pa.table([asked["q"].take(at), filed["ids"].take(pa.array(np.concatenate(xs))), pa.array(np.concatenate(scores))], schema=schema)
 
 
 def search(
@@ -209,8 +235,10 @@ def search(
     least = rows.withColumn("n", F.row_number().over(by_vector)).where(F.col("n") <= k + 1)
     entries = least.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     entries = stored(entries.select(F.concat_ws(":", F.col("ids")[0], F.xxhash64("v")).alias("key"), "ids", "v"), "entries")
+    # an entry is known by its least id, and so is the vector of a query
     queries = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "v")
-    asked = stored(queries.select("v").distinct().join(entries, "v", "left_semi").select("v"), "asked")
+    queries = queries.join(entries.select("v", F.col("ids")[0].alias("q")), "v")
+    asked = stored(queries.groupBy("q").agg(F.first("v").alias("v")), "asked")
 
     total = entries.count()
     order = F.xxhash64("key")
@@ -219,67 +247,66 @@ def search(
     forest = fit(_unit(sample), trees, max(1, total // leaf))
     every = trees * 2**forest.depth
     most = every if exact or forest.depth == 0 else min(every, leaves_needed(forest, entries, sample[:PROBES], k, recall))
+    # levels of the trees that lie within a branch
+    inner = min(forest.depth, max(0, int(math.log2(PART * 2**forest.depth / total)) if total < PART * 2**forest.depth else 0))
     shared = spark.sparkContext.broadcast(pickle.dumps(forest))
-    spot = "tree int, leaf int"
+    spot = "tree int, branch int"
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = pickle.loads(shared.value)
         for batch in batches:
             if batch.num_rows:
-                for t, found in enumerate(forest.leaves(_unit(_matrix(batch.column(2), dims)))):
+                for t, found in enumerate(forest.leaves(_unit(_matrix(batch.column(1), dims)))):
+                    found = found.astype(np.int32)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(batch.num_rows, t, np.int32)), pa.array(found.astype(np.int32)), *batch.columns], names=["tree", "leaf", "key", "ids", "v"]
+                        [pa.array(np.full(batch.num_rows, t, np.int32)), pa.array(found >> inner), pa.array(found), *batch.columns], names=["tree", "branch", "leaf", "ids", "v"]
                     )
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = pickle.loads(shared.value)
         for batch in batches:
-            for i, x in enumerate(_unit(_matrix(batch.column(0), dims)) if batch.num_rows else ()):
-                found = [f for f, _ in zip(forest.visit(x), range(most), strict=False)]
-                tree, leaf = np.array(found, np.int32).T
-                yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array(leaf), batch.column(0).take(pa.array(np.full(len(found), i)))], names=["tree", "leaf", "v"])
-
-    def rank(asked: pa.Table, filed: pa.Table) -> pa.Table:
-        empty = pa.schema([("q", asked.schema.field("v").type), ("ids", pa.list_(pa.int64())), ("score", pa.float64())])
-        if not asked.num_rows or not filed.num_rows:
-            return empty.empty_table()
-        qs, xs, score = _best(_matrix(asked["v"], dims), _matrix(filed["v"], dims), k + 1)
-        return pa.table([asked["v"].take(pa.array(qs)), filed["ids"].take(pa.array(xs)), pa.array(score)], schema=empty)
-
-    filed = entries.mapInArrow(file, f"{spot}, key string, ids array<bigint>, v {kind}")
-    sent = stored(asked.mapInArrow(ask, f"{spot}, v {kind}"), "sent")
-    # a leaf with many vectors or many queries is dealt out as pairs of parts; others have one
-    sides = _parts(filed.select("tree", "leaf"), PART), _parts(sent, PART)
+            for i, x in enumerate(_unit(_matrix(batch.column(1), dims)) if batch.num_rows else ()):
+                branches: dict[tuple[int, int], list[int]] = defaultdict(list)
+                for (t, n), _ in zip(forest.visit(x), range(most), strict=False):
+                    branches[t, n >> inner].append(n)
+                tree, branch = np.array(list(branches), np.int32).T
+                one = batch.take(pa.array(np.full(len(branches), i)))
+                leaves = pa.array(list(branches.values()), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array(branch), leaves, *one.columns], names=["tree", "branch", "leaves", "q", "v"])
+
+    filed = entries.select("ids", "v").mapInArrow(file, f"{spot}, leaf int, ids array<bigint>, v {kind}")
+    sent = stored(asked.select("q", "v").mapInArrow(ask, f"{spot}, leaves array<int>, q bigint, v {kind}"), "sent")
+    # a branch with many vectors or many queries is dealt out as pairs of parts; others have one
+    sides = _parts(filed.select("tree", "branch"), PART), _parts(sent, PART)
     held = spark.sparkContext.broadcast(sides)
 
     def dealt(at: int, key: str):
         @F.pandas_udf("array<struct<a:int,b:int>>")
-        def of(tree, leaf, value):
-            import pandas as pd
-
+        def of(tree: pd.Series, branch: pd.Series, value: pd.Series) -> pd.Series:
             out = []
-            for t, n, x in zip(tree, leaf, value, strict=True):
+            for t, n, x in zip(tree, branch, value, strict=True):
                 own, other = held.value[at].get((t, n), 1), held.value[1 - at].get((t, n), 1)
                 mine = int(xxhash.xxh3_64_intdigest(str(x)) % own) if own > 1 else 0
                 out.append([{"a": mine, "b": i} if at == 0 else {"a": i, "b": mine} for i in range(other)])
             return pd.Series(out)
 
-        return F.explode(of("tree", "leaf", key)).alias("part")
+        return F.explode(of("tree", "branch", key)).alias("part")
 
     if sides[0] or sides[1]:
-        filed = filed.select("*", dealt(0, "key")).select("*", "part.*").drop("part")
-        sent = sent.withColumn("h", F.xxhash64("v")).select("*", dealt(1, "h")).select("*", "part.*").drop("part", "h")
+        filed = filed.withColumn("key", F.col("ids")[0]).select("*", dealt(0, "key")).select("*", "part.*").drop("part", "key")
+        sent = sent.select("*", dealt(1, "q")).select("*", "part.*").drop("part")
     else:
         filed, sent = (x.withColumns({"a": F.lit(0), "b": F.lit(0)}) for x in (filed, sent))
-    spots = ["tree", "leaf", "a", "b"]
+    spots = ["tree", "branch", "a", "b"]
+    found = pa.schema([("q", pa.int64()), ("ids", pa.list_(pa.int64())), ("score", pa.float64())])
     near = sent.groupBy(*spots).cogroup(filed.groupBy(*spots)).applyInArrow(
-        lambda asked, filed: rank(asked.select(["v"]), filed.select(["ids", "v"])), f"q {kind}, ids array<bigint>, score double"
+        lambda asked, filed: _ranked(asked, filed, dims, k + 1, found), "q bigint, ids array<bigint>, score double"
     )
-    near = near.select(F.xxhash64("q").alias("h"), "q", "score", F.explode("ids").alias("vec_id")).groupBy("h", "q", "vec_id").agg(F.max("score").alias("score"))
-    best = Window.partitionBy("h", "q").orderBy(F.desc("score"), "vec_id")
+    near = near.select("q", "score", F.explode("ids").alias("vec_id")).groupBy("q", "vec_id").agg(F.max("score").alias("score"))
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     near = near.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
     lists = near.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score"))).alias("found"))
     lists = stored(lists, "nearest")
-    out = queries.join(lists, queries["v"] == lists["q"]).select("query_id", F.filter("found", lambda f: f["vec_id"] != F.col("query_id")).alias("found"))
+    out = queries.select("query_id", "q").join(lists, "q").select("query_id", F.filter("found", lambda f: f["vec_id"] != F.col("query_id")).alias("found"))
     out = out.select("query_id", F.posexplode(F.slice("found", 1, k)).alias("pos", "f"))
     return out.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("f.vec_id").alias("vec_id"), F.col("f.score").alias("score"))
