@@ -1,4 +1,9 @@
-"""The queries of the training-data operators: each applies its operator to its whole table."""
+"""The queries of the training-data operators: each applies its operator to its whole table.
+
+Each returns a row per row of its table, repeated rows too, and an empty result of an empty table, but for op4 (a row
+per document and item it holds), op6 (a row per query and neighbour) and op8 (a row per call and per result without
+one). Null texts and pages count as empty. Ties go to the smaller id. Other columns of a table are never read.
+"""
 
 from __future__ import annotations
 

@@ -292,7 +292,11 @@ def archive_folder(spark: SparkSession) -> str:
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, with_payload: bool = True) -> DataFrame:
-    """Write pages to archives in folder, normalise them and read all records back; one row per page, see RECORDS."""
+    """Write pages to archives in folder, normalise them and read all records back; one row per page, see RECORDS.
+
+    Null html is an empty payload, null ids and urls come back null, repeated rows stay (see mark_revisits());
+    an empty table gives no archive and no row.
+    """
     spark = pages.sparkSession
     folder = folder or archive_folder(spark)
     written = normalise_archives(write_archives(mark_revisits(pages), folder), folder)
