@@ -287,10 +287,10 @@ def target_indicators(queries: DataFrame, id: str = "query_id", query: str = "qu
     hosts = F.filter(_all(q, r"(?i)\b((?:[a-z0-9-]+\.)+[a-z]{2,})\b"), lambda h: ~F.array_contains(F.transform(found_urls, lambda u: F.lower(U.authority(u))), F.lower(h)))
     addresses = _all(q, r"\b((?:\d{1,3}\.){3}\d{1,3})\b")
     points = F.transform(_all(q, r"(-?\d{1,3}\.\d+\s*,\s*-?\d{1,3}\.\d+)"), lambda c: F.regexp_replace(c, r"\s", ""))
-    pieces = F.split(q, r"(?i)\b(?:from|in|near|around)\b")
+    pieces = F.split(q, r"(?iU)\b(?:from|in|near|around)\b")
     tail = F.when(F.size(pieces) > 1, F.element_at(pieces, -1)).otherwise("")
     places = F.filter(
-        F.transform(F.split(tail, r"(?i)\band\b|;"), lambda t: F.regexp_replace(t, r"^[ .,]+|[ .,]+\z", "")),
+        F.transform(F.split(tail, r"(?iU)\band\b|;"), lambda t: F.regexp_replace(t, r"^[ .,]+|[ .,]+\z", "")),
         lambda t: (F.length(t) >= 3) & ~t.rlike(r"(?i)https?://") & ~t.rlike(r"-?\d{1,3}\.\d+\s*,\s*-?\d{1,3}\.\d+"),
     )
 

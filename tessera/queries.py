@@ -231,14 +231,15 @@ def x1_stream_links(spark, sf):
 @query(
     r"""with q as (select doc_id, trim(coalesce(text, '')) as q from documents), f as (select doc_id, q, regexp_extract_all(q, '(?i)(https?://\S+)', 1) as urls from q),
 u as (select doc_id, q, urls, list_transform(urls, lambda x: lower(regexp_extract(x, '//([^/?#]*)', 1))) as hosts from f),
-p as (select doc_id, string_split_regex(q, '(?i)\b(?:from|in|near|around)\b') as pieces from q),
+p as (select doc_id, regexp_extract(q, '(?is)^(?:.*[^\p{L}\p{N}_])?(?:from|in|near|around)((?:[^\p{L}\p{N}_].*)?)$', 1) as tail from q),
+r as (select doc_id, regexp_replace(regexp_replace(tail, '(?i)(^|[^\p{L}\p{N}_])and($|[^\p{L}\p{N}_])', '\1;\2', 'g'), '(?i)(^|[^\p{L}\p{N}_])and($|[^\p{L}\p{N}_])', '\1;\2', 'g') as tail from p),
 e as (
   select doc_id, 'url' as type, regexp_extract(unnest(urls), '//([^/?#]*)', 1) as name, 0.95 as confidence from u
   union all select doc_id, 'hostname', lower(unnest(list_filter(regexp_extract_all(q, '(?i)\b((?:[a-z0-9-]+\.)+[a-z]{2,})\b', 1), lambda h: not list_contains(hosts, lower(h))))), 0.8 from u
   union all select doc_id, 'ip', unnest(regexp_extract_all(q, '\b((?:\d{1,3}\.){3}\d{1,3})\b', 1)), 0.8 from q
   union all select doc_id, 'coordinates', regexp_replace(unnest(regexp_extract_all(q, '(-?\d{1,3}\.\d+\s*,\s*-?\d{1,3}\.\d+)', 1)), '\s', '', 'g'), 0.9 from q
-  union all select doc_id, 'place', unnest(list_filter(list_transform(string_split_regex(pieces[-1], '(?i)\band\b|;'), lambda t: regexp_replace(t, '^[ .,]+|[ .,]+$', '', 'g')),
-    lambda t: length(t) >= 3 and not regexp_matches(t, '(?i)https?://') and not regexp_matches(t, '-?\d{1,3}\.\d+\s*,\s*-?\d{1,3}\.\d+'))), 0.7 from p where len(pieces) > 1)
+  union all select doc_id, 'place', unnest(list_filter(list_transform(string_split(tail, ';'), lambda t: regexp_replace(t, '^[ .,]+|[ .,]+$', '', 'g')),
+    lambda t: length(t) >= 3 and not regexp_matches(t, '(?i)https?://') and not regexp_matches(t, '-?\d{1,3}\.\d+\s*,\s*-?\d{1,3}\.\d+'))), 0.7 from r)
 select doc_id as id, type, lower(name) as key, confidence::double as confidence from e group by all"""
 )
 def x12_targets(spark, sf):
