@@ -33,10 +33,10 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def merge_all(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The definition: merge the neighbours whose join has the least rank, leftmost first, until none is left."""
+def merge_all(piece: bytes, ranks: dict[bytes, int], least: int = 1) -> list[int]:
+    """The definition: merge the neighbours whose join has the least rank, leftmost first, until none or only `least` parts are left."""
     parts = [piece[i : i + 1] for i in range(len(piece))]
-    while len(parts) > 1:
+    while len(parts) > least:
         best, at = None, -1
         for i in range(len(parts) - 1):
             rank = ranks.get(parts[i] + parts[i + 1])
@@ -51,7 +51,7 @@ def merge_all(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Transducer:
     """Encodes one piece of bytes at a time. max_states bounds the memory; beyond it the states are built anew."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 100_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 200_000):
         self.ranks, self.max_states = ranks, max_states
         self.tokens = {rank: token for token, rank in ranks.items()}
         #: A trie over the tokens: for each node its children by byte, and the rank that ends there.
@@ -71,6 +71,9 @@ class Transducer:
             self.ends[node] = rank
         self.stable: dict[int, bool] = {}
         self.fits: dict[tuple[int, int], bool] = {}
+        self.halves: dict[int, tuple[int, int] | None] = {}
+        #: Whether the halves of all tokens met so far rank before them, as in any trained vocabulary.
+        self.ordered = True
         #: Subsets of (last token, trie node, tokens not emitted yet), the one whose last token has just ended last.
         self.states: list[tuple] = []
         self.number: dict[tuple, int] = {}
@@ -93,6 +96,39 @@ class Transducer:
             self.pending.append(subset[-1][2])
         return to
 
+    def _halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose join is the last merge of a token; None for a single byte."""
+        found = self.halves.get(token, 0)
+        if found == 0:
+            whole, found = self.tokens[token], None
+            if len(whole) > 1:
+                parts = merge_all(whole, self.ranks, 2)
+                found = parts[0], parts[1]
+                self.ordered &= all(len(self.tokens[x]) == 1 or x < token for x in parts)
+            self.halves[token] = found
+        return found
+
+    def _stay_apart(self, a: int, b: int) -> bool:
+        """Whether two neighbours that each merge to one token don't merge across their border.
+
+        Goes back in time from both whole tokens, undoing on either side of the border the merge that came
+        later. At each moment the pieces at the border would join if their join had a lower rank than the merges
+        that went on to use them; of equal ranks the one further left comes first.
+        """
+        left_until = right_until = 1 << 62
+        tokens, ranks = self.tokens, self.ranks
+        while True:
+            joined = ranks.get(tokens[a] + tokens[b])
+            if joined is not None and joined < left_until and joined <= right_until:
+                return False
+            left, right = self._halves(a), self._halves(b)
+            if left is None and right is None:
+                return True
+            if right is None or (left is not None and a > b):
+                left_until, a = a, left[1]
+            else:
+                right_until, b = b, right[0]
+
     def _may_follow(self, last: int, token: int) -> bool:
         ok = self.stable.get(token)
         if ok is None:
@@ -101,29 +137,36 @@ class Transducer:
             return ok
         ok = self.fits.get((last, token))
         if ok is None:
-            if len(self.fits) > 20 * self.max_states:
+            if len(self.fits) > self.max_states:
                 self.fits.clear()
-            ok = self.fits[last, token] = merge_all(self.tokens[last] + self.tokens[token], self.ranks) == [last, token]
+            ok = self._stay_apart(last, token)
+            if not self.ordered:  # ranks that no training gives: by the definition
+                ok = merge_all(self.tokens[last] + self.tokens[token], self.ranks) == [last, token]
+            self.fits[last, token] = ok
         return ok
 
     def _step(self, state: int, byte: int) -> tuple[tuple[int, ...], int]:
         """The tokens that this byte settles, and the next state."""
-        after, ended = [], None
+        children, after, ended = self.children, [], None
         for last, node, rest in self.states[state]:
-            node = self.children[node].get(byte)
+            node = children[node].get(byte)
             if node is None:
                 continue
-            if self.children[node]:
+            if children[node]:
                 after.append((last, node, rest))
-            token = self.ends[node]
-            if token is not None and ended is None and self._may_follow(last, token):
-                ended = (token, 0, (*rest, token))
+            if ended is None:
+                token = self.ends[node]
+                if token is not None and self._may_follow(last, token):
+                    ended = (token, 0, (*rest, token))
         after.append(ended)
+        shortest = ended[2]
+        for member in after:
+            if len(member[2]) < len(shortest):
+                shortest = member[2]
         shared = 0
-        shortest = min((m[2] for m in after), key=len)
-        while shared < len(shortest) and all(m[2][shared] == shortest[shared] for m in after):
+        while shared < len(shortest) and all(member[2][shared] == shortest[shared] for member in after):
             shared += 1
-        subset = tuple((last, node, rest[shared:]) for last, node, rest in after)
+        subset = tuple([(last, node, rest[shared:]) for last, node, rest in after] if shared else after)
         if len(self.states) >= self.max_states and subset not in self.number:
             self._restart()  # states are numbered anew; this step isn't kept
             return shortest[:shared], self._numbered(subset)
@@ -155,7 +198,7 @@ class Transducer:
 class _Pieces(dict):
     """Packed ids by piece of text, in two generations: what is in use survives when the older one goes."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 250_000, longest: int = 64):
+    def __init__(self, ranks: dict[bytes, int], most: int = 120_000, longest: int = 64):
         super().__init__()
         self.transducer, self.most, self.longest = Transducer(ranks), most, longest
         self.older: dict[str, bytes] = {}

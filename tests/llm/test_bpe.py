@@ -62,6 +62,26 @@ def test_lookahead_is_bounded():
     assert max(map(len, t.pending)) < 16
 
 
+def test_neighbours_that_stay_apart():
+    """By going back in time as by merging the whole, for pairs of tokens and for ranks in no order."""
+    ranks = bpe.load_ranks(PATH)
+    rng = random.Random(7)
+    t = bpe.Transducer(ranks)
+    short = [x for x in ranks.values() if len(t.tokens[x]) <= 6]
+    pairs = [(rng.choice(short), rng.choice(short)) for _ in range(4000)]
+    for word in ("aaaaaaaa", "banana", "erererer", "        ", "tionstionen"):
+        parts = [ranks[word[i:j].encode()] for i in range(len(word)) for j in range(i + 1, len(word) + 1) if word[i:j].encode() in ranks]
+        pairs += [(a, b) for a in parts for b in parts]
+    for a, b in pairs:
+        if bpe.merge_all(t.tokens[a], ranks) == [a] and t._may_follow(-1, b):
+            assert t._may_follow(a, b) == (bpe.merge_all(t.tokens[a] + t.tokens[b], ranks) == [a, b])
+    odd = {bytes([i]): i for i in range(256)} | {b"ab": 300, b"abc": 290, b"bc": 310, b"ca": 280, b"abca": 285}
+    t = bpe.Transducer(odd)
+    for _ in range(300):
+        piece = bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 9)))
+        assert t.encode(piece) == bpe.merge_all(piece, odd) or piece in odd
+
+
 def test_utf8_stream():
     data = "aé€𝄞z".encode()
     for cut in range(len(data)):
