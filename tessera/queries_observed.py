@@ -677,6 +677,15 @@ def j23_links_of_pages(spark, sf):
     return hit.groupBy("page").agg(F.count("*").alias("links"), F.count("one").alias("stored"))
 
 
+@query(
+    """with l as (select url, regexp_extract(url, '^([^:]+://[^/?#]*)', 1) as origin, unnest(regexp_extract_all(html, '(?is)<a\\b[^>]*?\\bhref\\s*=\\s*[''"]([^''"]*)[''"]', 1)) as h from pages)
+select distinct url as page, origin || h as link from l where starts_with(h, '/') and contains(lower(h), 'the')"""
+)
+def p18_city_links(spark, sf):
+    """Links that name a city in their address or their words."""
+    return extract.same_domain_links(table(spark, sf, "pages"), city="The").select("page", "link")
+
+
 @query(f"with {LOG} select id, seq, last_value(v ignore nulls) over (partition by id order by seq) as filled from (select *, case when status = 'dead' then null else seq end as v from log)")
 def e8_forward_filled(spark, sf):
     rows = health_log(spark, sf).withColumn("v", F.when(F.col("status") != "dead", F.col("seq")))
@@ -784,6 +793,14 @@ def ended(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(f"{path}/out")
 
 
+@query("select event_id, user_id, event_type from events")
+def r1_intake(spark, sf):
+    """JSON files that arrive in a folder, a few at a time."""
+    path, schema = scratch(spark, "arrivals"), "event_id bigint, user_id bigint, event_type string"
+    table(spark, sf, "events").select("event_id", "user_id", "event_type").repartition(5).write.json(path)
+    return ended(spark, jobs.read_stream(spark, path, schema, files_per_batch=2), "intake")
+
+
 @query("select user_id % 20 as u, user_id % 3 = 0 as is_stream from events group by all")
 def r2_new_urls(spark, sf):
     """Users' URLs come once each, however often they arrive; r3 forks them."""
