@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm._common import bounded_batches, hash_bound, stored
 
-#: Vectors that the trees are fitted to: a bound of what the driver holds. SAMPLED of them make a leaf at least.
-SAMPLE, SAMPLED = 65_536, 8
+#: Vectors that the trees are fitted to, and components of them all: bounds of what the driver holds. SAMPLED of
+#: them make a leaf at least.
+SAMPLE, COMPONENTS, SAMPLED = 65_536, 1 << 22, 8
 TREES = 4
 #: Rows of the table that a leaf stands for, while the sample allows so many leaves.
 LEAF = 64
@@ -242,8 +243,9 @@ def search(
 
     total = entries.count()
     order = F.xxhash64("key")
-    taken = entries.where(order <= hash_bound(1.2 * SAMPLE / total)).orderBy(order).limit(SAMPLE).select("v").collect()
-    sample = np.array([r["v"] for r in taken], np.float64)
+    size = max(SAMPLED, min(SAMPLE, COMPONENTS // dims))
+    taken = entries.where(order <= hash_bound(1.2 * size / total)).orderBy(order).limit(size).select("v").toArrow()
+    sample = _matrix(taken["v"], dims)
     forest = fit(_unit(sample), trees, max(1, total // leaf))
     every = trees * 2**forest.depth
     most = every if exact or forest.depth == 0 else min(every, leaves_needed(forest, entries, sample[:PROBES], k, recall))
