@@ -449,7 +449,7 @@ def spans_of(source: DataFrame, length: int, gram: int, group: int = GROUP, acro
         spans = spans.unionByName(
             repeats.select("id", "mark", F.col("start").alias("first"), (F.col("start") + F.col("windows") - 1 + length).alias("last"))
         )
-        several = kinds.groupBy("group").count().where("count > 1").select("group")
+        several = stored(kinds.groupBy("group").count().where("count > 1").select("group"), "several")
         ones = kinds.join(several, "group", "left_semi").select("group", "one.*", F.col("n").alias("total"))
         pieces = marked.drop("kind").join(ones, ["group", "id", "mark", "start", "windows"]).select(
             "group", "id", "mark", "start", "windows", "lead", F.col("total").alias("n"), "bytes"
