@@ -143,9 +143,10 @@ def test_conversations(spark):
     assert got == [(1, "call-1", "linked", True), (1, "call-3", "unanswered", False), (2, "call--1", "orphan_result", False)]
 
 
-def test_levels_of_deep_chains(spark):
+def test_levels_of_deep_chains(spark, monkeypatch):
     """Calls that each need the next one, against the turns: the level is the depth; what needs a cycle has none."""
-    n = 70
+    monkeypatch.setattr(C, "ROUNDS", 4)
+    n = 11
     rows = [("c", f"k{i}", i, "f", "{}", [f"k{i + 1}"]) for i in range(n)] + [("c", f"k{n}", n, "f", "{}", ["unknown"]), ("c", "a", 90, "f", "{}", ["b"]), ("c", "b", 91, "f", "{}", ["a"]), ("c", "d", 92, "f", "{}", ["a", "k0"])]
     df = spark.createDataFrame(rows, "conv_id string, call_id string, turn int, name string, arguments string, after array<string>").coalesce(1)
     got = {r["call_id"]: r["level"] for r in C.order_levels(df).collect()}
