@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, decontaminate, html, language, neighbours, quality, simhash, suffix, warc
+from tessera.llm import bpe, chat, decontaminate, html, language, lm, neighbours, quality, simhash, suffix, warc
 from tessera.llm._common import held_out_column
 
 
@@ -79,6 +79,11 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    return lm.score(_table(spark, sf_dir, "documents").select("doc_id", "text"), learn=fold != 1, held=fold == 1)
+
+
 #: For pages that mark their article, as the given ones do, with the character references that they hold.
 OP3_SQL = """
 with articles as (
