@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import scan
 from tessera.operators.gates import legitimacy_ok
 
 
@@ -98,8 +99,7 @@ def frame_metrics(frames: DataFrame) -> DataFrame:
 
 def frame_differences(frames: DataFrame) -> DataFrame:
     """(url, frame_no, diff): mean absolute difference to the frame before, over the length both have."""
-    order = Window.partitionBy("url").orderBy("frame_no")
-    rows = frames.withColumn("_before", F.lag("pixels").over(order)).where(F.col("_before").isNotNull())
+    rows = scan.lagged(frames, ["url"], ["frame_no"], F.col("pixels"), "_before").withColumn("_before", F.col("_before.v")).where(F.col("_before").isNotNull())
     n = F.least(F.size("pixels"), F.size("_before"))
     gaps = F.zip_with(F.slice("pixels", 1, F.greatest(n, F.lit(1))), F.slice("_before", 1, F.greatest(n, F.lit(1))), lambda a, b: F.abs(a.cast("int") - b.cast("int")))
     total = F.aggregate(gaps, F.lit(0).cast("bigint"), lambda acc, x: acc + F.coalesce(x, F.lit(0)))
@@ -154,9 +154,9 @@ def playlist_classes(snapshots: DataFrame) -> DataFrame:
 
     vod before live before static before unknown; ends and types count from either snapshot.
     """
-    order = Window.partitionBy("url").orderBy("taken_at")
-    rows = snapshots.withColumn("_new", playlist_fields(F.col("body"))).withColumn("_old", F.lag("_new").over(order)).where(F.col("_old").isNotNull())
-    new, old = F.col("_new"), F.col("_old")
+    parsed = snapshots.select("url", "taken_at", playlist_fields(F.col("body")).alias("_new"))
+    rows = scan.lagged(parsed, ["url"], ["taken_at"], F.col("_new"), "_old").where(F.col("_old").isNotNull())
+    new, old = F.col("_new"), F.col("_old.v")
     advanced = F.coalesce(new["sequence"] > old["sequence"], F.lit(False))
     changed = new["segments"] != old["segments"]
     kind = (

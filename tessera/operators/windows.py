@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import scan
+
 
 def first_wins(rows: DataFrame, key: Sequence[str], order: str = "seq") -> DataFrame:
     """The earliest row of each key; combined before the shuffle, so a hot key is no hot task."""
@@ -55,11 +57,8 @@ def keep_last(rows: DataFrame, group: Sequence[str], order: str, value: str, k:
 
 def failure_streaks(log: DataFrame, id: str = "id", status: str = "status", order: Sequence[str] = ("ts",), unknown_resets: bool = False) -> DataFrame:
     """Add streak: failures in a row up to each check. dead adds one, live starts anew; unknown leaves it, or resets it if asked."""
-    w = Window.partitionBy(id).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     resets = (F.col(status) == "live") | ((F.col(status) == "unknown") if unknown_resets else F.lit(False))
-    marked = log.withColumn("_run", F.sum(F.when(resets, 1).otherwise(0)).over(w))
-    in_run = Window.partitionBy(id, "_run").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return marked.withColumn("streak", F.sum(F.when(F.col(status) == "dead", 1).otherwise(0)).over(in_run)).drop("_run")
+    return scan.summed_since(log, [id], order, F.when(F.col(status) == "dead", 1).otherwise(0), resets, "streak")
 
 
 def review_queue(streaks: DataFrame, threshold: int = 4) -> DataFrame:
@@ -69,14 +68,13 @@ def review_queue(streaks: DataFrame, threshold: int = 4) -> DataFrame:
 
 def status_changes(log: DataFrame, id: str = "id", status: str = "status", order: Sequence[str] = ("ts",)) -> DataFrame:
     """Checks whose status differs from the one before, with old_status."""
-    old = F.lag(status).over(Window.partitionBy(id).orderBy(*order))
-    return log.withColumn("old_status", old).where(F.col("old_status") != F.col(status))
+    old = scan.lagged(log, [id], order, F.col(status), "old_status").withColumn("old_status", F.col("old_status.v"))
+    return old.where(F.col("old_status") != F.col(status))
 
 
 def forward_filled(rows: DataFrame, group: Sequence[str], order: str, value: str, out: str) -> DataFrame:
     """Add the last value up to each row that isn't null."""
-    w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn(out, F.last(value, ignorenulls=True).over(w))
+    return scan.filled(rows, group, [order], F.col(value), out)
 
 
 def latest_metrics(rows: DataFrame, run: str, order: str, last: Sequence[str] = (), summed: Sequence[str] = ()) -> DataFrame:
