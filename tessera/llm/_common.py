@@ -52,7 +52,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage, so that a lost executor costs no recomputation of what came before, and lets
     Spark drop the shuffle files that led here.
     """
-    return _written(df, f"{shared_dir(df.sparkSession)}/tessera-{name}-{uuid.uuid4().hex}")
+    path, given = f"{shared_dir(df.sparkSession)}/tessera-{name}-{uuid.uuid4().hex}", [df]
+    del df  # _written() must hold the only reference, else the plan and its shuffle files live on
+    return _written(given.pop(), path)
 
 
 class Scratch:
@@ -64,8 +66,9 @@ class Scratch:
 
     def stored(self, df: DataFrame, name: str) -> DataFrame:
         """stored() in this folder."""
-        path = f"{self.folder}/{len(self.tables):04d}-{name}"
-        self.tables.append((_written(df, path), path))
+        path, given = f"{self.folder}/{len(self.tables):04d}-{name}", [df]
+        del df  # as in stored()
+        self.tables.append((_written(given.pop(), path), path))
         return self.tables[-1][0]
 
     def _delete(self, path: str) -> None:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tessera.llm._common import Scratch, bounded_batches, worker_cache
 
 #: Length of the longest n-grams; tokens of a chunk; bytes hashed together; entries of a bucket.
-ORDER, CHUNK, BLOCK, ENTRIES = 2, 1 << 20, 1 << 21, 1 << 21
+ORDER, CHUNK, BLOCK, ENTRIES = 2, 1 << 19, 1 << 20, 1 << 20
 #: Cells an octave of the estimates that weights are learned from, buckets of contexts per order, rounds and their end.
 GRAIN, BINS, ROUNDS, SETTLED = 4, 64, 200, 1e-7
 #: Held-out tokens that the mixture of all buckets counts for in each bucket, so that none is without weights.
@@ -324,6 +324,19 @@ def weights(bucket: np.ndarray, n: np.ndarray, estimates: np.ndarray, prior: flo
     return whole, climb(bucket, int(bucket.max()) + 1 if len(bucket) else 1, whole)
 
 
+def _totals(chunks: DataFrame, order: int, buckets: int) -> DataFrame:
+    """(kind, bucket, chunk, totals, known): what the buckets send back."""
+    sent = chunks.mapInArrow(lambda b: _sent(b, order, buckets), "kind int, bucket int, chunk bigint, keys binary, times binary")
+    return sent.groupBy("kind", "bucket").applyInArrow(_added, "kind int, bucket int, chunk bigint, totals binary, known bigint")
+
+
+def _with_totals(chunks: DataFrame, added: DataFrame, order: int, learned: int) -> DataFrame:
+    kind = chunks.schema["id"].dataType.simpleString()
+    told = f"chunk bigint, seq binary, lengths array<int>, held array<boolean>, row array<bigint>, id {kind}, totals binary, longer array<binary>, code array<bigint>, n array<bigint>, sums array<array<double>>"
+    joined = chunks.groupBy("chunk").cogroup(added.drop("known").groupBy("chunk"))
+    return joined.applyInArrow(lambda a, b: _counted(a, b, order, learned), told)
+
+
 def score(docs: DataFrame, learn: Column, held: Column, id: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:
     """A row per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -346,13 +359,9 @@ def score(docs: DataFrame, learn: Column, held: Column, id: str = "doc_id", text
     learned, entries = chunks.agg(F.coalesce(F.sum("learned"), F.lit(0)), F.coalesce(F.sum("n_entries"), F.lit(0))).first()
     buckets = max(16, math.ceil(entries / ENTRIES))
     bounded_batches(spark, 4)
-    sent = chunks.mapInArrow(lambda b: _sent(b, order, buckets), "kind int, bucket int, chunk bigint, keys binary, times binary")
-    added = sent.groupBy("kind", "bucket").applyInArrow(_added, "kind int, bucket int, chunk bigint, totals binary, known bigint")
-    added = scratch.stored(added, "totals")
+    added = scratch.stored(_totals(chunks, order, buckets), "totals")
     known = added.agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
-    told = f"chunk bigint, seq binary, lengths array<int>, held array<boolean>, row array<bigint>, id array<{kind}>, totals binary, longer array<binary>, code array<bigint>, n array<bigint>, sums array<array<double>>"
-    counted = chunks.groupBy("chunk").cogroup(added.drop("known").groupBy("chunk")).applyInArrow(lambda a, b: _counted(a, b, order, learned), told)
-    counted = scratch.stored(counted, "counted")
+    counted = scratch.stored(_with_totals(chunks, added, order, learned), "counted")
 
     cells = counted.select(F.explode(F.arrays_zip("code", "n", *[F.col("sums")[o].alias(f"s{o}") for o in range(order)])).alias("c")).select("c.*")
     cells = cells.groupBy("code").agg(F.sum("n").alias("n"), *[F.sum(f"s{o}").alias(f"s{o}") for o in range(order)]).toArrow()
