@@ -40,10 +40,17 @@ def shared_dir(spark: SparkSession) -> str:
 def _written(df: DataFrame, path: str) -> DataFrame:
     spark, schema = df.sparkSession, df.schema
     df.write.parquet(path)
-    del df
+    return spark.read.schema(schema).parquet(path)
+
+
+def _release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that nothing refers to any more.
+
+    Listeners hold the last query that ran until the next one comes, so an empty one comes first.
+    """
     gc.collect()
+    spark.range(0).count()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -52,9 +59,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage, so that a lost executor costs no recomputation of what came before, and lets
     Spark drop the shuffle files that led here.
     """
-    path, given = f"{shared_dir(df.sparkSession)}/tessera-{name}-{uuid.uuid4().hex}", [df]
+    spark, given = df.sparkSession, [df]
     del df  # _written() must hold the only reference, else the plan and its shuffle files live on
-    return _written(given.pop(), path)
+    out = _written(given.pop(), f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}")
+    _release(spark)
+    return out
 
 
 class Scratch:
@@ -69,6 +78,7 @@ class Scratch:
         path, given = f"{self.folder}/{len(self.tables):04d}-{name}", [df]
         del df  # as in stored()
         self.tables.append((_written(given.pop(), path), path))
+        _release(self.spark)
         return self.tables[-1][0]
 
     def _delete(self, path: str) -> None:

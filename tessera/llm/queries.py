@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, decontaminate, html, language, lm, neighbours, quality, simhash, suffix, warc
+from tessera.llm import bpe, chat, decontaminate, html, language, lm, neighbours, quality, simhash, suffix, warc, whiten
 from tessera.llm._common import held_out_column
 
 
@@ -84,6 +84,10 @@ def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_table(spark, sf_dir, "documents").select("doc_id", "text"), learn=fold != 1, held=fold == 1)
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 #: For pages that mark their article, as the given ones do, with the character references that they hold.
 OP3_SQL = """
 with articles as (
