@@ -20,10 +20,10 @@ SEGMENT, CARRY = "_segment", "_carry"
 FINER = 4
 
 
-def cut(rows: DataFrame, group: Sequence[str], order: Sequence[str], segments: int | None = None) -> DataFrame:
-    """rows with their segment, written: the bounds come from a sample, so they must be drawn once only."""
+def cut(rows: DataFrame, group: Sequence[str], order: Sequence[str], segments: int | None = None, store: Callable = stored) -> DataFrame:
+    """rows with their segment, written by `store`: the bounds come from a sample, so they must be drawn once only."""
     n = segments or FINER * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return stored(rows.repartitionByRange(n, *group, *order).withColumn(SEGMENT, F.spark_partition_id()), "segments")
+    return store(rows.repartitionByRange(n, *group, *order).withColumn(SEGMENT, F.spark_partition_id()), "segments")
 
 
 def within(group: Sequence[str], order: Sequence[str]):
@@ -53,32 +53,41 @@ def carried(rows: DataFrame, group: Sequence[str], summary: dict[str, Column], h
     return _given(rows, group, handed(per, before).where(F.col("_first").isNotNull()))
 
 
-def lagged(rows: DataFrame, group: Sequence[str], order: Sequence[str], value: Column, out: str, segments: int | None = None) -> DataFrame:
+def lagged(rows: DataFrame, group: Sequence[str], order: Sequence[str], value: Column, out: str, segments: int | None = None, store: Callable = stored) -> DataFrame:
     """Add struct `out`(v): the value of the row before in the group, null for the first row; v may be null itself."""
-    spread = cut(rows.withColumn(out, F.struct(value.alias("v"))), group, order, segments)
+    spread = cut(rows.withColumn(out, F.struct(value.alias("v"))), group, order, segments, store)
     local = F.lag(out).over(Window.partitionBy(SEGMENT, *group).orderBy(*order))
     spread = carried(spread, group, {"_end": F.max_by(out, F.struct(*order))}, lambda per, before: per.withColumn(CARRY, F.last("_end").over(before)))
     return spread.withColumn(out, F.coalesce(local, F.col(CARRY))).drop(SEGMENT, CARRY)
 
 
-def filled(rows: DataFrame, group: Sequence[str], order: Sequence[str], value: Column, out: str, segments: int | None = None) -> DataFrame:
+def filled(rows: DataFrame, group: Sequence[str], order: Sequence[str], value: Column, out: str, segments: int | None = None, store: Callable = stored) -> DataFrame:
     """Add the last value up to each row that isn't null."""
-    spread = cut(rows.withColumn(out, value), group, order, segments)
+    spread = cut(rows.withColumn(out, value), group, order, segments, store)
     latest = F.max_by(out, F.when(F.col(out).isNotNull(), F.struct(*order)))
     spread = carried(spread, group, {"_end": latest}, lambda per, before: per.withColumn(CARRY, F.last("_end", ignorenulls=True).over(before)))
     return spread.withColumn(out, F.coalesce(F.last(out, ignorenulls=True).over(within(group, order)), CARRY)).drop(SEGMENT, CARRY)
 
 
-def numbered(rows: DataFrame, group: Sequence[str], order: Sequence[str], out: str, segments: int | None = None) -> DataFrame:
+def numbered(rows: DataFrame, group: Sequence[str], order: Sequence[str], out: str, segments: int | None = None, store: Callable = stored) -> DataFrame:
     """Add the place of each row in its group, from 1."""
-    spread = cut(rows, group, order, segments)
+    spread = cut(rows, group, order, segments, store)
     spread = carried(spread, group, {"_n": F.count("*")}, lambda per, before: per.withColumn(CARRY, F.sum("_n").over(before)))
     return spread.withColumn(out, F.row_number().over(within(group, order)) + F.coalesce(CARRY, F.lit(0))).drop(SEGMENT, CARRY)
 
 
-def summed_since(rows: DataFrame, group: Sequence[str], order: Sequence[str], value: Column, resets: Column, out: str, segments: int | None = None) -> DataFrame:
+def summed(rows: DataFrame, group: Sequence[str], order: Sequence[str], values: dict[str, Column], segments: int | None = None, store: Callable = stored) -> DataFrame:
+    """Add the running sums of integer values, by the columns that they make."""
+    spread = cut(rows.withColumns(values), group, order, segments, store)
+    sums = {c: F.sum(c) for c in values}
+    spread = carried(spread, group, sums, lambda per, before: per.withColumn(CARRY, F.struct(*[F.sum(c).over(before).alias(c) for c in values])))
+    up_to = within(group, order)
+    return spread.withColumns({c: F.sum(c).over(up_to) + F.coalesce(F.col(f"{CARRY}.{c}"), F.lit(0)) for c in values}).drop(SEGMENT, CARRY)
+
+
+def summed_since(rows: DataFrame, group: Sequence[str], order: Sequence[str], value: Column, resets: Column, out: str, segments: int | None = None, store: Callable = stored) -> DataFrame:
     """Add the sum of an integer value over the rows since the last one that resets it, that row included; from the group's start if none did."""
-    spread = cut(rows.withColumns({"_value": value.cast("bigint"), "_reset": F.coalesce(resets, F.lit(False))}), group, order, segments)
+    spread = cut(rows.withColumns({"_value": value.cast("bigint"), "_reset": F.coalesce(resets, F.lit(False))}), group, order, segments, store)
     spread = spread.withColumn("_run", F.count_if("_reset").over(within(group, order)))
     # of a segment: whether it resets the sum, and the sum since its last reset
     per_run = spread.groupBy(SEGMENT, *group, "_run").agg(F.sum("_value").alias("_sum"))

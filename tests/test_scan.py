@@ -40,6 +40,10 @@ def plain(data):
     return out
 
 
+def data_of(data, id):
+    return [r[2] for r in by_group(data)[id][:1]]
+
+
 @pytest.mark.parametrize("segments", [1, 3, 40, 500])
 def test_scans_equal_a_loop(spark, segments):
     data, by = rows(), (["id"], ["ts", "seq"])
@@ -50,6 +54,8 @@ def test_scans_equal_a_loop(spark, segments):
     assert len(got) == len(data) and all(r["f"] == want[r["seq"]][1] for r in got)
     got = scan.numbered(d, *by, "n", segments).collect()
     assert len(got) == len(data) and all(r["n"] == want[r["seq"]][2] for r in got)
+    got = scan.summed(d, *by, {"a": F.lit(1), "b": F.col("seq")}, segments).collect()
+    assert len(got) == len(data) and all(r["a"] == want[r["seq"]][2] for r in got) and sum(r["b"] for r in got if r["id"] == "a" and r["a"] == 1) == min(data_of(data, "a"))
     got = scan.summed_since(d, *by, F.when(F.col("status") == "dead", 1).otherwise(0), F.col("status") == "live", "s", segments).collect()
     assert len(got) == len(data) and all(r["s"] == want[r["seq"]][3] for r in got)
 
