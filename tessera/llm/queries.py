@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, decontaminate, html, language, lm, neighbours, quality, simhash, suffix, warc, whiten
+from tessera.llm import bpe, chat, decontaminate, html, language, lm, neighbours, quality, simhash, suffix, trie, warc, whiten
 from tessera.llm._common import held_out_column
 
 
@@ -84,6 +84,10 @@ def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_table(spark, sf_dir, "documents").select("doc_id", "text"), learn=fold != 1, held=fold == 1)
 
 
+def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten.whiten(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
@@ -157,10 +161,57 @@ select page_id, cast(payload_bytes as bigint) as payload_bytes,
 from digests join firsts using (hex)
 """
 
+#: CRC-32 is done bit by bit. Subtrees are sums over the prefixes of each node's smallest member.
+OP12_SQL = """
+with turns as (
+  select conv_id as c, coalesce(role, '') as role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as pos
+  from conversations where conv_id is not null
+), sizes as (
+  select c, n, c - c % 5 as base, xor(list_reduce(
+    list_prepend(cast(4294967295 as bigint), list_transform(range(length(cast(c as varchar))), lambda i: cast(ascii(substr(cast(c as varchar), cast(i + 1 as int), 1)) as bigint))),
+    lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 9 as h
+  from (select c, count(*) as n from turns group by c)
+), per as (
+  select s.c, s.base, s.h, least(s.h, coalesce(b.n, 0)) as lent, least(s.h, coalesce(b.n, 0)) + greatest(s.n - s.h, 0) as size
+  from sizes s left join sizes b on b.c = s.base
+), rebuilt as (
+  select p.c, size, pos, role, text from per p join turns t on t.c = p.base and t.pos <= p.h
+  union all
+  select p.c, size, pos - h + lent, role, text from per p join turns t on t.c = p.c and t.pos > p.h
+), prefixes as (
+  select c, size, pos as depth, octet_length(encode(text)) as bytes,
+    md5(string_agg(length(role) || ':' || role || length(text) || ':' || text, '') over (partition by c order by pos)) as node
+  from rebuilt
+), members as (
+  select c, size, depth, bytes, node from prefixes union all select c, size, 0, 0, '' from per
+), nodes as (
+  select node, depth, min(c) as conv_id, count(*) as n_convs, max(bytes) as bytes,
+    sha256(coalesce(string_agg(cast(c as varchar), ',' order by c) filter (where size = depth), '')) as ends_sha256
+  from members group by node, depth
+), kin as (
+  select n.conv_id, n.depth, p.node as above, m.node as parent from nodes n
+  join members p on p.c = n.conv_id and p.depth <= n.depth left join members m on m.c = n.conv_id and m.depth = n.depth - 1
+  where p.depth <= n.depth
+), families as (
+  select parent, count(distinct (conv_id, depth)) as n_children from kin where parent is not null group by parent
+), weighed as (
+  select n.*, coalesce(f.n_children, 0) as n_children, cast((n_convs - 1) * bytes as bigint) as weight from nodes n left join families f on f.parent = n.node
+), totals as (
+  select k.above, sum(cast(n_children = 0 as int)) as n_leaves, sum(weight) as saved_tokens
+  from kin k join weighed w using (conv_id, depth) group by k.above
+), parents as (
+  select distinct k.conv_id, k.depth, p.conv_id as parent_conv_id from kin k join nodes p on p.node = k.parent
+)
+select w.conv_id, cast(w.depth as bigint) as depth, q.parent_conv_id, w.n_convs, w.n_children, cast(n_leaves as bigint) as n_leaves,
+  cast(saved_tokens as bigint) as saved_tokens, ends_sha256
+from weighed w join totals t on t.above = w.node left join parents q on q.conv_id = w.conv_id and q.depth = w.depth
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit() and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_html_extraction": OP3_SQL, "op4_benchmark_decontamination": OP4_SQL, "op8_chat_formatting": OP8_SQL, "op9_warc": OP9_SQL}
+    return {"op3_html_extraction": OP3_SQL, "op4_benchmark_decontamination": OP4_SQL, "op8_chat_formatting": OP8_SQL, "op9_warc": OP9_SQL, "op12_conversation_prefix_trie": OP12_SQL}
