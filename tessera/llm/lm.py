@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.llm._common import Scratch, bounded_batches, worker_cache
 
@@ -260,9 +261,9 @@ def _added(group: pa.Table) -> pa.Table:
     )
 
 
-def _bucket(contexts: list[np.ndarray]) -> np.ndarray:
-    """The bucket of each token by the totals of its contexts, the shortest first: of the longest one seen, its order and its octave."""
-    out = np.zeros(len(contexts[0]), np.int64) if contexts else np.zeros(0, np.int64)
+def _bucket(contexts: list[np.ndarray], n: int) -> np.ndarray:
+    """The bucket of each of n tokens by the totals of its contexts, the shortest first: of the longest one seen, its order and its octave."""
+    out = np.zeros(n, np.int64)
     for o, seen in enumerate(contexts):
         out = np.where(seen > 0, o * BINS + np.frexp(seen.astype(float))[1], out)
     return out
@@ -274,31 +275,50 @@ def _estimates(counts: list[np.ndarray], contexts: list[np.ndarray], total) -> l
     return out + [np.where(c > 0, np.minimum(n / np.maximum(c, 1), 1.0), 0.0) for n, c in zip(counts[1:], contexts, strict=True)]
 
 
-def _counted(left: pa.Table, right: pa.Table, order: int, learned: int) -> pa.Table:
-    """A chunk with the totals of its words and of its longer n-grams at each place, and its cells of held-out estimates."""
-    chunk = left.to_pylist()[0]
-    grams = _Grams(chunk, order)
-    right = right.sort_by([("kind", "ascending"), ("bucket", "ascending")])
-    kinds = right["kind"].to_numpy()
-    totals = [np.concatenate([_unpacked(x.as_buffer(), np.int64) for x in right["totals"].filter(pa.array(kinds == o))]) for o in range(order)]
-    placed = [np.where(at >= 0, t[at], 0) for at, t in zip(grams.at, totals, strict=True)]
-
-    use = np.flatnonzero(grams.counted & grams.learn)
-    own = [grams.own(o) for o in range(order)]
-    counts = [(p - k)[use] for p, k in zip(placed, own, strict=True)]
-    contexts = [np.maximum((p - k)[use - 1], 0) for p, k in zip(placed[:-1], own[:-1], strict=True)]
-    text = np.bincount(grams.stream[use], minlength=len(chunk["lengths"]))
-    f = _estimates(counts, contexts, learned - text[grams.stream[use]])
-    code = _bucket(contexts) if contexts else np.zeros(len(use), np.int64)
+class _Counted:
+    """A chunk and the totals of its n-grams: of each order, at each place."""
+
+    def __init__(self, left: pa.Table, right: pa.Table, order: int):
+        self.chunk = left.to_pylist()[0]
+        self.grams = _Grams(self.chunk, order)
+        right = right.sort_by([("kind", "ascending"), ("bucket", "ascending")])
+        kinds = right["kind"].to_numpy()
+        totals = [np.concatenate([_unpacked(x.as_buffer(), np.int64) for x in right["totals"].filter(pa.array(kinds == o))]) for o in range(order)]
+        self.placed = [np.where(at >= 0, t[at], 0) for at, t in zip(self.grams.at, totals, strict=True)]
+
+
+def _cells(c: _Counted, learned: int) -> pa.Table:
+    """Held-out estimates of a chunk's training tokens, their own texts' counts taken out, by cells."""
+    use = np.flatnonzero(c.grams.counted & c.grams.learn)
+    rest = [p - c.grams.own(o) for o, p in enumerate(c.placed)]
+    contexts = [np.maximum(r[use - 1], 0) for r in rest[:-1]]
+    text = c.grams.stream[use]
+    f = _estimates([r[use] for r in rest], contexts, learned - np.bincount(text)[text] if len(use) else learned)
+    code = _bucket(contexts, len(use))
     for e in f:
         with np.errstate(divide="ignore"):
             code = code * 256 + np.where(e > 0, np.clip(1 + np.rint(-np.log2(e) * GRAIN), 1, 255), 0).astype(np.int64)
     code, number, n = np.unique(code, return_inverse=True, return_counts=True)
     sums = [np.bincount(number, weights=e, minlength=len(code)) for e in f]
-    more = [pa.array([_packed(totals[0])], pa.binary()), pa.array([[_packed(p) for p in placed[1:]]], pa.list_(pa.binary()))]
-    cells = [pa.array([code], pa.list_(pa.int64())), pa.array([n], pa.list_(pa.int64())), pa.array([list(sums)], pa.list_(pa.list_(pa.float64())))]
-    keep = ["chunk", "seq", "lengths", "held", "row", "id"]
-    return pa.table([*(left[c] for c in keep), *more, *cells], names=[*keep, "totals", "longer", "code", "n", "sums"])
+    return pa.table([pa.array(code), pa.array(n), *(pa.array(x, pa.float64()) for x in sums)], names=["code", "n", *(f"s{o}" for o in range(len(f)))])
+
+
+def _scores(c: _Counted, learned: int, known: int, whole: np.ndarray, by_bucket: np.ndarray, id_type: pa.DataType) -> pa.Table:
+    """Scores of a chunk's texts, or of the parts of them that lie in it."""
+    token, chunk = np.flatnonzero(c.grams.counted), c.chunk
+    counts, contexts, text = [p[token] for p in c.placed], [p[token - 1] for p in c.placed[:-1]], c.grams.stream[token]
+    bucket = _bucket(contexts, len(token))
+    mixed = np.where((bucket < len(by_bucket))[:, None], by_bucket[np.minimum(bucket, len(by_bucket) - 1)], whole)
+    p = mixed[:, 0] / (known + 1)
+    for o, f in enumerate(_estimates(counts, contexts, learned), 1):
+        p = p + mixed[:, o] * f
+    add = lambda x: np.bincount(text, weights=x, minlength=len(chunk["lengths"]))
+    base = np.log10((counts[0] + 0.5) / (learned + 0.5 * (known + 1)))
+    sizes = [np.bincount(t, minlength=len(chunk["lengths"])) for t in (text, text[counts[0] > 0])]
+    return pa.table(
+        [pa.array(chunk["row"], pa.int64()), pa.array(chunk["id"], id_type), pa.array(chunk["held"], pa.bool_()), *map(pa.array, (*sizes, add(base), add(np.log10(p))))],
+        names=["row", "id", "held", "n_tokens", "n_known", "base_score", "score"],
+    )
 
 
 def weights(bucket: np.ndarray, n: np.ndarray, estimates: np.ndarray, prior: float = PRIOR) -> tuple[np.ndarray, np.ndarray]:
@@ -330,11 +350,9 @@ def _totals(chunks: DataFrame, order: int, buckets: int) -> DataFrame:
     return sent.groupBy("kind", "bucket").applyInArrow(_added, "kind int, bucket int, chunk bigint, totals binary, known bigint")
 
 
-def _with_totals(chunks: DataFrame, added: DataFrame, order: int, learned: int) -> DataFrame:
-    kind = chunks.schema["id"].dataType.simpleString()
-    told = f"chunk bigint, seq binary, lengths array<int>, held array<boolean>, row array<bigint>, id {kind}, totals binary, longer array<binary>, code array<bigint>, n array<bigint>, sums array<array<double>>"
-    joined = chunks.groupBy("chunk").cogroup(added.drop("known").groupBy("chunk"))
-    return joined.applyInArrow(lambda a, b: _counted(a, b, order, learned), told)
+def _with_totals(chunks: DataFrame, added: DataFrame, order: int, of, schema: str) -> DataFrame:
+    """What `of` makes of each chunk with its totals."""
+    return chunks.groupBy("chunk").cogroup(added.drop("known").groupBy("chunk")).applyInArrow(lambda a, b: of(_Counted(a, b, order)), schema)
 
 
 def score(docs: DataFrame, learn: Column, held: Column, id: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:
@@ -361,39 +379,17 @@ def score(docs: DataFrame, learn: Column, held: Column, id: str = "doc_id", text
     bounded_batches(spark, 4)
     added = scratch.stored(_totals(chunks, order, buckets), "totals")
     known = added.agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
-    counted = scratch.stored(_with_totals(chunks, added, order, learned), "counted")
 
-    cells = counted.select(F.explode(F.arrays_zip("code", "n", *[F.col("sums")[o].alias(f"s{o}") for o in range(order)])).alias("c")).select("c.*")
-    cells = cells.groupBy("code").agg(F.sum("n").alias("n"), *[F.sum(f"s{o}").alias(f"s{o}") for o in range(order)]).toArrow()
+    sums = [f"s{o}" for o in range(order)]
+    cells = _with_totals(chunks, added, order, lambda c: _cells(c, learned), "code bigint, n bigint, " + ", ".join(f"{x} double" for x in sums))
+    cells = scratch.stored(cells.groupBy("code").agg(*[F.sum(x).alias(x) for x in ("n", *sums)]), "cells").toArrow()
     n = cells["n"].to_numpy()
     even = np.full(len(n), 1 / (known + 1))
-    whole, by_bucket = weights(cells["code"].to_numpy() >> (8 * order), n, np.stack([even, *(cells[f"s{o}"].to_numpy() / n for o in range(order))], axis=1))
-    shared = spark.sparkContext.broadcast((whole, by_bucket))
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole, by_bucket = shared.value
-        for batch in batches:
-            for c in batch.to_pylist():
-                lengths = np.array(c["lengths"], np.int64)
-                stream = np.repeat(np.arange(len(lengths)), lengths)
-                token = np.flatnonzero(np.arange(len(stream)) - (np.cumsum(lengths) - lengths)[stream] >= order - 1)
-                placed = [_unpacked(c["totals"], np.int64)[_unpacked(c["seq"], np.uint32)], *(_unpacked(x, np.int64) for x in c["longer"])]
-                counts, contexts = [p[token] for p in placed], [p[token - 1] for p in placed[:-1]]
-                bucket = _bucket(contexts) if contexts else np.zeros(len(token), np.int64)
-                mixed = np.where((bucket < len(by_bucket))[:, None], by_bucket[np.minimum(bucket, len(by_bucket) - 1)], whole)
-                p = mixed[:, 0] / (known + 1)
-                for o, f in enumerate(_estimates(counts, contexts, learned), 1):
-                    p = p + mixed[:, o] * f
-                add = lambda x: np.bincount(stream[token], weights=x, minlength=len(lengths))
-                base = np.log10((counts[0] + 0.5) / (learned + 0.5 * (known + 1)))
-                whole_numbers = [np.bincount(stream[token], minlength=len(lengths)), np.bincount(stream[token[counts[0] > 0]], minlength=len(lengths))]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c["row"], pa.int64()), pa.array(c["id"], batch.schema.field("id").type.value_type), pa.array(c["held"], pa.bool_())]
-                    + [pa.array(x) for x in (*whole_numbers, add(base), add(np.log10(p)))],
-                    names=["row", "id", "held", "n_tokens", "n_known", "base_score", "score"],
-                )
+    whole, by_bucket = weights(cells["code"].to_numpy() >> (8 * order), n, np.stack([even, *(cells[x].to_numpy() / n for x in sums)], axis=1))
 
-    parts = counted.drop("code", "n", "sums").mapInArrow(scored, f"row bigint, id {kind}, held boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    id_type = to_arrow_type(docs.schema[id].dataType)
+    told = f"row bigint, id {kind}, held boolean, n_tokens bigint, n_known bigint, base_score double, score double"
+    parts = _with_totals(chunks, added, order, lambda c: _scores(c, learned, known, whole, by_bucket, id_type), told)
     sums = [F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]
     out = parts.groupBy("row").agg(F.first("id").alias(id), F.first("held").alias("held_out"), *sums)
     out = out.select(id, "held_out", "n_tokens", "n_known", F.lit(learned).cast("bigint").alias("train_tokens"), "base_score", "score")
