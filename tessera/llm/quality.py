@@ -118,6 +118,7 @@ def pool(texts: list[str | None], table: np.ndarray) -> np.ndarray:
     """(texts, 4 * WIDTH): mean and spread of word vectors, then of shape vectors; zeros for a text without words."""
     counts = np.zeros(len(texts))
     sums = np.zeros((len(texts), 4 * WIDTH))
+    table = table.astype(np.float64)  # sums of single precision would depend on the block
     for rows, word, shape, again in _blocks(texts):
         rows, word, shape = rows[again:], word[again:], shape[again:]
         begin = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
