@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+EARTH_M = 6371000.0
+
 
 def indel_ratio(a: str, b: str) -> float:
     """100 * 2 * LCS / (len a + len b); two empty texts are alike. Bit-parallel over the shorter text."""
@@ -64,4 +66,4 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     """Metres on a sphere of 6 371 000 m radius."""
     dlat, dlon = F.radians(lat2 - lat1) / 2, F.radians(lon2 - lon1) / 2
     h = F.pow(F.sin(dlat), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(dlon), 2)
-    return 2 * 6371000.0 * F.atan2(F.sqrt(h), F.sqrt(1 - h))
+    return 2 * EARTH_M * F.atan2(F.sqrt(h), F.sqrt(F.greatest(1 - h, F.lit(0.0))))

@@ -12,6 +12,8 @@ a popular title or place costs linear work.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ from tessera.functions import urls as U
 from tessera.storage import stored
 
 METRES, RATIO = 50.0, 85.0
+#: Labels of more letters meet by length: the places where a segment may lie grow with its cube.
+LONG = 48
 #: Labels that name nothing (fixed values).
 GENERIC_LABELS = ("unknown", "unknown cam", "camera", "live", "stream")
 
@@ -41,22 +45,23 @@ def places(rows: DataFrame) -> DataFrame:
 
 
 def proximity_edges(members: DataFrame, metres: float = METRES) -> DataFrame:
-    """(a, b), a < b: pairs of classes of places() of one city within so many metres. Equi-joins on city and grid cell; each place meets its nine cells.
+    """(a, b), a < b: pairs of classes of places() of one city within so many metres, on any part of the globe.
 
-    Cells are twice as wide as the radius at the row's own latitude band, so no pair in reach is missed.
+    Places are points of the unit sphere, so neither the 180th meridian nor a pole is a border. Space is cut into cubes
+    of over twice the chord's length; a place is filed under its cube and looks into the cubes that its reach touches,
+    at most eight. Equi-joins on city and cube; half of the globe's girth and more is all places of the city.
     """
-    step = metres / 111_000.0 * 1.01
-    # longitude shrinks with latitude: the cell's width is that of its band's edge towards the pole, within limits
-    y = F.floor(F.col("latitude") / step)
-    width = lambda band: F.lit(step) / F.greatest(F.cos(F.radians(F.least(F.abs(band * step) + 2 * step, F.lit(89.99)))), F.lit(1e-6))
-    base = members.select("cls", "city", F.struct("latitude", "longitude").alias("p"), y.alias("y")).where(F.col("cls") == F.col("seq"))
-    own = base.select("cls", "city", "p", "y", F.floor(F.col("p.longitude") / width(F.col("y"))).alias("x"))
-    reach = base.withColumn("y", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.col("y") + d)))
-    reach = reach.withColumn("x", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("p.longitude") / width(F.col("y"))) + d)))
-    one = own.select("city", "x", "y", F.col("cls").alias("i"), F.col("p").alias("a"))
-    two = reach.select("city", "x", "y", F.col("cls").alias("j"), F.col("p").alias("b"))
-    near = one.join(two, ["city", "x", "y"]).where((F.col("i") != F.col("j")) & _near(F.col("a"), F.col("b"), metres))
-    return near.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
+    chord = 2 * math.sin(min(metres / (2 * X.EARTH_M), math.pi / 2)) * (1 + 1e-9) + 1e-12
+    lat, lon = F.radians(F.col("latitude")), F.radians(F.col("longitude"))
+    axes = {"x": F.cos(lat) * F.cos(lon), "y": F.cos(lat) * F.sin(lon), "z": F.sin(lat)}
+    cube = lambda c: F.floor(c / (2.0 * chord))
+    base = members.where(F.col("cls") == F.col("seq")).select("cls", "city", F.struct("latitude", "longitude").alias("p"), *[c.alias(k) for k, c in axes.items()])
+    one = base.select("city", *[cube(F.col(k)).alias(k) for k in axes], F.col("cls").alias("i"), F.col("p").alias("a"))
+    two = base.select("city", *axes, F.col("cls").alias("j"), F.col("p").alias("b"))
+    for k in axes:
+        two = two.withColumn(k, F.explode(F.array_distinct(F.array(cube(F.col(k) - chord), cube(F.col(k) + chord)))))
+    near = one.join(two, ["city", *axes]).where((F.col("i") < F.col("j")) & _near(F.col("a"), F.col("b"), metres))
+    return near.select(F.col("i").alias("a"), F.col("j").alias("b"))
 
 
 def labels(rows: DataFrame) -> DataFrame:
@@ -69,23 +74,78 @@ def labels(rows: DataFrame) -> DataFrame:
 def label_edges(members: DataFrame, ratio: float = RATIO) -> DataFrame:
     """(a, b), a < b: pairs of classes of labels() of one city whose labels are alike by more than `ratio`.
 
-    Classes of a city meet in a join whose conditions, bounds by length and by counts of letters that no
-    pair above the ratio fails, run before the exact ratio.
+    A similarity join by partition: two labels above the ratio are at most `budget` insertions and deletions apart.
+    The shorter one is cut into one segment more than that, so one of them is whole in the longer one, and not just
+    anywhere: of all segments one has as many changes before it as there are segments before it, so it lies that many
+    places or fewer off, by an even difference, and what is left of the budget must do for the rest. City, length,
+    budget, number and text of a segment are the join's key. Candidates are told by a hash of letters with their
+    counts, of which each change turns one bit, before labels are compared. Labels of over LONG letters would take too
+    many places: those meet in the same city by length alone, and by the same bits.
     """
-    n = F.length("label")
-    classes = members.where(F.col("cls") == F.col("seq"))
-    a = classes.select("city", F.col("cls").alias("ka"), F.col("label").alias("la"), n.alias("na"))
-    b = classes.select("city", F.col("cls").alias("kb"), F.col("label").alias("lb"), n.alias("nb"))
-    close = 2 * F.least("na", "nb") / (F.col("na") + F.col("nb")) * 100 > ratio
-    counts = lambda c: F.transform(F.sequence(F.lit(97), F.lit(122)), lambda k: F.length(c) - F.length(F.replace(c, F.chr(k), F.lit(""))))
-    a, b = a.withColumn("ca", counts(F.col("la"))), b.withColumn("cb", counts(F.col("lb")))
-    shared = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    others = F.least(F.col("na") - F.aggregate("ca", F.lit(0), lambda s, x: s + x), F.col("nb") - F.aggregate("cb", F.lit(0), lambda s, x: s + x))
-    possible = 200 * (shared + others) / (F.col("na") + F.col("nb")) > ratio
-    pairs = a.join(b, (a["city"] == b["city"]) & (F.col("ka") < F.col("kb")) & close & possible).select(F.col("ka").alias("a"), F.col("kb").alias("b"), "la", "lb")
+    classes = members.where(F.col("cls") == F.col("seq")).select("cls", "city", "label", F.length("label").alias("n"), letter_bits(F.col("label")).alias("bits"))
+    classes = stored(classes.where("n > 0"), "labels")
+    found = _by_segments(classes, ratio).unionByName(_by_length(classes, ratio)).distinct()
+    one, two = (classes.select(F.col("cls").alias(k), F.col("label").alias(f"l{k}")) for k in ("a", "b"))
+    pairs = stored(found, "pairs").join(one, "a").join(two, "b")
     return pairs.where(X.similarity(F.col("la"), F.col("lb")) > ratio).select("a", "b")
 
 
+def budget(na: Column, nb: Column, ratio: float) -> Column:
+    """The most insertions and deletions between labels of these lengths that are alike by more than the ratio; of the parity that they must have."""
+    most = F.floor((na + nb) * ((100 - ratio) / 100) + 1e-9)
+    return (most - F.pmod(most - na - nb, F.lit(2))).cast("int")
+
+
+def letter_bits(label: Column) -> Column:
+    """64 bits, one turned for each letter and its how-manieth: an insertion or deletion turns exactly one."""
+    letters = F.array_sort(F.transform(F.sequence(F.lit(1), F.length(label)), lambda i: F.substring(label, i, F.lit(1))))
+    seats = F.transform(letters, lambda c, i: F.pmod(F.xxhash64(c, i - F.array_position(letters, c)), F.lit(64)).cast("int"))
+    return F.aggregate(seats, F.lit(0).cast("bigint"), lambda bits, seat: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), seat)))
+
+
+def _alike(d: Column) -> Column:
+    return F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits"))) <= d
+
+
+def _shortest(n: Column, ratio: float) -> Column:
+    """The least length that a label alike to one of n letters has."""
+    return F.greatest(F.lit(1), F.ceil(n * (ratio / (200 - ratio)) - 1e-9)).cast("int")
+
+
+def _by_segments(classes: DataFrame, ratio: float) -> DataFrame:
+    short = classes.where(F.col("n") <= LONG)
+    begin = lambda i, na, d: F.floor(i * na / (d + 1)).cast("int")
+    # the shorter label, cut for every budget that it may have with a longer one
+    longest = F.least(F.lit(LONG), F.floor(F.col("n") * ((200 - ratio) / ratio) + 1e-9).cast("int"))
+    budgets = F.array_distinct(F.transform(F.sequence("n", F.greatest("n", longest)), lambda nb: budget(F.col("n"), nb, ratio)))
+    cut = short.withColumn("d", F.explode(F.filter(budgets, lambda d: d >= 0))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("d"))))
+    start, stop = begin(F.col("i"), F.col("n"), F.col("d")), begin(F.col("i") + 1, F.col("n"), F.col("d"))
+    cut = cut.select("city", F.col("n").alias("na"), "d", "i", F.substring(F.col("label"), start + 1, stop - start).alias("segment"), F.col("cls").alias("short"), F.col("bits").alias("a_bits"))
+    # the longer one, looking for it at every permitted place
+    seek = short.withColumn("na", F.explode(F.sequence(_shortest(F.col("n"), ratio), F.col("n")))).withColumn("d", budget(F.col("na"), F.col("n"), ratio))
+    more = F.col("n") - F.col("na")
+    seek = seek.where(F.col("d") >= more).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("d"))))
+    start, stop = begin(F.col("i"), F.col("na"), F.col("d")), begin(F.col("i") + 1, F.col("na"), F.col("d"))
+    rest = F.col("d") - F.col("i")
+    moves = F.filter(F.sequence(-F.col("i"), F.col("i"), F.lit(2)), lambda m: (F.abs(more - m) <= rest) & (start + m >= 0) & (stop + m <= F.col("n")))
+    seek = seek.withColumn("move", F.explode(moves))
+    seek = seek.select("city", "na", "d", "i", F.substring(F.col("label"), start + F.col("move") + 1, stop - start).alias("segment"), F.col("cls").alias("long"), F.col("bits").alias("b_bits"))
+    met = cut.join(seek, ["city", "na", "d", "i", "segment"]).where((F.col("short") != F.col("long")) & _alike(F.col("d")))
+    return met.select(F.least("short", "long").alias("a"), F.greatest("short", "long").alias("b")).distinct()
+
+
+def _by_length(classes: DataFrame, ratio: float) -> DataFrame:
+    cell = lambda c: F.floor(F.log(c.cast("double")) / math.log((200 - ratio) / ratio)).cast("int")
+    long = classes.where(F.col("n") > LONG).select("city", F.col("cls").alias("long"), F.col("n").alias("nb"), F.col("bits").alias("b_bits"))
+    # a cell is as wide as the lengths that can be alike: the longer one's own and the one below
+    long = long.withColumn("cell", F.explode(F.array(cell(F.col("nb")), cell(F.col("nb")) - 1)))
+    other = classes.where(F.col("n") >= _shortest(F.lit(LONG + 1), ratio)).select("city", F.col("cls").alias("short"), F.col("n").alias("na"), F.col("bits").alias("a_bits"), cell(F.col("n")).alias("cell"))
+    d = budget(F.col("na"), F.col("nb"), ratio)
+    ordered = (F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("short") < F.col("long"))
+    met = other.join(long, ["city", "cell"]).where(ordered & (d >= F.col("nb") - F.col("na")) & _alike(d))
+    return met.select(F.least("short", "long").alias("a"), F.greatest("short", "long").alias("b"))
+
+
 def links_of(members: DataFrame, edges: DataFrame) -> DataFrame:
     """(seq, cls, n_links): of each record its class and how many other records match it."""
     sizes = members.groupBy("cls").agg(F.count("*").alias("size"))

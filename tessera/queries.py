@@ -559,7 +559,9 @@ def c4_scope_decisions(spark, sf):
 
 
 @query(
-    """with cells as (select s_suppkey as i, (s_suppkey % 10) * 0.0003 as lat, (s_suppkey // 10 % 10) * 0.0003 as lon, 'c' || (s_suppkey % 3) as city from supplier),
+    """with cells as (select s_suppkey as i, case s_suppkey % 4 when 2 then 89.999 + (s_suppkey // 4 % 10) * 0.0001 when 3 then -89.9997 else (s_suppkey // 4 % 10) * 0.0003 end as lat,
+  case s_suppkey % 4 when 0 then (s_suppkey // 40 % 10) * 0.0003 when 1 then case when s_suppkey // 4 % 2 = 0 then 179.9998 else -179.9998 end else (s_suppkey % 7) * 51.0 - 153.0 end as lon,
+  'c' || (s_suppkey % 3) as city from supplier),
 classes as (select city, lat, lon, min(i) as cls, count(*) as n from cells group by all),
 near as (select a.cls, sum(b.n) - 1 as n_links from classes a join classes b on a.city = b.city
 where 2 * 6371000.0 * atan2(sqrt(sin(radians(b.lat - a.lat) / 2) ** 2 + cos(radians(a.lat)) * cos(radians(b.lat)) * sin(radians(b.lon - a.lon) / 2) ** 2),
@@ -567,9 +569,12 @@ where 2 * 6371000.0 * atan2(sqrt(sin(radians(b.lat - a.lat) / 2) ** 2 + cos(radi
 select i as seq, cls, n_links::bigint as n_links from cells join classes using (city, lat, lon) join near using (cls)"""
 )
 def j20_proximity(spark, sf):
-    """Of each record the class of its place and how many others lie within 120 m."""
+    """Of each record the class of its place and how many others lie within 120 m; places at the equator, on both sides of the 180th meridian and at the poles."""
     k = F.col("s_suppkey")
-    rows = table(spark, sf, "supplier").select(k.alias("seq"), ((k % 10) * 0.0003).alias("latitude"), (F.floor(k / 10) % 10 * 0.0003).alias("longitude"), F.concat(F.lit("c"), k % 3).alias("city"))
+    part = F.floor(k / 4)
+    lat = F.when(k % 4 == 2, 89.999 + part % 10 * 0.0001).when(k % 4 == 3, -89.9997).otherwise(part % 10 * 0.0003)
+    lon = F.when(k % 4 == 0, F.floor(k / 40) % 10 * 0.0003).when(k % 4 == 1, F.when(part % 2 == 0, 179.9998).otherwise(-179.9998)).otherwise(k % 7 * 51.0 - 153.0)
+    rows = table(spark, sf, "supplier").select(k.alias("seq"), lat.alias("latitude"), lon.alias("longitude"), F.concat(F.lit("c"), k % 3).alias("city"))
     members = resolve.places(rows)
     return resolve.links_of(members, resolve.proximity_edges(members, 120.0))
 

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,3 +113,90 @@ def test_queries_take_whole_labels(spark, tmp_path):
     near = {(r["seq"], r["cls"], r["n_links"]) for r in Q.QUERIES["j21_similar_labels"](spark, str(tmp_path)).collect()}
     assert near == {(1, 1, 0), (5, 5, 1), (9, 9, 1), (13, 13, 1), (17, 5, 1), (21, 21, 0)}
     assert {(r["seq"], r["merged_rows"]) for r in Q.QUERIES["d1_entity_resolution"](spark, str(tmp_path)).collect()} == {(1, 1), (5, 2), (9, 2), (21, 1)}
+
+
+def test_neighbours_on_any_part_of_the_globe(spark):
+    """Random places, many of them at the 180th meridian and the poles, against all pairs."""
+    rng = random.Random(5)
+    spots = [(0.0, 0.0), (12.0, 180.0), (-45.0, -180.0), (90.0, 20.0), (-90.0, 0.0), (89.9995, -120.0), (51.5, -0.1)]
+    rows = []
+    for i in range(600):
+        lat, lon = rng.choice(spots)
+        lat, lon = lat + rng.uniform(-0.002, 0.002), lon + rng.uniform(-0.002, 0.002) * (1 if abs(lat) < 80 else 60_000)
+        rows.append((i, rng.choice("ab"), max(-90.0, min(90.0, lat)), (lon + 180) % 360 - 180))
+    rows += [(600, "a", 10.0, 179.99999), (601, "a", 10.0, -179.99999), (602, "a", 89.9999, 0.0), (603, "a", 89.9999, 180.0), (604, "a", 10.0, 180.0), (605, "a", 10.0, -180.0)]
+    df = spark.createDataFrame(rows, "seq long, city string, latitude double, longitude double")
+    for reach in (50.0, 300.0, 3e7):
+        some = rows if reach < 1e6 else rows[::6]
+        want = {(a[0], b[0]) for a in some for b in some if a[0] < b[0] and a[1] == b[1] and metres(a[2:], b[2:]) <= reach}
+        got = [tuple(r) for r in R.proximity_edges(R.places(df.where(F.col("seq").isin([r[0] for r in some]))), reach).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+    assert {(600, 601), (602, 603)} <= {tuple(r) for r in R.proximity_edges(R.places(df)).collect()}
+
+
+def alike_pairs(labels, ratio=85):
+    """All pairs above the ratio: counts of letters rule out most in numpy, the textbook table settles the rest."""
+    letters = sorted(set("".join(labels)))
+    counts = np.array([[x.count(c) for c in letters] for x in labels], np.int16).T.copy()
+    sizes, out = counts.sum(axis=0), set()
+    order = np.argsort(sizes, kind="stable")
+    counts, sizes = counts[:, order], sizes[order]
+    for at in range(len(labels)):
+        stop = np.searchsorted(sizes, sizes[at] * 1.36 + 1)
+        if stop <= at + 1:
+            continue
+        shared = np.zeros(stop - at - 1, np.int32)
+        for row in counts:
+            if row[at]:
+                shared += np.minimum(row[at], row[at + 1 : stop])
+        for k in np.flatnonzero(200 * shared > ratio * (sizes[at] + sizes[at + 1 : stop])):
+            i, j = int(order[at]), int(order[at + 1 + k])
+            if X.indel_ratio(labels[i], labels[j]) > ratio:
+                out.add((min(i, j), max(i, j)))
+    return out
+
+
+def edges_of(spark, labels):
+    d = spark.createDataFrame(list(enumerate(labels)), "seq long, label string").withColumn("city", F.lit("Rome"))
+    members = R.labels(d)
+    return members, R.label_edges(members)
+
+
+@pytest.mark.parametrize("alphabet", ["ab", "abcdefgh", "aé🙂ß ", "abcdefghijklmnopqrstuvwxyz -"])
+def test_alike_labels_equal_all_pairs(spark, alphabet):
+    """Labels of 1 to 70 letters, changed copies among them; equal lengths, other lengths, long with short."""
+    rng = random.Random(len(alphabet))
+    labels = {"".join(rng.choice(alphabet) for _ in range(rng.choice([*range(1, 30), 46, 47, 48, 49, 50, 60]))) for _ in range(120)}
+    for x in sorted(labels):
+        for _ in range(3):
+            y = list(x)
+            for _ in range(rng.randrange(1, 2 + len(x) // 5)):
+                at = rng.randrange(len(y) + 1)
+                y[at : at + rng.choice([0, 0, 1, 1, 2])] = rng.choice(["", rng.choice(alphabet), rng.choice(alphabet)])
+            labels.add("".join(y))
+    labels = [x for x in sorted(labels) if x.strip() and x.strip() not in R.GENERIC_LABELS]
+    want = {(i, j) for i in range(len(labels)) for j in range(i + 1, len(labels)) if X.indel_ratio(labels[i], labels[j]) > 85}
+    got = [tuple(r) for r in edges_of(spark, labels)[1].collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_one_city_of_50_000_labels(spark):
+    """Every alike pair is found, while few of the 1.25 billion pairs are compared and no join is by city alone."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randrange(3, 9))) for _ in range(4000)]
+    labels = dict.fromkeys(" ".join(rng.choice(words) for _ in range(rng.randrange(2, 5))) for _ in range(48_500))
+    for x in list(labels)[:1800]:
+        at = rng.randrange(len(x))
+        labels[x[:at] + rng.choice(["", "x", "yz"]) + x[at + 1 :]] = None
+    labels = list(labels)[:50_000]
+    members, edges = edges_of(spark, labels)
+    assert members.count() == 50_000
+    got = [tuple(r) for r in edges.collect()]
+    assert len(got) == len(set(got)) and set(got) == alike_pairs(labels) and len(got) > 1000
+    classes = R.stored(members.select("cls", "city", "label", F.length("label").alias("n"), R.letter_bits(F.col("label")).alias("bits")), "labels")
+    compared = R._by_segments(classes, R.RATIO)
+    joins = [line for line in compared._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert joins and all("(segment#" in line and "(d#" in line and "(city#" in line for line in joins)
+    n = compared.count() + R._by_length(classes, R.RATIO).count()
+    print(f"{n} of {50_000 * 49_999 // 2} pairs compared")
+    assert n < 50_000 * 49_999 / 2 / 1000
