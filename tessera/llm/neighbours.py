@@ -95,7 +95,13 @@ def fit(sample: np.ndarray, trees: int = TREES, leaves: int = 128, seed: int = 5
     return Forest(depth, planes, cuts)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors times the power of two that brings their largest component to between a half and one: exact, and no square overflows."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -106,20 +112,22 @@ def _matrix(column, dims: int) -> np.ndarray:
 def usable(vectors: DataFrame, id: str, embedding: str) -> DataFrame:
     """(vec_id, v): vectors that take part, repeated rows once. v keeps its type: floats travel as floats.
 
-    Left out: null ids, null or empty vectors, those with null or non-finite components or of norm zero,
-    and those whose length isn't the commonest one, which have no cosine with the others.
+    Left out: null ids, null vectors, those with null or non-finite components and those of zeros alone, empty ones
+    too. Shorter vectors than the longest get zeros at their end.
     """
-    v = F.col("v")
+    v, kind = F.col("v"), vectors.schema[embedding].dataType.elementType
     whole = vectors.select(F.col(id).cast("bigint").alias("vec_id"), F.col(embedding).alias("v"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))
     whole = whole.where(F.col("vec_id").isNotNull() & (F.size("v") > 0) & F.coalesce(F.forall(v, finite), F.lit(False)) & F.exists(v, lambda x: x != 0))
-    lengths = whole.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
-    n = lengths[0]["n"] if lengths else 0
-    return whole.where(F.size("v") == n).distinct()
+    shortest, longest = whole.agg(F.min(F.size("v")), F.max(F.size("v"))).first()
+    if longest and shortest < longest:
+        whole = whole.withColumn("v", F.concat(v, F.array_repeat(F.lit(0).cast(kind), F.lit(longest) - F.size(v))))
+    return whole.distinct()
 
 
 def _best(asked: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, row, cosine) of at least the k best rows of each query, ties included; double precision."""
+    asked, rows = _scaled(asked), _scaled(rows)
     qn, xn = np.sqrt((asked * asked).sum(axis=1)), np.sqrt((rows * rows).sum(axis=1))
     rough = (asked / qn[:, None]) @ (rows / xn[:, None]).T
     at = max(0, len(rows) - k)
@@ -184,6 +192,12 @@ def leaves_needed(forest: Forest, entries: DataFrame, probes: np.ndarray, k: int
     return int(np.quantile(ranks, recall, method="higher")) if ranks else 1
 
 
+def _sizes(filed: DataFrame) -> dict[tuple[int, int], tuple[int, int]]:
+    """Entries and ids of each (tree, leaf): as many rows as the trees have leaves, which the sample bounds."""
+    per = filed.groupBy("tree", "leaf").agg(F.count("*").alias("entries"), F.sum(F.size("ids")).alias("ids")).collect()
+    return {(r["tree"], r["leaf"]): (r["entries"], r["ids"]) for r in per}
+
+
 def _parts(rows: DataFrame, most: int) -> dict[tuple[int, int], int]:
     """Parts of at most about `most` rows that a (tree, branch) must be dealt into; those of one part aren't listed."""
     large = rows.groupBy("tree", "branch").count().where(F.col("count") > most).collect()  # one row per branch at most
@@ -220,9 +234,9 @@ def search(
 
     is_query: a condition on column vec_id. Candidates are all other rows that usable() keeps; score is
     the cosine of the original vectors in double precision. Equal vectors are one entry with its k + 1
-    least ids, which is all that a result can show of them. A query with fewer candidates than k gets
-    them all if their leaves are visited. With exact, every leaf is visited. An empty table, or one where
-    nothing is usable, gives an empty result.
+    least ids, which is all that a result can show of them. A query goes on beyond its number of leaves until
+    those that it has visited hold k other rows, so one with fewer candidates than k gets them all. With
+    exact, every leaf is visited. An empty table, or one where nothing is usable, gives an empty result.
     """
     spark = vectors.sparkSession
     bounded_batches(spark, 2000)
@@ -269,17 +283,26 @@ def search(
         for batch in batches:
             for i, x in enumerate(_unit(_matrix(batch.column(1), dims)) if batch.num_rows else ()):
                 branches: dict[tuple[int, int], list[int]] = defaultdict(list)
-                for (t, n), _ in zip(forest.visit(x), range(most), strict=False):
+                held = [0] * trees  # rows of a tree are told apart, those of several trees may be the same
+                for visited, (t, n) in enumerate(forest.visit(x)):
+                    if visited >= most and max(held) > k:
+                        break
                     branches[t, n >> inner].append(n)
+                    held[t] += known.value.get((t, n), (0, 0))[1]
                 tree, branch = np.array(list(branches), np.int32).T
                 one = batch.take(pa.array(np.full(len(branches), i)))
                 leaves = pa.array(list(branches.values()), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array(branch), leaves, *one.columns], names=["tree", "branch", "leaves", "q", "v"])
 
     filed = entries.select("ids", "v").mapInArrow(file, f"{spot}, leaf int, ids array<bigint>, v {kind}")
+    sizes = _sizes(filed.select("tree", "leaf", "ids"))
+    known = spark.sparkContext.broadcast(sizes)
     sent = stored(asked.select("q", "v").mapInArrow(ask, f"{spot}, leaves array<int>, q bigint, v {kind}"), "sent")
     # a branch with many vectors or many queries is dealt out as pairs of parts; others have one
-    sides = _parts(filed.select("tree", "branch"), PART), _parts(sent, PART)
+    branches: dict[tuple[int, int], int] = defaultdict(int)
+    for (t, n), (count, _) in sizes.items():
+        branches[t, n >> inner] += count
+    sides = {b: math.ceil(n / PART) for b, n in branches.items() if n > PART}, _parts(sent, PART)
     held = spark.sparkContext.broadcast(sides)
 
     def dealt(at: int, key: str):

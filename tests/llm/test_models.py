@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import language as L
@@ -75,12 +76,14 @@ def test_neighbours(spark):
     odd = [(1000, None), (1001, [0.0] * 16), (1002, [float("nan")] * 16), (1003, [None] * 16), (1004, [1.0] * 3), (1005, []), (None, rows[1][1]), (3, rows[3][1])]
     df = spark.createDataFrame([(i, v, "z") for i, v in rows + odd], "vec_id bigint, embedding array<double>, key string").repartition(4)
     out = N.search(df, F.col("vec_id") % 50 == 0).collect()
+    ids = [*range(600), 1004]  # the shorter vector takes part, with zeros at its end
+    x = np.vstack([x, [1.0] * 3 + [0.0] * 13])
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     hits = 0
     for q in range(0, 600, 50):
         got = sorted((r["rank"], r["vec_id"], r["score"]) for r in out if r["query_id"] == q)
-        near = unit @ unit[q]
-        order = sorted((i for i in range(600) if i != q), key=lambda i: (-round(near[i], 12), i))[:5]
+        near = dict(zip(ids, unit @ unit[q], strict=True))
+        order = sorted((i for i in ids if i != q), key=lambda i: (-round(near[i], 12), i))[:5]
         assert [g[0] for g in got] == [1, 2, 3, 4, 5] and all(abs(near[v] - s) < 1e-12 for _, v, s in got)
         hits += len({v for _, v, _ in got} & set(order))
         if 100 <= q < 160:
@@ -125,6 +128,49 @@ def test_exact_search_and_parts(spark, monkeypatch):
         assert [r["vec_id"] for r in sorted((r for r in out if r["query_id"] == q), key=lambda r: r["rank"])] == np.argsort(-near, kind="stable")[:5].tolist()
 
 
+def cosines(rows):
+    """Exact cosines of all pairs of (id, vector), missing components as zeros, by fractions of floats that are scaled first."""
+    from fractions import Fraction
+
+    dims = max(len(v) for _, v in rows)
+    whole = {i: [Fraction(c) for c in v] + [Fraction(0)] * (dims - len(v)) for i, v in rows}
+    norm = {i: sum(c * c for c in v) for i, v in whole.items()}
+
+    def of(a, b):
+        dot = sum(x * y for x, y in zip(whole[a], whole[b], strict=True))
+        return float(dot * dot / (norm[a] * norm[b])) ** 0.5 * (1 if dot > 0 else -1)
+
+    return of
+
+
+def test_huge_tiny_and_shorter_vectors(spark):
+    """No score is NaN or lost, whatever the scale; vectors of several lengths all take part."""
+    rng = np.random.default_rng(8)
+    scales = [1e200, 1e300, 1e-200, 1e-308, 1.0, 3e-320]
+    rows = [(i, (rng.normal(size=6) * scales[i % 6]).tolist()) for i in range(60)]
+    rows += [(60 + i, rng.normal(size=n).tolist()) for i, n in enumerate([1, 2, 3, 5, 8, 8])] + [(70, []), (71, [0.0, 0.0])]
+    rows = [(i, v) for i, v in rows if v is not None]
+    out = N.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") % 2 == 0, exact=True).collect()
+    usable = [(i, v) for i, v in rows if any(v)]
+    score = cosines(usable)
+    found = {q: [r for r in sorted(out, key=lambda r: r["rank"]) if r["query_id"] == q] for q, _ in usable if q % 2 == 0}
+    assert len(out) == 5 * len(found)
+    for q, near in found.items():
+        best = sorted((-score(q, i), i) for i, _ in usable if i != q)[:5]
+        assert [r["score"] for r in near] == pytest.approx([-s for s, _ in best], abs=1e-9)
+
+
+def test_queries_go_on_until_they_have_enough(spark, monkeypatch):
+    """A leaf that holds fewer rows than were asked for isn't the end: all candidates come, if there are no more."""
+    monkeypatch.setattr(N, "leaves_needed", lambda *a: 1)
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(300)]
+    d = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    for k in (5, 40, 299, 400):
+        out = N.search(d, F.col("vec_id") % 100 == 0, k=k, trees=2, leaf=4).groupBy("query_id").agg(F.count("*").alias("n"), F.countDistinct("vec_id").alias("m")).collect()
+        assert {(r["query_id"], r["n"], r["m"]) for r in out} == {(q, min(k, 299), min(k, 299)) for q in (0, 100, 200)}
+
+
 def test_every_language_is_learned(spark):
     """More languages than the sample has rows: each still gets some."""
     rows = [(i, "".join(chr(97 + (i // 12 * 7 + k) % 26) for k in range(30)), f"l{i // 12:03d}") for i in range(12 * 230)]
