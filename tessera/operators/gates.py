@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import urls as U
-from tessera.operators.contains import MOST, containing, is_small
+from tessera.operators.contains import TERMS, Terms, lists
+from tessera.storage import stored
 
 #: Test hosts, patterns of archives and demos, and regions off target (fixed values).
 BLOCKED_TEST_DOMAINS = ("test-streams.mux.dev", "bitdash-a.akamaihd.net", "demo.unified-streaming.com", "gist.github.com", "github.com", "m3u8-player.com")
@@ -30,6 +31,8 @@ WEAK_REASONS = (
 )
 LATE_STAGES = ("validation", "robots", "policy", "malformed_url", "non_hls")
 LEGITIMACY = ("low", "medium", "high")
+#: Terms of a request that are looked for one by one.
+FEW = 32
 
 
 def _list(values: Sequence[str]) -> Column:
@@ -45,8 +48,11 @@ def blob(*columns: str) -> Column:
 
 
 def term_hits(text: Column, terms: Sequence[str]) -> Column:
-    """ARRAY of the terms that occur in a text; terms are a bounded list of the request."""
-    return F.filter(_list(terms), lambda t: F.contains(text, t))
+    """ARRAY of the terms that occur in a text, in lower case; terms are a list of the request. More than FEW are looked for in one walk."""
+    wanted = list(dict.fromkeys(v.lower() for v in terms if v))
+    if len(wanted) <= FEW:
+        return F.filter(_list(terms), lambda t: F.contains(text, t))
+    return F.array_intersect(_list(wanted), Terms(SparkSession.active(), wanted).found(text))
 
 
 def word_hits(text: Column, terms: Sequence[str]) -> Column:
@@ -230,26 +236,17 @@ def normal_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[\W_]+", " "))
 
 
-def without_rules(rows: DataFrame, rules: DataFrame, fields: Sequence[str], most: int = MOST) -> DataFrame:
+def without_rules(rows: DataFrame, rules: DataFrame, fields: Sequence[str], most: int = TERMS) -> DataFrame:
     """Rows that no rule (field, term) blocks: a term of its field, or of any field if the rule's field is null.
 
-    Rules are counted: up to `most` go to all tasks and rows stay where they are; more meet the distinct values
-    of each field, see containing(), and the values they block leave by an anti join on equal text.
+    Each field is walked over once for each list of `most` terms that concern it, see contains.Terms; rows stay where they are.
     """
-    terms = rules.select("field", normal_text(F.col("term")).alias("_term")).where(F.col("_term") != "")
-    if is_small(terms, most):
-        texts = F.map_from_arrays(F.array(*[F.lit(f) for f in fields]), F.array(*[normal_text(F.col(f)) for f in fields]))
-        every = F.concat_ws(" \u0001 ", *[normal_text(F.col(f)) for f in fields])
-        marked = rows.withColumns({"_texts": texts, "_every": every})
-        hit = F.contains(F.when(F.col("field").isNull(), F.col("_every")).otherwise(F.try_element_at("_texts", F.col("field"))), F.col("_term"))
-        return marked.join(F.broadcast(terms), hit, "left_anti").drop("_texts", "_every")
-    out = rows
+    terms = stored(rules.select("field", normal_text(F.col("term")).alias("_term")), "rules")
+    blocked = F.lit(False)
     for f in fields:
-        mine = terms.where(F.col("field").isNull() | (F.col("field") == f)).select("_term").distinct()
-        values = rows.select(normal_text(F.col(f)).alias("_value")).distinct()
-        blocked = containing(values, "_value", mine, "_term", most).select("_value").distinct()
-        out = out.join(blocked, normal_text(F.col(f)) == F.col("_value"), "left_anti")
-    return out
+        for part in lists(terms.where(F.col("field").isNull() | (F.col("field") == f)), "_term", most):
+            blocked |= part.any(normal_text(F.col(f)))
+    return rows.where(~blocked)
 
 
 #: Paths whose permission decides for a domain (fixed values).

@@ -76,22 +76,6 @@ def test_like_the_loop(spark, seed):
         assert r["source_refs"] == sorted({"r"} | {rows[s][1] for s in group if s != lead})
 
 
-def test_many_terms_meet_through_grams(spark):
-    """The path for long lists gives what the one for short lists gives."""
-    from tessera.operators import contains as C
-    from tessera.operators import gates as G
-
-    rng = random.Random(3)
-    some = lambda n: "".join(rng.choice("abc ") for _ in range(n))
-    texts = spark.createDataFrame([(i, some(rng.randrange(14)), some(9)) for i in range(60)], "i int, t string, u string")
-    terms = spark.createDataFrame([(x,) for x in sorted({some(rng.randrange(6)) for _ in range(40)})], "w string")
-    a, b = (sorted(map(tuple, C.containing(texts, "t", terms, "w", most).collect())) for most in (1000, 3))
-    assert a == b and a
-    rules = spark.createDataFrame([(rng.choice([None, "t", "u"]), "".join(rng.choice("abc") for _ in range(rng.randrange(2, 5)))) for _ in range(8)], "field string, term string")
-    a, b = (sorted(map(tuple, G.without_rules(texts, rules, ["t", "u"], most).collect())) for most in (1000, 3))
-    assert a == b and 0 < len(a) < 60
-
-
 def test_chain_is_not_passed_on(spark):
     """A matches B, B matches C, A doesn't match C: C leads."""
     step = 40 / 111_195
