@@ -825,39 +825,86 @@ def r4_enriched(spark, sf):
     return ended(spark, jobs.enriched(arriving(spark, sf, "events"), dim, "user_id").select("event_id", "c_mktsegment"), "enriched")
 
 
+#: Seconds that a row may be late where streams are shuffled; the delay of their watermark is longer.
+LATE, DELAY = 3600, "2 hours"
+
+
+def ended_late(spark: SparkSession, sf: str, name: str, time: Column, job, late: int = LATE, parts: int = 3) -> DataFrame:
+    """What a streaming job has written of a table that arrives in parts, the job started anew for each: rows come up to `late` seconds late and out of order."""
+    path, rows = scratch(spark, f"late-{name}"), table(spark, sf, name)
+    arrival = F.unix_seconds(time) + F.pmod(F.xxhash64(*rows.columns[:2]), F.lit(late))
+    first, last = rows.agg(F.min(arrival), F.max(arrival)).first()
+    rows.limit(0).write.parquet(f"{path}/in")
+    made = job(spark.readStream.schema(rows.schema).parquet(f"{path}/in"))
+    for i in range(parts):
+        low, high = (first + (last + 1 - first) * k // parts for k in (i, i + 1)) if first is not None else (0, 0)
+        rows.where((arrival >= low) & (arrival < high)).write.mode("append").parquet(f"{path}/in")
+        jobs.run_to_end(made, f"{path}/out", f"{path}/checkpoint")
+    return spark.read.schema(made.schema).parquet(f"{path}/out")
+
+
 @query(
     f"""with {LOG}, runs as (select *, sum(case when status = 'live' then 1 else 0 end) over (partition by id order by ts, seq rows unbounded preceding) as run, row_number() over (partition by id order by ts, seq) as checks,
   lag(status) over (partition by id order by ts, seq) as old_status from log)
-select id, checks, sum(case when status = 'dead' then 1 else 0 end) over (partition by id, run order by ts, seq rows unbounded preceding)::bigint as streak, status, coalesce(old_status <> status, false) as changed, old_status from runs"""
+select id, checks, sum(case when status = 'dead' then 1 else 0 end) over (partition by id, run order by ts, seq rows unbounded preceding)::bigint as streak, status, coalesce(old_status <> status, false) as changed, old_status
+from runs where ts <= (select max(ts) - interval 2 hour from log)"""
 )
 def r5_health_states(spark, sf):
-    """State by state what e3 and e6 find in windows."""
-    e = arriving(spark, sf, "events")
+    """State by state what e3 and e6 find in windows, up to the watermark; checks arrive out of order and in several batches."""
     s = F.when(F.col("event_type") == "error", "dead").when(F.col("event_type").isin("view", "click"), "live").otherwise("unknown")
-    log = e.select(F.col("user_id").cast("string").alias("id"), "ts", F.col("event_id").alias("seq"), s.alias("status"))
-    return ended(spark, jobs.health_states(log), "health").select("id", "checks", "streak", "status", "changed", "old_status")
+    columns = [F.col("user_id").cast("string").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), s.alias("status")]
+    out = ended_late(spark, sf, "events", F.col("ts").cast("timestamp"), lambda e: jobs.health_states(e.select(*columns), delay=DELAY))
+    return out.select("id", "checks", "streak", "status", "changed", "old_status")
 
 
 @query(
     """with t as (select time_bucket(interval 1 day, ts) as start, case event_id % 3 when 0 then 'validation' when 1 then 'directory-crawl' end as stage, event_id % 7 = 0 as leak from events)
 select start, stage, count(*) as lines, count(*) filter (leak) as leaks from t where start + interval 1 day <= (select max(ts) - interval 10 minute from events) group by all"""
 )
-def r6_heartbeat(spark, sf):
+def r6_windowed_lines(spark, sf):
     """Days that the watermark has passed, by stage."""
     k = F.col("event_id")
     words = text(picked(k, "probing urls", "crawling x", "nothing"), F.when(k % 7 == 0, " in Texas").otherwise(""))
-    beats = jobs.heartbeat(arriving(spark, sf, "events").select(words.alias("text"), F.col("ts").cast("timestamp").alias("logged_at")), every="1 day", leaks="(?i)texas")
+    beats = jobs.windowed_lines(arriving(spark, sf, "events").select(words.alias("text"), F.col("ts").cast("timestamp").alias("logged_at")), every="1 day", leaks="(?i)texas")
     return ended(spark, beats.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "stage", "lines", "leaks"), "beats")
 
 
-@query(f"with {SNAPSHOTS} select url, taken_at, classification, sequence_delta from classes")
+@query(
+    """with t as (select event_id, ts, 'run' || (user_id % 50) as run, event_id % 7 = 0 as hit,
+  case event_id % 5 when 0 then 'validation' when 1 then 'directory-crawl' when 3 then 'validation' when 4 then 'catalog-map' end as stage,
+  case when event_id % 5 = 3 then event_id end as received, case when event_id % 5 = 4 then event_id end as written from events),
+c as (select *, count(*) over w as lines, count(*) filter (hit) over w as hits, last_value(stage ignore nulls) over w as latest, last_value(received ignore nulls) over w as last_received,
+  sum(written) over w as all_written, count(written) over w as n_written, min(ts) over w as first from t window w as (partition by run order by ts, event_id rows unbounded preceding)),
+stops as (select run, min(ts) as stop_at from c where hit and hits >= 5 and ts >= first + interval 1 day group by run),
+ends as (select *, time_bucket(interval 1 day, ts) + interval 1 day as beat from c qualify row_number() over (partition by run, time_bucket(interval 1 day, ts) order by ts desc, event_id desc) = 1)
+select e.run, beat, latest as stage, lines, hits, last_received as received, (case when n_written > 0 then all_written end)::bigint as written, coalesce(stop_at < beat, false) as stop, case when stop_at < beat then stop_at end as stop_at
+from ends e left join stops using (run) where beat <= (select max(ts) - interval 2 hour from events)"""
+)
+def r6_heartbeat(spark, sf):
+    """Of every run and day the latest stage, counters and hits so far, and since when it is to be stopped; lines arrive late and out of order."""
+    k = F.col("event_id")
+    said = F.element_at(F.array(F.lit("probing urls"), F.lit("crawling x"), F.lit("nothing"), text("ValidationAgent: ", k, " candidates received"), text("GeoJSONExportSkill: ", k, " features written, 0 skipped")), (k % 5 + 1).cast("int"))
+    words = text(said, F.when(k % 7 == 0, " in Texas").otherwise(""))
+    columns = [text("run", F.col("user_id") % 50).alias("run"), F.col("ts").cast("timestamp").alias("logged_at"), k.alias("seq"), words.alias("text")]
+    job = lambda e: jobs.heartbeat(e.select(*columns), 86_400, DELAY, "(?i)texas", stop_hits=5, grace_seconds=86_400)
+    beats = ended_late(spark, sf, "events", F.col("ts").cast("timestamp"), job)
+    counter = lambda c: F.try_element_at("counters", F.lit(c))
+    return beats.select(
+        "run", F.col("beat").cast("timestamp_ntz").alias("beat"), "stage", "lines", "hits", counter("validation_candidates_received").alias("received"),
+        counter("geojson_features_written").alias("written"), "stop", F.col("stop_at").cast("timestamp_ntz").alias("stop_at"),
+    )
+
+
+@query(f"with {SNAPSHOTS} select url, taken_at, classification, sequence_delta from classes where taken_at <= (select max(o_orderkey) - 600 from orders)")
 def r7_playlist_states(spark, sf):
-    """State by state what e5 finds in windows; the order's number stands for the time."""
+    """State by state what e5 finds in windows, up to the watermark; the order's number stands for the time, and orders arrive late."""
     o, c = F.col("o_orderkey"), F.col("o_custkey")
     sequence = F.when(c % 4 == 0, text("#EXT-X-MEDIA-SEQUENCE:", o, "\n")).when(c % 4 == 1, "#EXT-X-MEDIA-SEQUENCE: 7\n").otherwise("")
     body = text("#EXTM3U\n", sequence, F.when(c % 4 == 2, text("s", o, ".ts\n")).otherwise("s.ts\n"), F.when(o % 10 == 0, "#EXT-X-ENDLIST\n").otherwise(""))
-    rows = arriving(spark, sf, "orders").select(text("p", c).alias("url"), F.timestamp_seconds(o).alias("taken_at"), body.alias("body"))
-    return ended(spark, jobs.playlist_states(rows), "playlists").select("url", F.unix_timestamp("taken_at").alias("taken_at"), "classification", "sequence_delta")
+    time = F.timestamp_seconds(o + 1)  # the watermark begins at 0: what bears that time is late
+    columns = [text("p", c).alias("url"), time.alias("taken_at"), body.alias("body")]
+    out = ended_late(spark, sf, "orders", time, lambda rows: jobs.playlist_states(rows.select(*columns)), late=300)
+    return out.select("url", (F.unix_timestamp("taken_at") - 1).alias("taken_at"), "classification", "sequence_delta")
 
 
 @query()

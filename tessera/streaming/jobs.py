@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.functions import urls as U
 from tessera.operators import extract as X
 from tessera.operators.resolve import deduplicate
 from tessera.operators.status import playlist_fields
+from tessera.streaming.ordered import folded
 
 
 def read_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 100, fmt: str = "json") -> DataFrame:
@@ -51,31 +50,29 @@ def enriched(candidates: DataFrame, dimension: DataFrame, key: str) -> DataFrame
     return candidates.join(dimension, key, "left")
 
 
-STREAKS = "id string, checks bigint, streak bigint, status string, changed boolean, review boolean, old_status string, ts timestamp"
+STREAKS = "id string, checks bigint, streak bigint, status string, changed boolean, review boolean, old_status string, at bigint"
 
 
-def health_states(log: DataFrame, threshold: int = 4) -> DataFrame:
-    """Streak, change and review flags of every health check as it comes; log: id, ts, seq, status.
+def health_states(log: DataFrame, threshold: int = 4, delay: str = "10 minutes") -> DataFrame:
+    """Streak, change and review flags of every health check; log: id, ts, seq, status.
 
-    Within a batch the checks of an id go by (ts, seq). State per id: streak, last status, number of checks.
+    The checks of an id go by (ts, seq) over all batches: one that comes late, but within the delay, takes its place.
+    A check is told once the watermark has passed it. State per id: streak, last status, number of checks.
     """
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        streak, last, checks = state.get if state.exists else (0, None, 0)
-        rows = pd.concat(list(frames)).sort_values(["ts", "seq"])
-        out = []
-        for ts, status in zip(rows["ts"], rows["status"], strict=True):
-            checks += 1
-            streak = streak + 1 if status == "dead" else 0 if status == "live" else streak
-            out.append((key[0], checks, streak, status, last is not None and status != last, streak >= threshold, last, ts))
-            last = status
-        state.update((int(streak), last, int(checks)))
-        yield pd.DataFrame(out, columns=["id", "checks", "streak", "status", "changed", "review", "old_status", "ts"])
+    def step(key: str, state: tuple | None, row: tuple) -> tuple[tuple, list]:
+        at, _, status = row
+        streak, last, checks = state or (0, None, 0)
+        streak = streak + 1 if status == "dead" else 0 if status == "live" else streak
+        told = (key, checks + 1, streak, status, checks > 0 and status != last, streak >= threshold, last, at)
+        return (streak, status, checks + 1), [told]
 
-    return log.groupBy("id").applyInPandasWithState(step, STREAKS, "streak bigint, status string, checks bigint", "append", GroupStateTimeout.NoTimeout)
+    rows = log.select(F.col("id").alias("key"), "ts", "seq", "status")
+    out = folded(rows, "ts", delay, [("status", "string")], "streak bigint, status string, checks bigint", STREAKS, step)
+    return out.withColumn("ts", F.timestamp_micros("at")).drop("at")
 
 
-def heartbeat(lines: DataFrame, every: str = "1 minute", delay: str = "10 minutes", leaks: str | None = None) -> DataFrame:
+def windowed_lines(lines: DataFrame, every: str = "1 minute", delay: str = "10 minutes", leaks: str | None = None) -> DataFrame:
     """(window, stage, lines, leaks) of a log stream (text, logged_at); leaks counts lines that match a pattern."""
     rows = lines.withWatermark("logged_at", delay).withColumn("stage", X.line_stage(F.col("text")))
     hit = F.col("text").rlike(leaks) if leaks else F.lit(False)
@@ -87,32 +84,73 @@ def alerts(beats: DataFrame, most: int) -> DataFrame:
     return beats.where(F.col("leaks") > most)
 
 
-PLAYLISTS = "url string, taken_at timestamp, classification string, sequence_delta bigint"
-
-
-def playlist_states(snapshots: DataFrame) -> DataFrame:
-    """Class of each snapshot against the one before it of its URL; the state is that snapshot's fields."""
-    parsed = snapshots.withColumn("p", playlist_fields(F.col("body"))).select("url", "taken_at", "p.*")
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        old = state.get if state.exists else None
-        out = []
-        for r in pd.concat(list(frames)).sort_values("taken_at").itertuples():
-            sequence = None if pd.isna(r.sequence) else int(r.sequence)
-            segments, closed = "\n".join(r.segments), bool(r.ended or r.vod)
-            if old is not None:
-                before = None if old[0] < 0 else old[0]
-                known = sequence is not None and before is not None
-                changed = segments != old[1]
-                kind = "vod_playlist" if closed or old[2] else "live_playlist" if changed or known and sequence > before else "static_playlist" if known and sequence == before else "unknown_playlist"
-                out.append((key[0], r.taken_at, kind, sequence - before if known else None))
-            old = (-1 if sequence is None else sequence, segments, closed)
-        state.update(old)
-        frame = pd.DataFrame(out, columns=["url", "taken_at", "classification", "sequence_delta"])
-        frame["sequence_delta"] = frame["sequence_delta"].astype("Int64")
-        yield frame
-
-    return parsed.groupBy("url").applyInPandasWithState(step, PLAYLISTS, "sequence bigint, segments string, closed boolean", "append", GroupStateTimeout.NoTimeout)
+#: What a beat tells: state of a run at the end of an interval in which it wrote.
+BEATS = "run string, beat bigint, stage string, lines bigint, hits bigint, counters string, stop_at bigint"
+#: Counters that add up; of the others the last known value counts (fixed values).
+SUMMED = ("geojson_features_written", "geojson_features_skipped")
+
+
+def heartbeat(lines: DataFrame, every_seconds: int = 60, delay: str = "10 minutes", leaks: str | None = None, stop_hits: int = 1, grace_seconds: int = 0) -> DataFrame:
+    """(run, beat, stage, lines, hits, counters, stop, stop_at) of log streams (run, text, logged_at, seq), in order.
+
+    A beat comes at the end of every interval in which a run wrote a line: its latest stage, how many lines and lines
+    with a leak it has written in all, its counters as of then, and whether it is to be stopped. That is said by the
+    first leak that is the stop_hits-th or later and comes grace_seconds or more after the run's first line; a run
+    that is to be stopped stays so. leaks: a pattern; without it nothing is a leak.
+    """
+    t, step_us, grace_us = F.coalesce(F.col("text"), F.lit("")), every_seconds * 1_000_000, grace_seconds * 1_000_000
+    told = X.log_lines(lines.select(F.col("run").alias("key"), "logged_at", "seq", t.alias("text")))
+    names = [n for of, _ in X.METRICS for n in of if not n.endswith("tier_counts")]
+    said = F.map_filter(F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.col(n) for n in names])), lambda _, v: v.isNotNull())
+    hit = F.col("text").rlike(leaks) if leaks else F.lit(False)
+    rows = told.select("key", "logged_at", "seq", "stage", hit.cast("int").alias("hit"), F.to_json(said).alias("said"))
+
+    def step(key: str, state: tuple | None, row: tuple) -> tuple[tuple, list]:
+        at, _, stage, hit, said = row
+        first, lines, hits, latest, counters, stop, beat = state or (at, 0, 0, None, "{}", None, None)
+        counters, new = json.loads(counters), json.loads(said)
+        for name, value in new.items():
+            counters[name] = counters.get(name, 0) + value if name in SUMMED else value
+        hits += hit
+        if stop is None and hit and hits >= stop_hits and at - first >= grace_us:
+            stop = at
+        beat = (at // step_us + 1) * step_us
+        return (first, lines + 1, hits, stage or latest, json.dumps(counters, sort_keys=True), stop, beat), []
+
+    def woken(key: str, state: tuple) -> tuple[tuple, list]:
+        first, lines, hits, latest, counters, stop, beat = state
+        return (*state[:-1], None), [(key, beat, latest, lines, hits, counters, stop)]
+
+    kept = "first bigint, lines bigint, hits bigint, stage string, counters string, stop bigint, beat bigint"
+    fields = [("stage", "string"), ("hit", "int"), ("said", "string")]
+    out = folded(rows, "logged_at", delay, fields, kept, BEATS, step, wake=lambda state: state[-1], woken=woken)
+    times = {c: F.timestamp_micros(c) for c in ("beat", "stop_at")}
+    return out.withColumn("stop", F.col("stop_at").isNotNull()).withColumns({**times, "counters": F.from_json("counters", "map<string,bigint>")})
+
+
+PLAYLISTS = "url string, at bigint, classification string, sequence_delta bigint"
+
+
+def playlist_states(snapshots: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Class of each snapshot against the one before it of its URL, in order over all batches; the state is that snapshot's fields."""
+    p = playlist_fields(F.col("body"))
+    rows = snapshots.select(F.col("url").alias("key"), "taken_at", F.xxhash64("body").alias("seq"), p.alias("p"))
+    rows = rows.select("key", "taken_at", "seq", "p.sequence", F.to_json("p.segments").alias("segments"), (F.col("p.ended") | F.col("p.vod")).cast("int").alias("closed"))
+
+    def step(key: str, old: tuple | None, row: tuple) -> tuple[tuple, list]:
+        at, _, sequence, segments, closed = row
+        if old is None:
+            return (sequence, segments, closed), []
+        before, delta = old[0], None
+        if sequence is not None and before is not None:
+            delta = sequence - before
+        changed = segments != old[1] or delta is not None and delta > 0
+        kind = "vod_playlist" if closed or old[2] else "live_playlist" if changed else "static_playlist" if delta == 0 else "unknown_playlist"
+        return (sequence, segments, closed), [(key, at, kind, delta)]
+
+    fields = [("sequence", "bigint"), ("segments", "string"), ("closed", "int")]
+    out = folded(rows, "taken_at", delay, fields, "sequence bigint, segments string, closed int", PLAYLISTS, step)
+    return out.select("url", F.timestamp_micros("at").alias("taken_at"), "classification", "sequence_delta")
 
 
 def run_to_end(rows: DataFrame, path: str, checkpoint: str, fmt: str = "parquet") -> None:

@@ -54,25 +54,6 @@ def test_sinks(spark, tmp_path):
     assert S.split_candidates(a, b, both_distinct=False)[0].count() == 2
 
 
-def test_streams_equal_batches(spark, tmp_path):
-    t0 = datetime(2026, 1, 1)
-    checks = [(f"r{i % 5}", t0 + timedelta(minutes=i), i, ["dead", "dead", "unknown", "live", "dead", "dead", "dead"][i * 7 // 5 % 7]) for i in range(60)]
-    src, out, state = (str(tmp_path / x) for x in ("in", "out", "ck"))
-    schema = "id string, ts timestamp, seq long, status string"
-    for part in (checks[:35], checks[35:]):
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
-        J.run_to_end(J.health_states(J.read_stream(spark, src, schema, fmt="parquet")), out, state)
-    got = sorted((r["id"], r["checks"], r["streak"], r["status"]) for r in spark.read.parquet(out).collect())
-    batch = W.failure_streaks(spark.createDataFrame(checks, schema)).withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("ts")))
-    assert got == sorted((r["id"], r["n"], r["streak"], r["status"]) for r in batch.collect())
-
-    playlists = [("u", t0 + timedelta(minutes=i), f"#EXT-X-MEDIA-SEQUENCE:{i // 2}\na{i // 2}.ts") for i in range(4)]
-    src = str(tmp_path / "pl")
-    spark.createDataFrame(playlists, "url string, taken_at timestamp, body string").write.parquet(src)
-    J.run_to_end(J.playlist_states(J.read_stream(spark, src, "url string, taken_at timestamp, body string", fmt="parquet")), str(tmp_path / "po"), str(tmp_path / "pc"))
-    assert [r["classification"] for r in spark.read.parquet(str(tmp_path / "po")).orderBy("taken_at").collect()] == ["static_playlist", "live_playlist", "static_playlist"]
-
-
 def test_dedup_and_fork(spark, tmp_path):
     src = str(tmp_path / "in")
     for urls in (["http://x/a.m3u8", "http://x/p", "http://x/a.m3u8"], ["http://x/p", "http://x/b.m3u8"]):
@@ -82,8 +63,8 @@ def test_dedup_and_fork(spark, tmp_path):
     assert [r["url"] for r in spark.read.parquet(str(tmp_path / "o")).collect()] == ["http://x/p"]
 
 
-def test_heartbeat(spark):
+def test_windowed_lines(spark):
     d = spark.createDataFrame([("Probing URLs in Texas", datetime(2026, 1, 1, 0, 0, 5)), ("crawling", datetime(2026, 1, 1, 0, 2))], "text string, logged_at timestamp")
-    beats = J.heartbeat(d, leaks="(?i)texas")
+    beats = J.windowed_lines(d, leaks="(?i)texas")
     assert sorted((r["stage"], r["lines"], r["leaks"]) for r in beats.collect()) == [("directory-crawl", 1, 0), ("validation", 1, 1)]
     assert J.alerts(beats, 0).count() == 1
