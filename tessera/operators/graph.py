@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import urls as U
-from tessera.operators.windows import top_per_group
 from tessera.storage import stored
 
 #: Words of links worth following and of those that aren't (fixed values).
@@ -48,12 +47,14 @@ def expand(
         frontier = frontier.join(full, "root", "left_anti")
         reached = frontier.join(steps, frontier["url"] == steps["page"]).groupBy("root", F.col("link").alias("url")).agg(F.min("page").alias("parent"))
         fresh = reached.join(seen, ["root", "url"], "left_anti").select("root", "url", F.lit(depth).alias("depth"), "parent")
-        frontier = stored(fresh, "level")
+        nth = F.row_number().over(Window.partitionBy("root").orderBy("url"))
+        fresh = fresh.withColumn("nth", nth).where(F.col("nth") <= max_pages).join(pages, "root").where(F.col("nth") + F.col("pages") <= max_pages)
+        frontier = stored(fresh.drop("nth", "pages"), "level")
         if frontier.limit(1).count() == 0:
             break
         seen = seen.unionByName(frontier)
         pages = seen.groupBy("root").agg(F.count("*").alias("pages"))
-    return top_per_group(seen, ["root"], ["depth", "url"], max_pages)
+    return seen
 
 
 def lineage(reached: DataFrame, depth: int) -> DataFrame:

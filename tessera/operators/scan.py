@@ -85,6 +85,12 @@ def summed(rows: DataFrame, group: Sequence[str], order: Sequence[str], values:
     return spread.withColumns({c: F.sum(c).over(up_to) + F.coalesce(F.col(f"{CARRY}.{c}"), F.lit(0)) for c in values}).drop(SEGMENT, CARRY)
 
 
+def running(spread: DataFrame, group: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
+    """Add the running sum of an integer column to rows that cut() has dealt out; they stay so for more of the kind."""
+    spread = carried(spread, group, {"_n": F.sum(value)}, lambda per, before: per.withColumn(CARRY, F.sum("_n").over(before)))
+    return spread.withColumn(out, F.sum(value).over(within(group, order)) + F.coalesce(CARRY, F.lit(0))).drop(CARRY)
+
+
 def summed_since(rows: DataFrame, group: Sequence[str], order: Sequence[str], value: Column, resets: Column, out: str, segments: int | None = None, store: Callable = stored) -> DataFrame:
     """Add the sum of an integer value over the rows since the last one that resets it, that row included; from the group's start if none did."""
     spread = cut(rows.withColumns({"_value": value.cast("bigint"), "_reset": F.coalesce(resets, F.lit(False))}), group, order, segments, store)

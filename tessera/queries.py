@@ -6,6 +6,7 @@ labels and log texts, customers and nations located records, embeddings frames,
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from tessera.functions import text as X
 from tessera.functions import urls as U
 from tessera.operators import decisions, extract, gates, geo, graph, reports, resolve, status, windows
 from tessera.sources import files
+from tessera.storage import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -631,10 +633,33 @@ def s7_grouped_catalogue(spark, sf):
     return files.grouped_catalogue(rows).select("continent", "country", "city", F.transform("items", lambda i: i["label"]).alias("labels"))
 
 
-@query("select 'k' as key, json_extract_string(props, '$.k') as value, count(*) as n from events group by all")
+@query(
+    """with d as (select event_id % 9 as depth, event_id % 4 as many, json_extract_string(props, '$.k') as v from events),
+leaves as (select repeat('n.', depth) || 'k' as key, v as value from d union all select repeat('n.', depth) || 'list.len', many::varchar from d union all select 'id', depth::varchar from d where depth > 0)
+select key, value, count(*) as n from leaves group by all"""
+)
 def s4_flattened(spark, sf):
-    docs = table(spark, sf, "events").select(F.try_parse_json("props").alias("doc"))
-    return files.flattened(docs, levels=2).groupBy("key", "value").agg(F.count("*").alias("n"))
+    """The events' own properties beside a list, nested up to eight objects deep, each with a member of its own at the top."""
+    k = F.col("event_id")
+    inner = F.concat(F.regexp_replace("props", r"\}\s*$", ""), F.lit(', "list": ['), F.array_join(F.array_repeat(F.lit("{}"), (k % 4).cast("int")), ","), F.lit("]}"))
+    depth = (k % 9).cast("int")
+    nested = F.concat(F.repeat(F.lit('{"n":'), depth), inner, F.repeat(F.lit("}"), depth))
+    nested = F.when(depth > 0, F.concat(F.regexp_replace(nested, r"\}$", ""), F.lit(', "id": '), depth, F.lit("}"))).otherwise(nested)
+    docs = table(spark, sf, "events").select(F.try_parse_json(nested).alias("doc"))
+    return files.flattened(docs).groupBy("key", "value").agg(F.count("*").alias("n"))
+
+
+@query(f"with {LOCATED} select id, latitude, longitude, country, status from located where latitude is not null")
+def s5_geojson_scan(spark, sf):
+    """Collections of about a thousand features each, written as text and scanned."""
+    rows = located(spark, sf)
+    parts = rows.count() // 1000 + 1
+    features = files.geojson_features(rows.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(parts))))
+    part = F.get_json_object("feature", "$.properties._part")
+    folder = f"{shared_dir(spark)}/tessera-geojson-{uuid.uuid4().hex}"
+    collections = features.groupBy(part.alias("part")).agg(F.concat(F.lit('{"type": "FeatureCollection", "features": ['), F.array_join(F.collect_list("feature"), ",\n"), F.lit('], "metadata": {"generated": "x"}}')).alias("value"))
+    collections.select("value").write.text(folder)
+    return files.read_geojson(spark, folder)[0].select("id", "latitude", "longitude", "country", "status")
 
 
 @query("select doc_id, upper(substr(sha1(text), 1, 10)) as h, case when length(regexp_replace(text, '[\\r\\n]+', ' ', 'g')) <= 40 then regexp_replace(text, '[\\r\\n]+', ' ', 'g') else substr(regexp_replace(text, '[\\r\\n]+', ' ', 'g'), 1, 37) || '...' end as short from documents")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tessera.functions import urls as U
+from tessera.operators import scan
+from tessera.storage import stored
 
 CANDIDATES = (
     "url string, label string, city string, state_region string, country string, source_directory string, source_refs array<string>, notes string, "
@@ -64,29 +66,77 @@ def read_artifacts(spark: SparkSession, folder: str, names: str = "*.jsonl") ->
     return rows.withColumn("url", first_member(F.col("doc"), URL_KEYS)).withColumn("domain", F.lower(U.domain(F.col("url"))))
 
 
-def flattened(docs: DataFrame, doc: str = "doc", levels: int = 5) -> DataFrame:
-    """(key, value): leaves of nested JSON under dotted keys; a list gives key.len. Deeper than `levels` stays JSON text."""
-    out = None
-    rows = docs.select(F.lit("").alias("key"), F.col(doc).alias("v"))
-    for level in range(levels + 1):
+def flattened(docs: DataFrame, doc: str = "doc") -> DataFrame:
+    """(key, value): leaves of nested JSON under dotted keys, however deep; a list gives key.len.
+
+    A level is a pass over the objects that the level before left; they are written, so that depth adds no lineage.
+    """
+    rows, out = stored(docs.select(F.lit("").alias("key"), F.col(doc).alias("v")).where(F.col("v").isNotNull()), "level"), None
+    while True:
         kind = F.schema_of_variant("v")
-        dotted = F.col("key")
-        lists = rows.where(F.startswith(kind, F.lit("ARRAY"))).select(F.concat(dotted, F.lit(".len")).alias("key"), F.size(F.try_variant_get("v", "$", "array<variant>")).cast("string").alias("value"))
-        leaf = ~F.startswith(kind, F.lit("OBJECT")) & ~F.startswith(kind, F.lit("ARRAY")) if level < levels else ~F.startswith(kind, F.lit("ARRAY"))
-        leaves = rows.where(leaf).select("key", F.coalesce(F.try_variant_get("v", "$", "string"), F.to_json("v")).alias("value"))
-        part = lists.unionByName(leaves)
+        is_list, is_object = F.startswith(kind, F.lit("ARRAY")), F.startswith(kind, F.lit("OBJECT"))
+        length = F.size(F.try_variant_get("v", "$", "array<variant>")).cast("string")
+        leaf = F.coalesce(F.try_variant_get("v", "$", "string"), F.to_json("v"))
+        part = rows.where(~is_object).select(F.when(is_list, F.concat("key", F.lit(".len"))).otherwise(F.col("key")).alias("key"), F.when(is_list, length).otherwise(leaf).alias("value"))
         out = part if out is None else out.unionByName(part)
-        if level < levels:
-            inner = rows.where(F.startswith(kind, F.lit("OBJECT"))).select("key", F.explode(F.try_variant_get("v", "$", "map<string,variant>")).alias("k", "v"))
-            rows = inner.select(F.when(F.col("key") == "", F.col("k")).otherwise(F.concat("key", F.lit("."), "k")).alias("key"), "v")
-    return out
+        inner = rows.where(is_object).select("key", F.explode(F.try_variant_get("v", "$", "map<string,variant>")).alias("k", "v"))
+        rows = stored(inner.select(F.when(F.col("key") == "", F.col("k")).otherwise(F.concat("key", F.lit("."), "k")).alias("key"), "v"), "level")
+        if rows.isEmpty():
+            return out
+
+
+def _outside(parts: Column, start: int) -> Column:
+    """Brackets that open less those that close, in every other part of a text that is split at its quotes."""
+    text = F.array_join(F.filter(parts, lambda _, i: i % 2 == start), "")
+    count = lambda pattern: F.regexp_count(text, F.lit(pattern))
+    return count(r"[{\[]") - count(r"[}\]]")
+
+
+def geojson_units(spark: SparkSession, path: str) -> DataFrame:
+    """(artifact, unit, text, whole): the features of collections as text, each file read by as many tasks as it has blocks.
+
+    Files are split at every closing brace. Whether a piece begins in a string, and how deep it ends, are running
+    counts of quotes and of brackets outside strings, so they are found by scans over segments of a file. What lies
+    between two places of depth 2, inside the array of a collection's `features`, is a feature, put together of its
+    pieces. whole is false for a feature that its file breaks off, and for what follows a file's broken end.
+    """
+    lines = spark.read.option("lineSep", "}").option("recursiveFileLookup", "true").text(path)
+    m = F.col("_metadata")
+    rows = lines.select(m["file_path"].alias("artifact"), m["file_block_start"].alias("block"), m["file_size"].alias("size"), F.monotonically_increasing_id().alias("nth"), F.col("value").alias("text"))
+    by, order = ["artifact"], ["block", "nth"]
+    pieces = scan.cut(rows, by, order)
+    # a file's last piece may lack its brace: then the pieces and their braces are longer than the file
+    last = pieces.groupBy("artifact").agg(F.max(F.struct(*order)).alias("last"), (F.sum(F.octet_length("text") + 1) > F.max("size")).alias("open_end"))
+    pieces = pieces.join(last, "artifact").withColumn("brace", ~(F.col("open_end") & (F.struct(*order) == F.col("last"))))
+    pieces = pieces.withColumn("parts", F.split(F.regexp_replace("text", r"(?s)\\.", ""), '"', -1)).withColumn("quotes", F.size("parts") - 1)
+    pieces = scan.running(pieces, by, order, "quotes", "quotes_so_far")
+    starts_in, ends_in = (F.col("quotes_so_far") - F.col("quotes")) % 2 == 1, F.col("quotes_so_far") % 2 == 1
+    change = F.when(starts_in, _outside(F.col("parts"), 1)).otherwise(_outside(F.col("parts"), 0)) - F.when(F.col("brace") & ~ends_in, 1).otherwise(0)
+    pieces = scan.running(pieces.withColumn("change", change), by, order, "change", "depth")
+    ends = (F.col("depth") <= 2) & ~ends_in & F.col("brace")
+    pieces = scan.running(pieces.withColumns({"ends": ends.cast("int"), "from_depth": F.col("depth") - F.col("change")}), by, order, "ends", "units")
+    pieces = pieces.withColumn("unit", F.col("units") - F.col("ends"))
+    whole_text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.concat("text", F.when(F.col("brace"), "}").otherwise("")).alias("t")))), lambda p: p["t"]), "")
+    units = pieces.groupBy("artifact", "unit").agg(whole_text.alias("text"), F.min_by("from_depth", F.struct(*order)).alias("from_depth"), F.max("ends").alias("ends"), F.min_by("block", F.struct(*order)).alias("block"))
+    # units that begin above depth 2, or with the end of an array, may open one, of features or else; others are in the array opened last
+    opened = F.regexp_extract("text", r'(?s)"features"\s*:\s*\[(?:\s*(\{.*))?$', 0)
+    apart = (F.col("from_depth") < 2) | F.col("text").rlike(r"^\s*\]")
+    units = units.withColumn("opens", F.when(apart, opened != ""))
+    units = scan.filled(units, by, ["unit"], F.col("opens"), "inside")
+    start = F.when(apart, F.regexp_extract("text", r'(?s)"features"\s*:\s*\[\s*(\{.*)$', 1)).otherwise(F.regexp_extract("text", r"(?s)^[\s,]*(\{.*)$", 1))
+    return units.where(F.col("inside") & (start != "")).select("artifact", "unit", start.alias("text"), (F.col("ends") == 1).alias("whole"))
 
 
 def read_geojson(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(records, bad rows): features of a collection, properties lifted, [longitude, latitude] taken apart; no point or coordinates out of range is bad."""
-    docs = spark.read.option("wholetext", "true").text(path).select(F.try_parse_json("value").alias("doc"))
-    features = docs.select(F.explode(F.try_variant_get("doc", "$.features", "array<variant>")).alias("f"))
-    return split_features(features)
+    """(records, bad rows): features of collections, properties lifted, [longitude, latitude] taken apart.
+
+    Bad are features without a point, with coordinates out of range, that aren't JSON, or that the end of a file cuts off.
+    """
+    units = stored(geojson_units(spark, path), "features")
+    doc = F.when(F.col("whole"), F.try_parse_json("text"))
+    features = units.select(doc.alias("f"), "text")
+    records, bad = split_features(features.where(F.col("f").isNotNull()))
+    return records, bad.unionByName(features.where(F.col("f").isNull()).select(F.col("text").alias("_raw")))
 
 
 def split_features(features: DataFrame, f: str = "f") -> tuple[DataFrame, DataFrame]:
