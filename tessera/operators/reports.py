@@ -130,11 +130,16 @@ def export_summary(received: DataFrame, unique: DataFrame) -> DataFrame:
     return r.join(u).select("received", (F.col("received") - F.col("unique")).alias("deduplicated"), "unique", "written", "skipped")
 
 
+def newly_dead(before: DataFrame, checks: DataFrame) -> DataFrame:
+    """(id): what is dead by its check and wasn't before, a row each."""
+    dead = checks.where(F.col("status") == "dead").select("id").distinct()
+    return dead.join(before.where(F.col("status") == "dead").select("id"), "id", "left_anti")
+
+
 def health_summary(before: DataFrame, checks: DataFrame) -> DataFrame:
-    """One row: totals of the checks and the sorted ids that are dead now and weren't."""
-    joined = checks.select("id", "status").join(before.select("id", F.col("status").alias("_old")), "id", "left")
-    newly = F.when((F.col("status") == "dead") & F.coalesce(F.col("_old") != "dead", F.lit(True)), F.col("id"))
-    return joined.agg(F.count("*").alias("total"), *[F.count_if(F.col("status") == s).alias(s) for s in ("live", "dead", "unknown")], F.array_sort(F.collect_set(newly)).alias("newly_dead"))
+    """One row: totals of the checks, and how many ids are newly dead."""
+    totals = checks.agg(F.count("*").alias("total"), *[F.count_if(F.col("status") == s).alias(s) for s in ("live", "dead", "unknown")])
+    return totals.join(newly_dead(before, checks).agg(F.count("*").alias("newly_dead")))  # a row each
 
 
 def with_health(records: DataFrame, checks: DataFrame) -> DataFrame:

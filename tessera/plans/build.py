@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -65,12 +66,15 @@ def build_catalogue(candidates: DataFrame, seen: Observations, as_of: str, minim
     return resolve.deduplicate(rows)
 
 
-def maintain(records: DataFrame, checks: DataFrame, log: DataFrame, threshold: int = 4) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(records with new status, changes, review queue, summary). checks: id, status, checked_at; log: id, ts, status of all checks."""
-    streaks = windows.failure_streaks(log)
-    return (
-        reports.with_health(records, checks),
-        windows.status_changes(log),
-        windows.review_queue(streaks, threshold),
-        reports.health_summary(records, checks),
-    )
+def maintain(records: DataFrame, checks: DataFrame, log: DataFrame, threshold: int = 4, order: Sequence[str] = ("ts",)) -> dict[str, DataFrame]:
+    """records with new status, changes, review queue, newly dead ids and summary, by these names.
+
+    checks: id, status, checked_at; log: id, status and the columns of `order`, of all checks.
+    """
+    return {
+        "records": reports.with_health(records, checks),
+        "changes": windows.status_changes(log, order=order),
+        "review": windows.review_queue(windows.failure_streaks(log, order=order), threshold),
+        "newly_dead": reports.newly_dead(records, checks),
+        "summary": reports.health_summary(records, checks),
+    }

@@ -8,6 +8,7 @@ an operator tells apart. The SQL derives the same and states the rules in its ow
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -599,7 +600,7 @@ def j16_with_health(spark, sf):
 @query(
     f"""with {LOG}, checks as (select id, arg_max(status, seq) as status from log group by 1)
 select count(*) as total, count(*) filter (status = 'live') as live, count(*) filter (status = 'dead') as dead, count(*) filter (status = 'unknown') as unknown,
-  list_sort(coalesce(list(id) filter (status = 'dead' and not cast(id as bigint) % 5 = 0), [])) as newly_dead from checks"""
+  count(*) filter (status = 'dead' and not cast(id as bigint) % 5 = 0) as newly_dead from checks"""
 )
 def a18_health_summary(spark, sf):
     """Every fifth was dead before."""
@@ -609,6 +610,33 @@ def a18_health_summary(spark, sf):
     return reports.health_summary(before, checks)
 
 
+@query(
+    f"""with {LOG}, checks as (select id, arg_max(status, seq) as status from log group by 1),
+runs as (select *, lag(status) over (partition by id order by ts, seq) as old_status, sum(case when status = 'live' then 1 else 0 end) over (partition by id order by ts, seq rows unbounded preceding) as run from log),
+streaks as (select *, sum(case when status = 'dead' then 1 else 0 end) over (partition by id, run order by ts, seq rows unbounded preceding) as streak from runs)
+select 'records' as part, cast(c_custkey as varchar) as id, null::bigint as seq, coalesce(k.status, case when c_custkey % 5 = 0 then 'dead' else 'live' end) as detail from customer left join checks k on k.id = cast(c_custkey as varchar)
+union all select 'changes', id, seq, old_status || '>' || status from runs where old_status <> status
+union all select 'review', id, seq, streak::varchar from streaks where streak >= 2
+union all select 'newly_dead', id, null, 'dead' from checks where status = 'dead' and cast(id as bigint) % 5 > 0
+union all select 'summary', null, null, count(*) || ' ' || count(*) filter (status = 'dead') || ' ' || count(*) filter (status = 'dead' and cast(id as bigint) % 5 > 0) from checks"""
+)
+def plan_maintenance(spark, sf):
+    """A whole maintenance run: every table that it gives, as rows of one."""
+    log = health_log(spark, sf)
+    checks = status.latest(log.select("id", "seq", "status"), "id", "seq").select("id", "status", F.col("seq").cast("string").alias("checked_at"))
+    k = F.col("c_custkey")
+    records = table(spark, sf, "customer").select(k.cast("string").alias("id"), F.when(k % 5 == 0, "dead").otherwise("live").alias("status"), F.lit("never").alias("last_verified"))
+    made = build.maintain(records, checks, log, 2, ("ts", "seq"))
+    none = {"id": no_text(), "seq": F.lit(None).cast("bigint"), "detail": F.col("status")}
+    told = {
+        "records": {"id": F.col("id")}, "changes": {"id": F.col("id"), "seq": F.col("seq"), "detail": F.concat_ws(">", "old_status", "status")},
+        "review": {"id": F.col("id"), "seq": F.col("seq"), "detail": F.col("streak").cast("string")}, "newly_dead": {"id": F.col("id"), "detail": F.lit("dead")},
+        "summary": {"detail": F.concat_ws(" ", "total", "dead", "newly_dead")},
+    }
+    parts = [made[part].select(F.lit(part).alias("part"), *[c.alias(name) for name, c in (none | columns).items()]) for part, columns in told.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query(f"with {LOCATED}, u as (select url, min(latitude) as latitude from located group by 1) select (select count(*) * 2 from located) as received, (select count(*) * 2 from located) - count(*) as deduplicated, count(*) as \"unique\", count(latitude) as written, count(*) - count(latitude) as skipped from u")
 def a19_export_summary(spark, sf):
     rows = located(spark, sf)
@@ -693,13 +721,13 @@ def e8_forward_filled(spark, sf):
 
 
 @query(
-    f"""with {MADE}, d as (select k as seq, url from made where k % 3 <> 0), s as (select k as seq, url from made where k % 2 = 0), m as (select * from d union all select * from s)
+    f"""with {MADE}, d as (select k as seq, url from made where k % 3 <> 0), s as (select k as seq, url from made where k % 2 = 0 or k % 3 = 0), m as (select * from d union all select * from s)
 select contains(url, '.m3u8') as is_stream, url, min(seq) as seq from m group by all"""
 )
 def u_split_candidates(spark, sf):
     """Candidates of two producers, united and parted into streams and the rest, the first of a URL each."""
     rows = made_urls(spark, sf).withColumnRenamed("k", "seq")
-    streams, rest = files.split_candidates(rows.where("seq % 3 <> 0"), rows.where("seq % 2 = 0").withColumn("from", F.lit("search")))
+    streams, rest = files.split_candidates(rows.where("seq % 3 <> 0"), rows.where("seq % 2 = 0 or seq % 3 = 0").withColumn("from", F.lit("search")))
     return streams.withColumn("is_stream", F.lit(True)).unionByName(rest.withColumn("is_stream", F.lit(False))).select("is_stream", "url", "seq")
 
 

@@ -41,7 +41,8 @@ def test_reports(spark):
     assert tuple(R.export_summary(rows, rows.limit(2)).first()) == (3, 1, 2, 1, 1)
     before = spark.createDataFrame([("1", "live"), ("2", "dead")], "id string, status string")
     checks = spark.createDataFrame([("1", "dead", "d"), ("2", "dead", "d"), ("3", "dead", "d")], "id string, status string, checked_at string")
-    assert R.health_summary(before, checks).first()["newly_dead"] == ["1", "3"]
+    assert R.health_summary(before, checks).first().asDict() == {"total": 3, "live": 0, "dead": 3, "unknown": 0, "newly_dead": 2}
+    assert sorted(r["id"] for r in R.newly_dead(before, checks).collect()) == ["1", "3"]
     kept = R.with_health(before.withColumn("last_verified", F.lit("x")), checks.limit(1)).orderBy("id").collect()
     assert [(r["status"], r["last_verified"]) for r in kept] == [("dead", "d"), ("dead", "x")]
     e = R.error_counts(spark.createDataFrame([("f", "HTTP 403 Forbidden, timed out"), ("f", None)], "a string, t string"), "a", "t").collect()
