@@ -51,7 +51,7 @@ def merge_all(piece: bytes, ranks: dict[bytes, int], least: int = 1) -> list[int
 class Transducer:
     """Encodes one piece of bytes at a time. max_states bounds the memory; beyond it the states are built anew."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 80_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 130_000):
         self.ranks, self.max_states = ranks, max_states
         self.tokens = {rank: token for token, rank in ranks.items()}
         #: A trie over the tokens: for each node its children by byte, and the rank that ends there.
@@ -198,7 +198,7 @@ class Transducer:
 class _Pieces(dict):
     """Packed ids by piece of text, in two generations: what is in use survives when the older one goes."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 80_000, longest: int = 64):
+    def __init__(self, ranks: dict[bytes, int], most: int = 120_000, longest: int = 64):
         super().__init__()
         self.transducer, self.most, self.longest = Transducer(ranks), most, longest
         self.older: dict[str, bytes] = {}
