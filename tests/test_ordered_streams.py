@@ -102,3 +102,18 @@ def test_heartbeat_tells_stage_counters_and_stop(spark, tmp_path):
         assert any(stop for *_, stop in want.values())
         assert {r["beat"]: (r["stage"], r["lines"], r["hits"], r["counters"], r["stop_at"]) for r in got if r["run"] == run} == want
         assert all(r["stop"] == (r["stop_at"] is not None) for r in got)
+
+
+def test_keys_share_calls_of_the_state_store(spark, tmp_path):
+    """State lies by parts of keys: with 4,000 keys its rows are bounded by the parts, and each key's checks are told in order."""
+    from tessera.streaming import ordered
+
+    schema = "id string, ts timestamp, seq long, status string"
+    rows = [(f"k{i % 4000}", T0 + timedelta(minutes=i // 4000), i, "dead") for i in range(8000)]
+    spark.createDataFrame([*rows[4000:], *rows[:4000], *ends(rows)], schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    states = J.health_states(J.read_stream(spark, f"{tmp_path}/in", schema, fmt="parquet"))
+    query = states.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 6 * ordered.PARTS < 4000
+    got = spark.read.parquet(f"{tmp_path}/out").where("id <> 'zz-last'").collect()
+    assert len(got) == 8000 and all((r["checks"], r["streak"]) == ((1, 1) if r["ts"] == T0 else (2, 2)) for r in got)
