@@ -227,7 +227,8 @@ def x3_page_links(spark, sf):
 def x1_stream_links(spark, sf):
     """Links of pages that match a wanted pattern, here words with th."""
     rows = extract.stream_links(table(spark, sf, "pages"), wanted=r"(?i)^https?://[^/]+/(?=[a-z]*$)[a-z]*th[a-z]*$")
-    return rows.where(F.size("embedded") > 0).select(F.col("url").alias("page"), F.array_sort("embedded").alias("links"))
+    links = rows.select(F.col("url").alias("page"), F.explode("embedded").alias("link")).distinct()  # a page may be stored twice
+    return links.groupBy("page").agg(F.array_sort(F.collect_list("link")).alias("links"))
 
 
 @query(

@@ -90,3 +90,14 @@ def test_logs(spark):
     assert {tuple(r) for r in counts.collect()} == {("www.a.example", 1), ("e.example", 2)}
     assert [r["url"] for r in recent.collect()] == ["http://e.example/cam1.m3u8"]
     assert [r["url"] for r in E.harvested_urls(spark.createDataFrame([("a https://x.example/live/1 https://x.example/p",), (None,)], "t string"), "t").collect()] == ["https://x.example/live/1"]
+
+
+def test_a_page_stored_twice_is_one(spark, tmp_path):
+    """x1 tells a page's links once, those of all its copies."""
+    from tessera import queries as Q
+
+    html = lambda *h: "".join(f'<a href="/{x}">x</a>' for x in h)
+    rows = [(1, "https://a.example/p", html("thin", "path")), (2, "https://a.example/p", html("moth", "thin")), (3, "https://a.example/q", html("none"))]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = [tuple(r) for r in Q.QUERIES["x1_stream_links"](spark, str(tmp_path)).collect()]
+    assert got == [("https://a.example/p", [f"https://a.example/{x}" for x in ("moth", "path", "thin")])]
