@@ -105,3 +105,16 @@ def test_graph(spark):
     assert len(graph.expand(roots, links, max_pages=2).collect()) == 2
     up = {r["url"]: r["parent_pages"] for r in graph.lineage(graph.expand(roots, links), 3).collect()}
     assert up["http://h/d"] == ["http://h/a", "http://h/b", "http://h/c"] and up["http://h/a"] == []
+
+
+def test_health_summary_names_the_newly_dead(spark, tmp_path):
+    """a18 tells which ids are newly dead, not only how many."""
+    from tessera import queries_observed as Q
+
+    events = [(0, 5, "error"), (1, 6, "error"), (2, 7, "error"), (3, 7, "view"), (4, 8, "other"), (5, 9, "view"), (6, 9, "error")]
+    made = spark.createDataFrame(events, "event_id long, user_id long, event_type string").withColumns({"ts": F.timestamp_seconds("event_id"), "value": F.lit(0.0)})
+    made.write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(20).select(F.col("id").alias("c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    got = Q.a18_health_summary(spark, str(tmp_path)).collect()
+    assert [tuple(r)[:5] for r in got if r["total"] is not None] == [(5, 1, 3, 1, 2)]
+    assert sorted(r["newly_dead_id"] for r in got if r["total"] is None) == ["6", "9"]
