@@ -184,3 +184,18 @@ def test_one_city_of_50_000_labels(spark):
     n = compared.count() + R._by_length(classes, R.RATIO).count()
     print(f"{n} of {50_000 * 49_999 // 2} pairs compared")
     assert n < 50_000 * 49_999 / 2 / 1000
+
+
+def test_few_long_labels_are_compared(spark):
+    """Labels of 60 letters of one language meet by length; their letters' bits leave few of the pairs, and those that are alike."""
+    rng = random.Random(6)
+    parts = ["the", "er", "in", "th", "an", "ou", "ea", "st", "on", "re", "ly", "sh", " ", " ", "tion"]
+    labels = ["".join(rng.choice(parts) for _ in range(40))[:60].replace("  ", "a ") for _ in range(600)]
+    labels += [x[:20] + "xyz" + x[23:] for x in labels[:20]]
+    members, edges = edges_of(spark, labels)
+    classes = members.where("cls = seq").select("cls", "city", "label", F.length("label").alias("n"), R.letter_bits(F.col("label")).alias("bits"))
+    got = {tuple(r) for r in edges.collect()}
+    assert {(i, 600 + i) for i in range(20)} <= got and got == alike_pairs(labels)
+    few = R._by_length(classes, R.RATIO).count()
+    print(f"{few} of {620 * 619 // 2} pairs compared")
+    assert few < 0.25 * 620 * 619 / 2
