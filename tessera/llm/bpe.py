@@ -4,9 +4,9 @@ A tokenisation of a piece is the BPE one exactly if each token merges to itself
 neighbours, merged alone, stays that pair. That makes a nondeterministic transducer whose states are
 (last finished token, place in the token trie). Every prefix has one BPE, so hypotheses differ only in
 where their unfinished token starts. The subsets of the deterministic one are built as input needs
-them; each member carries the tokens that not all members share yet, and a transition emits those that
-all do. So a token leaves after a bounded lookahead, and what is pending at the end of a piece is part of
-its last state. Finished pieces are remembered.
+them; each tells the last token of the prefix that it has read. So the tokens before any place follow from
+those that the walk has told on its way, and what the paths of all hypotheses share is settled: a token
+leaves after a bounded lookahead, or, of a short piece, when the piece has ended. Finished pieces are remembered.
 """
 
 from __future__ import annotations
@@ -16,8 +16,11 @@ import contextlib
 import re
 import struct
 import unicodedata
+from array import array
+from collections import deque
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import takewhile
 
 import pandas as pd
 import pyarrow as pa
@@ -51,49 +54,52 @@ def merge_all(piece: bytes, ranks: dict[bytes, int], least: int = 1) -> list[int
 class Transducer:
     """Encodes one piece of bytes at a time. max_states bounds the memory; beyond it the states are built anew."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 130_000):
+    #: Bytes of a piece that are walked over before what is settled leaves.
+    BLOCK = 4096
+
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 80_000):
         self.ranks, self.max_states = ranks, max_states
         self.tokens = {rank: token for token, rank in ranks.items()}
-        #: A trie over the tokens: for each node its children by byte, and the rank that ends there.
-        self.children: list[dict[int, int]] = [{}]
-        self.ends: list[int | None] = [None]
-        self.depth = [0]
+        #: A trie over the tokens: a node's child by node << 8 | byte, whether it has any, its depth, and the rank that ends there.
+        self.children: dict[int, int] = {}
+        self.inner, self.depth, self.ends = bytearray(1), array("H", [0]), [None]
         for token, rank in ranks.items():
             node = 0
             for byte in token:
-                nxt = self.children[node].get(byte)
+                nxt = self.children.get(node << 8 | byte)
                 if nxt is None:
-                    nxt = self.children[node][byte] = len(self.children)
-                    self.children.append({})
-                    self.ends.append(None)
+                    nxt = self.children[node << 8 | byte] = len(self.ends)
+                    self.inner[node] = 1
+                    self.inner.append(0)
                     self.depth.append(self.depth[node] + 1)
+                    self.ends.append(None)
                 node = nxt
             self.ends[node] = rank
         self.stable: dict[int, bool] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.halves: dict[int, tuple[int, int] | None] = {}
         #: Whether the halves of all tokens met so far rank before them, as in any trained vocabulary.
         self.ordered = True
-        #: Subsets of (last token, trie node, tokens not emitted yet), the one whose last token has just ended last.
-        self.states: list[tuple] = []
-        self.number: dict[tuple, int] = {}
-        #: For each state (tokens that are emitted, next state) by byte, and what is pending if the piece ends.
-        self.steps: list[dict[int, tuple[tuple[int, ...], int]]] = []
-        self.pending: list[tuple[int, ...]] = []
+        #: Subsets of last token + 1 << 32 | trie node, that whose last token has just ended last; that token; the next state by state << 8 | byte.
+        self.states: list[tuple[int, ...]] = []
+        self.number: dict[tuple[int, ...], int] = {}
+        self.last: list[int] = []
+        self.steps: dict[int, int] = {}
+        #: Of the last bytes streamed, tokens that weren't settled after each.
+        self.pending: deque[tuple[int, ...]] = deque(maxlen=self.BLOCK)
         self._restart()
 
     def _restart(self) -> None:
-        for held in (self.states, self.number, self.steps, self.pending):
+        for held in (self.states, self.number, self.last, self.steps):
             held.clear()
-        self._numbered(((-1, 0, ()),))
+        self._numbered((0,))
 
-    def _numbered(self, subset: tuple) -> int:
+    def _numbered(self, subset: tuple[int, ...]) -> int:
         to = self.number.get(subset)
         if to is None:
             to = self.number[subset] = len(self.states)
             self.states.append(subset)
-            self.steps.append({})
-            self.pending.append(subset[-1][2])
+            self.last.append((subset[-1] >> 32) - 1)
         return to
 
     def _halves(self, token: int) -> tuple[int, int] | None:
@@ -135,70 +141,100 @@ class Transducer:
             ok = self.stable[token] = merge_all(self.tokens[token], self.ranks) == [token]
         if not ok or last < 0:
             return ok
-        ok = self.fits.get((last, token))
+        ok = self.fits.get(last << 32 | token)
         if ok is None:
             if len(self.fits) > self.max_states:
                 self.fits.clear()
             ok = self._stay_apart(last, token)
             if not self.ordered:  # ranks that no training gives: by the definition
                 ok = merge_all(self.tokens[last] + self.tokens[token], self.ranks) == [last, token]
-            self.fits[last, token] = ok
+            self.fits[last << 32 | token] = ok
         return ok
 
-    def _step(self, state: int, byte: int) -> tuple[tuple[int, ...], int]:
-        """The tokens that this byte settles, and the next state."""
-        children, after, ended = self.children, [], None
-        for last, node, rest in self.states[state]:
-            node = children[node].get(byte)
+    def _step(self, state: int, byte: int) -> int:
+        """The next state."""
+        children, inner, ends, after, ended = self.children, self.inner, self.ends, [], None
+        for member in self.states[state]:
+            node = children.get((member & 0xFFFFFFFF) << 8 | byte)
             if node is None:
                 continue
-            if children[node]:
-                after.append((last, node, rest))
+            if inner[node]:
+                after.append(member >> 32 << 32 | node)
             if ended is None:
-                token = self.ends[node]
-                if token is not None and self._may_follow(last, token):
-                    ended = (token, 0, (*rest, token))
-        after.append(ended)
-        shortest = ended[2]
-        for member in after:
-            if len(member[2]) < len(shortest):
-                shortest = member[2]
-        shared = 0
-        while shared < len(shortest) and all(member[2][shared] == shortest[shared] for member in after):
-            shared += 1
-        subset = tuple([(last, node, rest[shared:]) for last, node, rest in after] if shared else after)
+                token = ends[node]
+                if token is not None and self._may_follow((member >> 32) - 1, token):
+                    ended = token
+        after.append(ended + 1 << 32)
+        subset = tuple(after)
         if len(self.states) >= self.max_states and subset not in self.number:
             self._restart()  # states are numbered anew; this step isn't kept
-            return shortest[:shared], self._numbered(subset)
-        self.steps[state][byte] = out = shortest[:shared], self._numbered(subset)
+            return self._numbered(subset)
+        self.steps[state << 8 | byte] = out = self._numbered(subset)
         return out
 
-    def stream(self, piece: Iterable[int]) -> Iterator[tuple[int, ...]]:
-        """Ids of a piece of any length, as soon as they are settled."""
-        state = 0
-        for byte in piece:
-            settled, state = self.steps[state].get(byte) or self._step(state, byte)
-            if settled:
-                yield settled
-        yield self.pending[state]
+    def _ending(self, state: int, byte: int) -> int:
+        """The last token after this byte."""
+        for member in self.states[state]:
+            node = self.children.get((member & 0xFFFFFFFF) << 8 | byte)
+            token = None if node is None else self.ends[node]
+            if token is not None and self._may_follow((member >> 32) - 1, token):
+                return token
+        raise ValueError("every byte must be a token")
+
+    def _path(self, told: list[int], upto: int) -> list[int]:
+        """The tokens of the first `upto` bytes, of which each told the last token that ends with it."""
+        out, tokens = [], self.tokens
+        while upto:
+            out.append(told[upto - 1])
+            upto -= len(tokens[out[-1]])
+        return out[::-1]
+
+    def _settled(self, told: list[int], state: int) -> tuple[int, ...]:
+        """The tokens that the paths of all hypotheses share; their bytes leave `told`."""
+        ends = sorted({len(told) - self.depth[member & 0xFFFFFFFF] for member in self.states[state]})
+        shared = self._path(told, ends[0])
+        for end in ends[1:]:
+            shared = [a for a, _ in takewhile(lambda pair: pair[0] == pair[1], zip(shared, self._path(told, end), strict=False))]
+        del told[: sum(len(self.tokens[token]) for token in shared)]
+        return tuple(shared)
+
+    def stream(self, piece: Iterable[int], every: int = 1) -> Iterator[tuple[int, ...]]:
+        """Ids of a piece of any length; after every so many bytes those that are settled."""
+        state, told, steps = 0, [], self.steps
+        for read, byte in enumerate(piece, 1):
+            following = steps.get(state << 8 | byte)
+            state = self._step(state, byte) if following is None else following
+            told.append(self.last[state])
+            if read % every == 0:
+                if settled := self._settled(told, state):
+                    yield settled
+                self.pending.append(tuple(self._path(told, len(told))))
+        yield tuple(self._path(told, len(told)))
 
     def encode(self, piece: bytes) -> list[int]:
         """Ids of one piece; a piece that is itself a token gives that token."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        state, out, steps = 0, [], self.steps
-        for byte in piece:
-            settled, state = steps[state].get(byte) or self._step(state, byte)
-            if settled:
-                out += settled
-        return [*out, *self.pending[state]]
+        if not piece:
+            return []
+        if len(piece) > self.BLOCK:
+            return [token for settled in self.stream(piece, self.BLOCK) for token in settled]
+        state, told, steps, last = 0, [], self.steps, self.last
+        for byte in piece[:-1]:
+            following = steps.get(state << 8 | byte)
+            state = self._step(state, byte) if following is None else following
+            told.append(last[state])
+        # of the whole piece only the last token is asked: few go on from there, so no state is made for it
+        following = steps.get(state << 8 | piece[-1])
+        told.append(self._ending(state, piece[-1]) if following is None else last[following])
+        return self._path(told, len(told))
 
 
 class _Pieces(dict):
     """Packed ids by piece of text, in two generations: what is in use survives when the older one goes."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 120_000, longest: int = 64):
+    def __init__(self, ranks: dict[bytes, int], most: int = 80_000, longest: int = 64):
         super().__init__()
         self.transducer, self.most, self.longest = Transducer(ranks), most, longest
         self.older: dict[str, bytes] = {}
@@ -355,8 +391,8 @@ class Decoder:
     chunk of such tokens is a join.
     """
 
-    def __init__(self, ranks_path: str, chunk: int = 1024):
-        self.tokens = {rank: token for token, rank in load_ranks(ranks_path).items()}
+    def __init__(self, ranks_path: str, chunk: int = 1024, tokens: dict[int, bytes] | None = None):
+        self.tokens = tokens or {rank: token for token, rank in load_ranks(ranks_path).items()}
         self.chunk = chunk
         self.moves: dict[tuple, tuple[str, tuple, bool]] = {}
         self.whole: dict[int, str] = {}
@@ -395,7 +431,11 @@ class Decoder:
 
 
 def _codec(ranks_path: str, pattern: str) -> tuple[Encoder, Decoder]:
-    return worker_cache("bpe", (ranks_path, pattern), lambda: (Encoder(ranks_path, pattern), Decoder(ranks_path)))
+    def both() -> tuple[Encoder, Decoder]:
+        encoder = Encoder(ranks_path, pattern)
+        return encoder, Decoder(ranks_path, tokens=encoder.pieces.transducer.tokens)
+
+    return worker_cache("bpe", (ranks_path, pattern), both)
 
 
 def encode(text: Column, ranks_path: str, pattern: str) -> Column:

@@ -123,3 +123,19 @@ def test_tables(spark, edge, reference):
     assert bpe.tokenize(edge.limit(0), PATH, P.PATTERN).count() == 0
     pair = edge.select("text", bpe.encode(F.col("text"), PATH, P.PATTERN).alias("e")).withColumn("d", bpe.decode(F.col("e"), PATH, P.PATTERN))
     assert all(r["d"] == (r["text"] or "") for r in pair.collect())
+
+
+def test_states_are_few_and_built_anew(reference):
+    """Words of random syllables: no state for the last byte of a piece, and the same ids when states are dropped amid a piece."""
+    rng = random.Random(11)
+    ranks = bpe.load_ranks(PATH)
+    words = ["".join(rng.choice(("th", "er", "on", "tion", "ß", "nd", "wh", "ea", "st", "世")) for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+    words = [w for w in dict.fromkeys(words) if w.encode() not in ranks]
+    large, small = bpe.Transducer(ranks), bpe.Transducer(ranks, max_states=40)
+    assert large.encode(b"") == [] and large.encode(words[0].encode()) and len(large.states) <= len(words[0].encode())
+    prefixes = {w.encode()[:n] for w in words for n in range(len(w.encode()))}
+    for w in words:
+        assert large.encode(w.encode()) == small.encode(w.encode()) == reference.encode_ordinary(w), w
+    assert len(large.states) <= len(prefixes) and len(small.states) <= 41
+    long = "".join(words).encode()
+    assert len(long) > 4 * large.BLOCK and large.encode(long) == [x for part in small.stream(long) for x in part] == reference.encode_ordinary(long.decode())
