@@ -42,6 +42,8 @@ RECALL, PROBES = 0.98, 256
 #: Vectors that are ranked together: leaves below one node that stand for so many are a branch, to which a query
 #: goes once with the list of its leaves. Larger branches, and those that more queries visit, are dealt out in parts.
 PART = 4096
+#: Cosines that are worked out at once.
+BLOCK = 1 << 20
 
 
 @dataclass
@@ -205,24 +207,34 @@ def _parts(rows: DataFrame, most: int) -> dict[tuple[int, int], int]:
 
 
 def _ranked(asked: pa.Table, filed: pa.Table, dims: int, k: int, schema: pa.Schema) -> pa.Table:
-    """The k best of a branch's vectors for each query, among the leaves that it visits."""
+    """The k best of a branch's vectors for each query, among the leaves that it visits.
+
+    Queries go through a product of matrices a block at a time; vectors of leaves that one doesn't visit are ruled out of its row.
+    """
     if not asked.num_rows or not filed.num_rows:
         return schema.empty_table()
-    x, leaf = _matrix(filed["v"], dims), filed["leaf"].to_numpy()
-    low = int(leaf.min())
+    rows = _scaled(_matrix(filed["v"], dims))
+    xn = np.sqrt((rows * rows).sum(axis=1))
+    unit = (rows / xn[:, None]).T
+    kinds, place = np.unique(filed["leaf"].to_numpy(), return_inverse=True)
+    known = {n: i for i, n in enumerate(kinds.tolist())}
+    all_q, all_leaves = _scaled(_matrix(asked["v"], dims)), asked["leaves"].to_pylist()
     qs, xs, scores = [], [], []
-    for i, (q, leaves) in enumerate(zip(_matrix(asked["v"], dims), asked["leaves"].to_pylist(), strict=True)):
-        wanted = np.zeros(int(leaf.max()) - low + 1, bool)
-        inside = np.array(leaves) - low
-        wanted[inside[(inside >= 0) & (inside < len(wanted))]] = True
-        rows = np.flatnonzero(wanted[leaf - low])
-        if len(rows):
-            _, best, score = _best(q[None, :], x[rows], k)
-            qs.append(np.full(len(best), i))
-            xs.append(rows[best])
-            scores.append(score)
-    if not qs:
-        return schema.empty_table()
+    block = max(1, BLOCK // len(rows))
+    for begin in range(0, len(all_q), block):
+        q = all_q[begin : begin + block]
+        visited = np.zeros((len(q), len(kinds)), bool)
+        for i, leaves in enumerate(all_leaves[begin : begin + block]):
+            visited[i, [known[n] for n in leaves if n in known]] = True
+        qn = np.sqrt((q * q).sum(axis=1))
+        rough = (q / qn[:, None]) @ unit
+        rough[~visited[:, place]] = -np.inf
+        at = max(0, len(rows) - k)
+        floor = np.maximum(np.partition(rough, at, axis=1)[:, at] - 1e-9, -2)  # cosines are above that, what was ruled out is below
+        qi, xi = np.nonzero(rough >= floor[:, None])
+        qs.append(qi + begin)
+        xs.append(xi)
+        scores.append((q[qi] * rows[xi]).sum(axis=1) / (qn[qi] * xn[xi]))
     at = pa.array(np.concatenate(qs))
     return pa.table([asked["q"].take(at), filed["ids"].take(pa.array(np.concatenate(xs))), pa.array(np.concatenate(scores))], schema=schema)
 
