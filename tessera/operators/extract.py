@@ -223,9 +223,12 @@ def playlist_variants(playlists: DataFrame, url: str = "url", body: str = "body"
     """(url, n, variant): for each stream entry of a master playlist the next line that is no tag, absolute, distinct in order."""
     lines = F.filter(F.transform(F.split(F.coalesce(F.col(body), F.lit("")), r"\r?\n"), lambda s: F.trim(s)), lambda s: s != "")
     marked = F.filter(lines, lambda s: F.startswith(s, F.lit("#EXT-X-STREAM-INF")) | ~F.startswith(s, F.lit("#")))
-    follow = F.filter(F.zip_with(marked, F.slice(marked, 2, 1 << 20), lambda a, b: F.when(F.startswith(a, F.lit("#EXT-X-STREAM-INF")) & ~F.startswith(b, F.lit("#")), b)), lambda s: s.isNotNull())
-    found = F.array_distinct(F.transform(follow, lambda s: U.resolved(s, F.col(url))))
-    return playlists.withColumn("_found", found).select(F.col(url).alias("url"), F.posexplode("_found").alias("n", "variant"))
+    # one value of a list of one, so that both uses share it
+    pairs = F.transform(F.array(marked), lambda m: F.zip_with(m, F.slice(m, 2, F.greatest(F.size(m), F.lit(1))), lambda a, b: F.when(F.startswith(a, F.lit("#EXT-X-STREAM-INF")) & ~F.startswith(b, F.lit("#")), b)))[0]
+    found = F.array_distinct(F.transform(F.filter(pairs, lambda s: s.isNotNull()), lambda s: U.resolved(s, F.col(url))))
+    # not the inner one: Spark would work the list out again, twice, to leave out rows without any
+    rows = playlists.withColumn("_found", found).select(F.col(url).alias("url"), F.posexplode_outer("_found").alias("n", "variant"))
+    return rows.where(F.col("n").isNotNull())
 
 
 #: Words of URLs that name no place (fixed values).
