@@ -7,6 +7,7 @@ where their unfinished token starts. The subsets of the deterministic one are bu
 them; each tells the last token of the prefix that it has read. So the tokens before any place follow from
 those that the walk has told on its way, and what the paths of all hypotheses share is settled: a token
 leaves after a bounded lookahead, or, of a short piece, when the piece has ended. Finished pieces are remembered.
+Short pieces of many texts are walked over together, a byte of each at a time, with the states in arrays.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import takewhile
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -231,14 +233,258 @@ class Transducer:
         return self._path(told, len(told))
 
 
+class Table:
+    """Keys from 0 on to values from 0 on, open addressing in arrays; many are asked or added at once. -1: not there."""
+
+    def __init__(self, bits: int = 12):
+        self.bits, self.count = bits, 0
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.empty(1 << bits, np.int32)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        slots = self._slots(keys)
+        held = self.keys[slots]
+        hit = held == keys
+        out = np.where(hit, self.values[slots], -1)
+        left = np.flatnonzero(~hit & (held != -1))
+        while left.size:
+            slots[left] = at = slots[left] + 1 & (1 << self.bits) - 1
+            held = self.keys[at]
+            hit = held == keys[left]
+            out[left[hit]] = self.values[at[hit]]
+            left = left[~hit & (held != -1)]
+        return out
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Distinct keys that aren't there."""
+        if 2 * (self.count + len(keys)) > 1 << self.bits:
+            there = self.keys != -1
+            keys, values = np.concatenate([self.keys[there], keys]), np.concatenate([self.values[there], values])
+            self.__init__((2 * len(keys)).bit_length() + 1)
+        self.count += len(keys)
+        slots, left = self._slots(keys), np.arange(len(keys))
+        while left.size:
+            free = left[self.keys[slots[left]] == -1]
+            self.keys[slots[free]] = keys[free]  # of keys that meet in a slot one stays
+            mine = self.keys[slots[left]] == keys[left]
+            self.values[slots[left[mine]]] = values[left[mine]]
+            left = left[~mine]
+            slots[left] = slots[left] + 1 & (1 << self.bits) - 1
+
+
+class _Rows:
+    """An array that rows are put to the end of."""
+
+    def __init__(self, kind: type):
+        self.array, self.size = np.empty(1 << 12, kind), 0
+
+    def extend(self, more: np.ndarray) -> None:
+        if self.size + len(more) > len(self.array):
+            self.array = np.concatenate([self.array[: self.size], np.empty(self.size + 2 * len(more), self.array.dtype)])
+        self.array[self.size : self.size + len(more)] = more
+        self.size += len(more)
+
+
+class Lockstep:
+    """The transducer's walk over many pieces together, a byte of each at a time.
+
+    States are the transducer's subsets, in arrays; the steps that no piece has taken before are worked out together. Beyond
+    the transducer's max_states they are built anew, before the next walk; a walk adds BYTES at most.
+    """
+
+    #: Bytes of pieces that are walked over together.
+    BYTES = 1 << 18
+
+    def __init__(self, transducer: Transducer):
+        self.transducer = transducer
+        ranks, many = transducer.ranks, max(transducer.tokens) + 1
+        self.length = np.zeros(many, np.int64)
+        for rank, token in transducer.tokens.items():
+            self.length[rank] = len(token)
+        self.inner = np.frombuffer(bytes(transducer.inner), np.bool_)
+        self.ends = np.array([-1 if rank is None else rank for rank in transducer.ends], np.int64)
+        self.children, self.joins = Table(), Table()
+        self.children.add(*(np.fromiter(x, np.int64) for x in (transducer.children, transducer.children.values())))
+        pairs, joined = array("q"), array("q")
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    pairs.append(left << 32 | right)
+                    joined.append(rank)
+        self.joins.add(np.array(pairs, np.int64), np.array(joined, np.int64))
+        #: By token: its halves (-1: a single byte) and whether it merges to itself; -2 is not known yet.
+        self.left, self.right, self.stable = (np.full(many, -2, kind) for kind in (np.int64, np.int64, np.int8))
+        self._restart()
+
+    def _restart(self) -> None:
+        #: Members of the subsets, one after another; where each begins; the last token of each.
+        self.members, self.begins, self.last = _Rows(np.int64), _Rows(np.int64), _Rows(np.int64)
+        self.number: dict[bytes, int] = {}
+        self.steps = Table()
+        self._numbered(np.zeros(1, np.int64), np.ones(1, np.int64))
+
+    def _numbered(self, members: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Numbers of subsets that lie one after another."""
+        stops = np.cumsum(sizes)
+        packed, out, new, start, number = members.tobytes(), [], [], 0, self.number
+        for i, stop in enumerate((8 * stops).tolist()):
+            subset, start = packed[start:stop], stop
+            to = number.get(subset)
+            if to is None:
+                to = number[subset] = len(number)
+                new.append(i)
+            out.append(to)
+        many = sizes[new]
+        first = np.cumsum(many) - many
+        rows = np.repeat((stops - sizes)[new] - first, many) + np.arange(many.sum())
+        self.begins.extend(self.members.size + first)
+        self.members.extend(members[rows])
+        self.last.extend((members[stops[new] - 1] >> 32) - 1)
+        return np.array(out, np.int64)
+
+    def _known_halves(self, tokens: np.ndarray) -> None:
+        for token in np.unique(tokens[self.left[tokens] == -2]).tolist():
+            self.left[token], self.right[token] = self.transducer._halves(token) or (-1, -1)
+
+    def _stay_apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """As of the transducer, of many pairs."""
+        out, pairs = np.ones(len(a), np.bool_), np.arange(len(a))
+        left_until = right_until = np.full(len(a), 1 << 62)
+        while pairs.size:
+            joined = self.joins.get(a << 32 | b)
+            meet = (joined >= 0) & (joined < left_until) & (joined <= right_until)
+            out[pairs[meet]] = False
+            self._known_halves(a)
+            self._known_halves(b)
+            left, right = self.right[a], self.left[b]
+            go = ~meet & ((left >= 0) | (right >= 0))
+            undo = (right < 0) | (left >= 0) & (a > b)
+            left_until, right_until = np.where(undo, a, left_until)[go], np.where(undo, right_until, b)[go]
+            a, b, pairs = np.where(undo, left, a)[go], np.where(undo, b, right)[go], pairs[go]
+        return out
+
+    def _may_follow(self, last: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        pairs, back = np.unique(last + 1 << 32 | tokens, return_inverse=True)
+        last, tokens = (pairs >> 32) - 1, pairs & 0xFFFFFFFF
+        for token in np.unique(tokens[self.stable[tokens] == -2]).tolist():
+            self.stable[token] = self.transducer._may_follow(-1, token)
+        ok = self.stable[tokens] == 1
+        asked = np.flatnonzero(ok & (last >= 0))
+        ok[asked] = self._stay_apart(last[asked], tokens[asked])
+        if not self.transducer.ordered:  # by the definition
+            ok = np.array([self.transducer._may_follow(a, b) for a, b in zip(last.tolist(), tokens.tolist(), strict=True)], np.bool_)
+        return ok[back]
+
+    def _ended(self, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of steps (state << 8 | byte): the last token after each; which step each member comes of, its last token + 1 and its place in the trie."""
+        states, begins = steps >> 8, self.begins.array
+        stops = np.where(states + 1 < self.begins.size, begins[np.minimum(states + 1, self.begins.size - 1)], self.members.size)
+        many = stops - begins[states]
+        of = np.repeat(np.arange(len(steps)), many)
+        members = self.members.array[np.repeat(begins[states] - (np.cumsum(many) - many), many) + np.arange(len(of))]
+        nodes = self.children.get((members & 0xFFFFFFFF) << 8 | (steps & 0xFF)[of])
+        there = nodes >= 0
+        of, last, nodes = of[there], members[there] >> 32, nodes[there].astype(np.int64)
+        tokens = self.ends[nodes]
+        whole = np.flatnonzero(tokens >= 0)
+        fit = whole[self._may_follow(last[whole] - 1, tokens[whole])]
+        found, first = np.unique(of[fit], return_index=True)
+        if len(found) < len(steps):
+            raise ValueError("every byte must be a token")
+        return tokens[fit[first]], of, last, nodes
+
+    def _step(self, steps: np.ndarray) -> np.ndarray:
+        """The next states of steps that weren't taken before."""
+        ended, of, last, nodes = self._ended(steps)
+        on = self.inner[nodes]
+        of, after = of[on], last[on] << 32 | nodes[on]
+        sizes = np.bincount(of, minlength=len(steps)) + 1
+        members, tails = np.empty(len(after) + len(steps), np.int64), np.cumsum(sizes) - 1
+        members[tails] = ended + 1 << 32
+        members[np.arange(len(after)) + of] = after  # before it are as many tails as steps
+        out = self._numbered(members, sizes)
+        self.steps.add(steps, out)
+        return out
+
+    def _walk(self, pieces: list[bytes]) -> list[bytes]:
+        if len(self.number) >= self.transducer.max_states:
+            self._restart()
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        starts = np.cumsum(sizes) - sizes
+        order = np.argsort(-sizes, kind="stable")
+        at, data = starts[order], np.frombuffer(b"".join(pieces), np.uint8)
+        told, states = np.empty(len(data), np.int64), np.zeros(len(pieces), np.int64)
+        longer = np.searchsorted(-sizes[order], -np.arange(sizes.max() + 1)).tolist()
+        for place, (here, on) in enumerate(zip(longer, longer[1:], strict=False)):
+            where = at[:here] + place
+            steps = states[:here] << 8 | data[where]
+            to = self.steps.get(steps).astype(np.int64)
+            for span in (slice(0, on), slice(on, here)):
+                unknown = np.flatnonzero(to[span] < 0)
+                last = self.last.array[np.maximum(to[span], 0)]
+                if unknown.size:
+                    new, back = np.unique(steps[span][unknown], return_inverse=True)
+                    if span.stop == on:
+                        to[unknown] = got = self._step(new)[back]
+                        last[unknown] = self.last.array[got]
+                    else:  # of a whole piece only the last token is asked
+                        last[unknown] = self._ended(new)[0][back]
+                told[where[span]] = last
+            states = to[:on]
+        # backwards: where the tokens end
+        marked, piece, upto = np.zeros(len(data), np.bool_), starts, starts + sizes
+        while piece.size:
+            marked[upto - 1] = True
+            upto = upto - self.length[told[upto - 1]]
+            more = upto > piece
+            piece, upto = piece[more], upto[more]
+        packed = told[marked].astype("<u4").tobytes()
+        stops = (4 * np.cumsum(marked)[starts + sizes - 1]).tolist()
+        return [packed[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+
+    def encode(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of pieces that aren't empty, each as the transducer's."""
+        out, start, held = [], 0, 0
+        for i, piece in enumerate(pieces):
+            if held + len(piece) > self.BYTES and i > start:
+                out += self._walk(pieces[start:i])
+                start, held = i, 0
+            held += len(piece)
+        if start < len(pieces):
+            out += self._walk(pieces[start:])
+        ranks = self.transducer.ranks
+        return [ids if (whole := ranks.get(piece)) is None else struct.pack("<I", whole) for piece, ids in zip(pieces, out, strict=True)]
+
+
 class _Pieces(dict):
     """Packed ids by piece of text, in two generations: what is in use survives when the older one goes."""
 
     def __init__(self, ranks: dict[bytes, int], most: int = 80_000, longest: int = 64):
         super().__init__()
         self.transducer, self.most, self.longest = Transducer(ranks), most, longest
+        self.lockstep = Lockstep(self.transducer)
         self.older: dict[str, bytes] = {}
 
+    def learn(self, pieces: Iterable[str]) -> None:
+        """Hold these pieces, those not known yet walked over together; longer ones are left out."""
+        if len(self) >= self.most:
+            self._age()
+        new, older = [], self.older
+        for piece in pieces:
+            if piece not in self and len(piece) <= self.longest:
+                if (packed := older.get(piece)) is None:
+                    new.append(piece)
+                else:
+                    self[piece] = packed
+        self.update(zip(new, self.lockstep.encode([piece.encode() for piece in new]), strict=True))
+
+    def _age(self) -> None:
+        self.older = dict(self)
+        self.clear()
+
     def __missing__(self, piece: str) -> bytes:
         packed = self.older.get(piece)
         if packed is None:
@@ -246,8 +492,7 @@ class _Pieces(dict):
             packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= self.longest:
             if len(self) >= self.most:
-                self.older = dict(self)
-                self.clear()
+                self._age()
             self[piece] = packed
         return packed
 
@@ -317,15 +562,34 @@ def _odd() -> frozenset[str]:
 class Encoder:
     """Whole texts to packed ids: little-endian unsigned 32-bit integers."""
 
+    #: Characters of texts whose pieces are looked at together.
+    CHARS = 1 << 19
+
     def __init__(self, ranks_path: str, pattern: str):
         self.pieces = _Pieces(load_ranks(ranks_path))
         self.exact, self.common, self.odd = compile_pattern(pattern), _common_pattern(pattern), _odd()
 
+    def _split(self, text: str | None) -> list[str]:
+        return (self.common if self.odd.isdisjoint(text) else self.exact).findall(text) if text else []
+
     def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        pattern = self.common if self.odd.isdisjoint(text) else self.exact
-        return b"".join(map(self.pieces.__getitem__, pattern.findall(text)))
+        return b"".join(map(self.pieces.__getitem__, self._split(text)))
+
+    def all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """The ids of each text in turn."""
+        held, chars = [], 0
+        for text in texts:
+            held.append(self._split(text))
+            chars += len(text or "")
+            if chars >= self.CHARS:
+                yield from self._joined(held)
+                held, chars = [], 0
+        yield from self._joined(held)
+
+    def _joined(self, split: list[list[str]]) -> Iterator[bytes]:
+        self.pieces.learn(set().union(*split))
+        for pieces in split:
+            yield b"".join(map(self.pieces.__getitem__, pieces))
 
 
 class Utf8Stream:
@@ -448,7 +712,7 @@ def encode(text: Column, ranks_path: str, pattern: str) -> Column:
     @F.pandas_udf("binary")
     def ids(texts: pd.Series) -> pd.Series:
         encoder = _codec(ranks_path, pattern)[0]
-        return pd.Series([encoder(x) for x in texts], dtype=object)
+        return pd.Series(list(encoder.all(texts)), dtype=object)
 
     return ids(text)
 
@@ -477,7 +741,7 @@ def tokenize(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = _codec(ranks_path, pattern)
         for batch in batches:
-            packed = [encoder(x) for x in batch.column(at).to_pylist()]
+            packed = list(encoder.all(batch.column(at).to_pylist()))
             texts = [decoder.text(x)[0] for x in packed]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(packed, pa.binary()), pa.array(texts, pa.string())], names=[*batch.schema.names, ids, decoded])
 

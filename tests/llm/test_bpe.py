@@ -1,6 +1,7 @@
 import random
 import struct
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -139,3 +140,41 @@ def test_states_are_few_and_built_anew(reference):
     assert len(large.states) <= len(prefixes) and len(small.states) <= 41
     long = "".join(words).encode()
     assert len(long) > 4 * large.BLOCK and large.encode(long) == [x for part in small.stream(long) for x in part] == reference.encode_ordinary(long.decode())
+
+
+def test_new_pieces_are_walked_over_together(reference, monkeypatch):
+    """Of many texts: the same ids, also when states are dropped between walks, and no step of the single walk for short pieces."""
+    rng = random.Random(13)
+    parts = ("th", "er", "on", "tion", "ß", "nd", " ", "  ", "\n", "世", "1", "!!", "ea", "é", "\u0301", "'s")
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(120))) for _ in range(800)]
+    texts = [" ".join(x[i : i + 60] for i in range(0, len(x), 60)) if x else rng.choice([None, ""]) for x in texts]
+    want = [reference.encode_ordinary(x or "") for x in texts]
+    e = bpe.Encoder(PATH, P.PATTERN)
+    monkeypatch.setattr(e.pieces.transducer, "_step", None)
+    assert [unpack(x) for x in e.all(texts)] == want
+    monkeypatch.undo()
+    e = bpe.Encoder(PATH, P.PATTERN)
+    e.CHARS, e.pieces.most, e.pieces.lockstep.BYTES, e.pieces.transducer.max_states = 500, 60, 40, 30
+    e.pieces.longest = 9  # others go alone
+    assert [unpack(x) for x in e.all(texts * 2)] == want * 2
+    assert len(e.pieces) <= 60 + 500 and len(e.pieces.lockstep.number) <= 30 + 40
+    assert list(e.all([])) == []
+
+
+def test_walked_together_by_ranks_in_no_order():
+    rng = random.Random(17)
+    odd = {bytes([i]): i for i in range(256)} | {b"ab": 300, b"abc": 290, b"bc": 310, b"ca": 280, b"abca": 285}
+    pieces = [bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 12))) for _ in range(400)]
+    got = bpe.Lockstep(bpe.Transducer(odd)).encode(pieces)
+    assert [unpack(x) for x in got] == [[odd[x]] if x in odd else bpe.merge_all(x, odd) for x in pieces]
+
+
+def test_table_of_arrays():
+    rng = random.Random(19)
+    table, want = bpe.Table(2), {}
+    for _ in range(60):
+        new = sorted({rng.randrange(1 << 45) if rng.random() < 0.5 else rng.randrange(3000) for _ in range(rng.randrange(90))} - want.keys())
+        want |= {key: rng.randrange(1 << 30) for key in new}
+        table.add(np.array(new, np.int64), np.array([want[key] for key in new], np.int64))
+        asked = [*want, *range(0, 3000, 7), 1 << 46]
+        assert table.get(np.array(asked, np.int64)).tolist() == [want.get(key, -1) for key in asked]
