@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -326,40 +327,40 @@ def harvested_urls(rows: DataFrame, text: str, marker: str = r"(?i)\.m3u8|/live|
     return urls.distinct().orderBy("url").limit(most)
 
 
-#: A log line's stage: the first of these that matches the line in lower case (fixed values).
+#: A log line's stage: the first of these of which the line, in lower case, holds a word, or all of several (fixed values).
 STAGES = (
     ("source-registry", "sourcesregistry"),
-    ("scope-inference", "scopeenforcementagent: requesting llm scope inference|(?=.*scope inference)(?=.*scopeenforcementagent)"),
-    ("planner", "planneragent|plan created"),
-    ("planner_waiting_for_llm", r"httpx\.readtimeout|httpcore\.readtimeout"),
-    ("search", "searchagent|custom queries|(?=.*search)(?=.*query)"),
-    ("directory-crawl", "directoryagent|directorytraversalskill|crawling"),
-    ("feed-extraction", r"extracting feeds|feedextraction|stream\(s\) found"),
-    ("validation", "validationagent|probing urls"),
+    ("scope-inference", "scopeenforcementagent: requesting llm scope inference", ("scope inference", "scopeenforcementagent")),
+    ("planner", "planneragent", "plan created"),
+    ("planner_waiting_for_llm", "httpx.readtimeout", "httpcore.readtimeout"),
+    ("search", "searchagent", "custom queries", ("search", "query")),
+    ("directory-crawl", "directoryagent", "directorytraversalskill", "crawling"),
+    ("feed-extraction", "extracting feeds", "feedextraction", "stream(s) found"),
+    ("validation", "validationagent", "probing urls"),
     ("validation_config", "ffprobe validation disabled"),
-    ("ffprobe", "running ffprobe|validationagent ffprobe:|ffprobe:"),
-    ("visual-analysis", "(?=.*visual)(?=.*analysis)"),
-    ("geocoding", "llm geocoding|geocod"),
-    ("catalog-map", r"catalogagent|geojson|mapagent|map\.html"),
+    ("ffprobe", "running ffprobe", "validationagent ffprobe:", "ffprobe:"),
+    ("visual-analysis", ("visual", "analysis")),
+    ("geocoding", "llm geocoding", "geocod"),
+    ("catalog-map", "catalogagent", "geojson", "mapagent", "map.html"),
     ("complete", "run-agentic complete"),
 )
-#: Counters that log lines carry: names and the pattern of their numbers (fixed values).
+#: Counters that log lines carry: names, a word in lower case of every line that bears them, and the pattern of their numbers (fixed values).
 METRICS = (
-    (("source_registry_tier_counts", "source_registry_total_sources"), r"(?i)SourcesRegistry:\s*loaded tiers\s*(\{.*?\})\s*\((\d+) total sources\)"),
-    (("search_progress_percent",), r"SearchAgent custom queries:\s*(\d+)%"),
-    (("search_queries_done", "search_queries_total"), r"SearchAgent custom queries:.*?(\d+)/(\d+)"),
-    (("collapsed_duplicates", "candidates_before_collapse", "candidates_after_collapse"), r"(?i)collapsed\s+([0-9,]+).*?\(([0-9,]+)\s*[→\-]+\s*([0-9,]+)\)"),
-    (("feed_extract_percent", "feed_extract_done", "feed_extract_total"), r"Extracting feeds:\s*(\d+)%.*?([0-9,]+)/([0-9,]+)"),
-    (("validation_candidates_received",), r"(?i)ValidationAgent:\s*([0-9,]+)\s+candidates received"),
-    (("probe_live", "probe_dead", "probe_unknown", "probe_timeout", "probe_other"),
+    (("source_registry_tier_counts", "source_registry_total_sources"), "sourcesregistry:", r"(?i)SourcesRegistry:\s*loaded tiers\s*(\{.*?\})\s*\((\d+) total sources\)"),
+    (("search_progress_percent",), "searchagent custom queries:", r"SearchAgent custom queries:\s*(\d+)%"),
+    (("search_queries_done", "search_queries_total"), "searchagent custom queries:", r"SearchAgent custom queries:.*?(\d+)/(\d+)"),
+    (("collapsed_duplicates", "candidates_before_collapse", "candidates_after_collapse"), "collapsed", r"(?i)collapsed\s+([0-9,]+).*?\(([0-9,]+)\s*[→\-]+\s*([0-9,]+)\)"),
+    (("feed_extract_percent", "feed_extract_done", "feed_extract_total"), "extracting feeds:", r"Extracting feeds:\s*(\d+)%.*?([0-9,]+)/([0-9,]+)"),
+    (("validation_candidates_received",), "validationagent:", r"(?i)ValidationAgent:\s*([0-9,]+)\s+candidates received"),
+    (("probe_live", "probe_dead", "probe_unknown", "probe_timeout", "probe_other"), "probe results",
      r"(?i)probe results\s+[—-]\s+live=([0-9,]+),\s*dead=([0-9,]+),\s*unknown=([0-9,]+),\s*timeout=([0-9,]+),\s*other=([0-9,]+)"),
-    (("ffprobe_live", "ffprobe_unknown", "ffprobe_dead"), r"(?i)ffprobe results\s+[—-]\s+live=([0-9,]+)\s+unknown=([0-9,]+)\s+dead=([0-9,]+)"),
-    (("hls_to_catalog", "catalog_live", "catalog_unknown", "catalog_dead", "catalog_dropped_dead"),
+    (("ffprobe_live", "ffprobe_unknown", "ffprobe_dead"), "ffprobe results", r"(?i)ffprobe results\s+[—-]\s+live=([0-9,]+)\s+unknown=([0-9,]+)\s+dead=([0-9,]+)"),
+    (("hls_to_catalog", "catalog_live", "catalog_unknown", "catalog_dead", "catalog_dropped_dead"), "hls streams to catalog",
      r"(?i)([0-9,]+)\s+HLS streams to catalog\s+[—-]\s+live=([0-9,]+)\s+unknown=([0-9,]+)\s+dead=([0-9,]+)\s+dropped_dead=([0-9,]+)"),
-    (("validated_records", "validated_with_coords", "validated_without_coords"), r"(?i)([0-9,]+)\s+validated records\s+\(([0-9,]+)\s+with coords,\s+([0-9,]+)\s+without"),
-    (("catalog_unique_after_dedup", "catalog_dropped_dedup"), r"(?i)CatalogAgent:\s*([0-9,]+)\s+unique records after dedup\s+\(dropped\s+([0-9,]+)\)"),
-    (("geojson_features_written", "geojson_features_skipped"), r"(?i)GeoJSONExportSkill:\s*([0-9,]+)\s+features written.*?([0-9,]+)\s+skipped"),
-    (("mapped", "needs_review_location_unknown", "rejected"), r"(?i)run-agentic complete\s+[—-]\s+mapped=([0-9,]+),\s+needs_review_location_unknown=([0-9,]+),\s+rejected=([0-9,]+)"),
+    (("validated_records", "validated_with_coords", "validated_without_coords"), "validated records", r"(?i)([0-9,]+)\s+validated records\s+\(([0-9,]+)\s+with coords,\s+([0-9,]+)\s+without"),
+    (("catalog_unique_after_dedup", "catalog_dropped_dedup"), "catalogagent:", r"(?i)CatalogAgent:\s*([0-9,]+)\s+unique records after dedup\s+\(dropped\s+([0-9,]+)\)"),
+    (("geojson_features_written", "geojson_features_skipped"), "geojsonexportskill:", r"(?i)GeoJSONExportSkill:\s*([0-9,]+)\s+features written.*?([0-9,]+)\s+skipped"),
+    (("mapped", "needs_review_location_unknown", "rejected"), "run-agentic complete", r"(?i)run-agentic complete\s+[—-]\s+mapped=([0-9,]+),\s+needs_review_location_unknown=([0-9,]+),\s+rejected=([0-9,]+)"),
 )
 #: Counters of a domain: candidates and pages of a crawl, streams found (fixed values).
 CRAWLED = r"(?i)DirectoryTraversalSkill:\s*([0-9,]+)\s+candidates\s+from\s+([^\s]+)\s+\(([0-9,]+)\s+pages\)"
@@ -370,9 +371,14 @@ _LINE_URLS = r"(https?://[^\s'\"<>]+)"
 
 
 def line_stage(text: Column) -> Column:
-    low, out = F.lower(F.coalesce(text, F.lit(""))), F.lit(None).cast("string")
-    for name, pattern in reversed(STAGES):
-        out = F.when(low.rlike(f"(?s){pattern}"), name).otherwise(out)
+    return _stage(F.lower(F.coalesce(text, F.lit(""))))
+
+
+def _stage(low: Column) -> Column:
+    out = F.lit(None).cast("string")
+    for name, *ways in reversed(STAGES):
+        held = [reduce(Column.__and__, [low.contains(word) for word in ([way] if isinstance(way, str) else way)]) for way in ways]
+        out = F.when(reduce(Column.__or__, held), name).otherwise(out)
     return out
 
 
@@ -389,18 +395,20 @@ def line_domain(text: Column) -> Column:
 
 
 def _number(text: Column) -> Column:
-    return F.nullif(F.replace(text, F.lit(","), F.lit("")), F.lit("")).try_cast("bigint")
+    return F.replace(text, F.lit(","), F.lit("")).try_cast("bigint")  # null of an empty one
 
 
 def log_lines(lines: DataFrame, text: str = "text") -> DataFrame:
     """Add stage, domain and one column per counter of METRICS to log lines; null where a line says nothing of it."""
-    t = shortened(F.coalesce(F.col(text), F.lit("")), 500)
-    columns = {"stage": line_stage(t), "domain": line_domain(F.col(text))}
-    for names, pattern in METRICS:
+    # columns of their own, so that each is worked out once a line
+    lines = lines.withColumn("_short", shortened(F.coalesce(F.col(text), F.lit("")), 500)).withColumn("_low", F.lower("_short"))
+    t, low = F.col("_short"), F.col("_low")
+    columns = {"stage": _stage(low), "domain": line_domain(F.col(text))}
+    for names, word, pattern in METRICS:
         for i, name in enumerate(names):
-            value = F.regexp_extract(t, pattern, i + 1)
+            value = F.when(low.contains(word), F.regexp_extract(t, pattern, i + 1))
             columns[name] = F.nullif(value, F.lit("")) if name.endswith("tier_counts") else _number(value)
-    return lines.withColumns(columns)
+    return lines.withColumns(columns).drop("_short", "_low")
 
 
 def domain_metrics(lines: DataFrame, text: str = "text", order: str = "seq") -> DataFrame:

@@ -100,28 +100,30 @@ def heartbeat(lines: DataFrame, every_seconds: int = 60, delay: str = "10 minute
     """
     t, step_us, grace_us = F.coalesce(F.col("text"), F.lit("")), every_seconds * 1_000_000, grace_seconds * 1_000_000
     told = X.log_lines(lines.select(F.col("run").alias("key"), "logged_at", "seq", t.alias("text")))
-    names = [n for of, _ in X.METRICS for n in of if not n.endswith("tier_counts")]
-    said = F.map_filter(F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.col(n) for n in names])), lambda _, v: v.isNotNull())
+    names = [n for of, *_ in X.METRICS for n in of if not n.endswith("tier_counts")]
+    said = F.to_json(F.struct(*names), {"ignoreNullFields": "true"})
     hit = F.col("text").rlike(leaks) if leaks else F.lit(False)
-    rows = told.select("key", "logged_at", "seq", "stage", hit.cast("int").alias("hit"), F.to_json(said).alias("said"))
+    rows = told.select("key", "logged_at", "seq", "stage", hit.cast("int").alias("hit"), said.alias("said"))
 
     def step(key: str, state: tuple | None, row: tuple) -> tuple[tuple, list]:
         at, _, stage, hit, said = row
-        first, lines, hits, latest, counters, stop, beat = state or (at, 0, 0, None, "{}", None, None)
-        counters, new = json.loads(counters), json.loads(said)
-        for name, value in new.items():
-            counters[name] = counters.get(name, 0) + value if name in SUMMED else value
+        first, lines, hits, latest, counters, stop, beat = state or (at, 0, 0, None, (), None, None)
+        if said != "{}":
+            counters = dict(counters)
+            for name, value in json.loads(said).items():
+                counters[name] = counters.get(name, 0) + value if name in SUMMED else value
+            counters = tuple(counters.items())
         hits += hit
         if stop is None and hit and hits >= stop_hits and at - first >= grace_us:
             stop = at
         beat = (at // step_us + 1) * step_us
-        return (first, lines + 1, hits, stage or latest, json.dumps(counters, sort_keys=True), stop, beat), []
+        return (first, lines + 1, hits, stage or latest, counters, stop, beat), []
 
     def woken(key: str, state: tuple) -> tuple[tuple, list]:
         first, lines, hits, latest, counters, stop, beat = state
-        return (*state[:-1], None), [(key, beat, latest, lines, hits, counters, stop)]
+        return (*state[:-1], None), [(key, beat, latest, lines, hits, json.dumps(dict(counters), sort_keys=True), stop)]
 
-    kept = "first bigint, lines bigint, hits bigint, stage string, counters string, stop bigint, beat bigint"
+    kept = "first bigint, lines bigint, hits bigint, stage string, counters map<string,bigint>, stop bigint, beat bigint"
     fields = [("stage", "string"), ("hit", "int"), ("said", "string")]
     out = folded(rows, "logged_at", delay, fields, kept, BEATS, step, wake=lambda state: state[-1], woken=woken)
     times = {c: F.timestamp_micros(c) for c in ("beat", "stop_at")}

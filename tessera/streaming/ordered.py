@@ -118,7 +118,7 @@ class Fold(StatefulProcessor):
         for name, rows in groupby(zip(*(c.to_pylist() for c in due.columns), strict=True), key=lambda row: row[0]):
             state = states.get(name)
             for row in rows:
-                if wake and state is not None:
+                if wake and state is not None and (at := wake(state)) is not None and at <= row[1]:
                     states[name] = state
                     yield from self._roused(name, states, row[1])
                     state = states[name]

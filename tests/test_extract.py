@@ -92,6 +92,18 @@ def test_logs(spark):
     assert [r["url"] for r in E.harvested_urls(spark.createDataFrame([("a https://x.example/live/1 https://x.example/p",), (None,)], "t string"), "t").collect()] == ["https://x.example/live/1"]
 
 
+def test_log_lines_cost_little(spark, capsys):
+    """A line is flattened once, not for each pattern, and a pattern is asked only where its word stands."""
+    lines = ["custom query of a search", "searching a QUERY", "Scope inference by ScopeEnforcementAgent", "analysis, visual", "visual", "HTTPX.ReadTimeout", "httpxxreadtimeout", "map.html", "mapshtml", "5 Stream(s) found", "a" * 499 + " crawling", "search\nquery"]
+    d = spark.createDataFrame(list(enumerate(lines)), "seq int, text string")
+    got = [r["stage"] for r in E.log_lines(d).orderBy("seq").collect()]
+    assert got == ["search", "search", "scope-inference", "visual-analysis", None, "planner_waiting_for_llm", None, "catalog-map", None, "feed-extraction", None, "search"]
+    for _, word, pattern in E.METRICS:
+        assert word in pattern.lower() and word == word.lower()
+    E.log_lines(d).explain()
+    assert capsys.readouterr().out.count("regexp_replace(") <= 4
+
+
 def test_a_page_stored_twice_is_one(spark, tmp_path):
     """x1 tells a page's links once, those of all its copies."""
     from tessera import queries as Q
